@@ -121,16 +121,17 @@ def agg_approx(spark: SparkSession, d: str) -> DataFrame:
         F.percentile_approx("l_extendedprice", 0.5, 10000).alias("median_approx"),
         F.count_min_sketch("l_suppkey", F.lit(0.001), F.lit(0.99), F.lit(42)).alias("cms"),
         F.histogram_numeric("l_quantity", F.lit(5)).alias("hist"),
-        F.count_distinct("l_orderkey").alias("orders_exact"),
         F.count("*").alias("n"),
     )
+    # A distinct aggregate beside a sketch would build one sketch per distinct value.
+    exact = salted_distinct(li, "l_returnflag", "l_orderkey", "orders_exact")
     bits = (
         li.groupBy("l_returnflag", F.bitmap_bucket_number("l_orderkey").alias("bucket"))
         .agg(F.bitmap_construct_agg(F.bitmap_bit_position("l_orderkey")).alias("bitmap"))
         .groupBy("l_returnflag")
         .agg(F.sum(F.bitmap_count("bitmap")).alias("orders_bitmap"))
     )
-    return sketches.join(bits, "l_returnflag").select(
+    return sketches.join(bits, "l_returnflag").join(exact, "l_returnflag").select(
         "l_returnflag", "n", "orders_exact", "orders_approx", "orders_bitmap",
         F.hll_sketch_estimate("hll").alias("orders_hll"), "median_approx",
         F.length("cms").alias("cms_bytes"), F.size("hist").alias("hist_bins"),

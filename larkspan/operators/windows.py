@@ -1,0 +1,192 @@
+"""Window functions: running, range and moving frames, ranks, offsets, rolling and weighted means.
+
+Every job splits hot keys through the helpers in ``skew``: running values carry totals from
+piece to piece, bounded frames work on blocks with a copied border.
+"""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from larkspan.operators.skew import drop_halo, micros, ntile, positions, prefix, ranks, with_halo
+from larkspan.registry import query
+from larkspan.sources.tables import table
+
+BLOCK_ROWS = 1_000_000
+
+
+def _history(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").select("event_id", "user_id", "ts", "value")
+
+
+@query(
+    "win_running",
+    """select o_orderkey, o_custkey, round(sum(o_totalprice) over w, 2) as running_total, count(*) over w as nth,
+              max(o_totalprice) over w as best_so_far
+       from orders window w as (partition by o_custkey order by o_orderdate, o_orderkey rows unbounded preceding)""",
+)
+def win_running(spark: SparkSession, d: str) -> DataFrame:
+    run = prefix(
+        table(spark, d, "orders").withColumn("one", F.lit(1)), ["o_custkey"], ["o_orderdate", "o_orderkey"],
+        {"running_total": ("sum", "o_totalprice"), "nth": ("count", "one"), "best_so_far": ("max", "o_totalprice")})
+    return run.select("o_orderkey", "o_custkey", F.round("running_total", 2).alias("running_total"), "nth", "best_so_far")
+
+
+@query(
+    "win_range",
+    """select event_id, count(*) over w as n_last_day, round(sum(value) over w, 2) as sum_last_day
+       from events window w as (partition by user_id order by ts range between interval 1 day preceding and current row)""",
+)
+def win_range(spark: SparkSession, d: str) -> DataFrame:
+    """Sum over the last 24 hours of each user; blocks of four days with one day copied in."""
+    day = 86_400_000_000
+    ev = _history(spark, d).withColumn("t", micros("ts"))
+    w = Window.partitionBy("user_id", "__block").orderBy("t").rangeBetween(-day, Window.currentRow)
+    out = with_halo(ev, F.col("t"), before=day, after=0, block=4 * day).select(
+        "event_id", "__home", "__block", F.count("*").over(w).alias("n_last_day"),
+        F.round(F.sum("value").over(w), 2).alias("sum_last_day"))
+    return drop_halo(out)
+
+
+@query(
+    "win_rank",
+    """select c_custkey, c_nationkey, row_number() over (w, c_custkey) as row_number, rank() over w as rank,
+              dense_rank() over w as dense_rank, round(percent_rank() over w, 9) as percent_rank,
+              round(cume_dist() over w, 9) as cume_dist, cast(ntile(4) over (w, c_custkey) as int) as quartile
+       from (select c_custkey, c_nationkey, floor(c_acctbal / 100) as b from customer)
+       window w as (partition by c_nationkey order by b)""".replace("over (w, c_custkey)", "over (partition by c_nationkey order by b, c_custkey)"),
+)
+def win_rank(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "customer").select("c_custkey", "c_nationkey", F.floor(F.col("c_acctbal") / 100).alias("b"))
+    r = ranks(c, ["c_nationkey"], "b", ["c_custkey"])
+    return r.select(
+        "c_custkey", "c_nationkey", "row_number", "rank", "dense_rank", F.round("percent_rank", 9).alias("percent_rank"),
+        F.round("cume_dist", 9).alias("cume_dist"), ntile(F.col("row_number"), F.col("group_rows"), 4).alias("quartile"))
+
+
+@query(
+    "win_lag_lead",
+    """select event_id, lag(value) over w as prev_value, lead(value, 2, -1.0) over w as next2_value,
+              first_value(event_id) over g as first_event, last_value(event_id) over g as last_event,
+              nth_value(event_id, 2) over g as second_event
+       from events window w as (partition by user_id order by ts, event_id),
+            g as (partition by user_id order by ts, event_id rows between unbounded preceding and unbounded following)""",
+)
+def win_lag_lead(spark: SparkSession, d: str) -> DataFrame:
+    ev = positions(_history(spark, d), ["user_id"], ["ts", "event_id"])
+    w = Window.partitionBy("user_id", "__block").orderBy("row_pos")
+    moved = drop_halo(
+        with_halo(ev, F.col("row_pos"), before=1, after=2, block=BLOCK_ROWS)
+        .withColumn("prev_value", F.lag("value").over(w)).withColumn("next2_value", F.lead("value", 2, -1.0).over(w)))
+    ends = ev.groupBy("user_id").agg(
+        F.min_by("event_id", "row_pos").alias("first_event"), F.max_by("event_id", "row_pos").alias("last_event"),
+        F.max(F.when(F.col("row_pos") == 2, F.col("event_id"))).alias("second_event"))
+    return moved.join(ends, "user_id").select(
+        "event_id", "prev_value", "next2_value", "first_event", "last_event", "second_event")
+
+
+@query(
+    "win_moving_avg",
+    """select event_id, round(avg(value) over w, 6) as avg5, count(*) over w as n5, min(value) over w as min5,
+              max(value) over w as max5
+       from events window w as (partition by user_id order by ts, event_id rows between 2 preceding and 2 following)""",
+)
+def win_moving_avg(spark: SparkSession, d: str) -> DataFrame:
+    ev = positions(_history(spark, d), ["user_id"], ["ts", "event_id"])
+    w = Window.partitionBy("user_id", "__block").orderBy("row_pos").rowsBetween(-2, 2)
+    return drop_halo(
+        with_halo(ev, F.col("row_pos"), before=2, after=2, block=BLOCK_ROWS).select(
+            "event_id", "__home", "__block", F.round(F.avg("value").over(w), 6).alias("avg5"),
+            F.count("*").over(w).alias("n5"), F.min("value").over(w).alias("min5"), F.max("value").over(w).alias("max5")))
+
+
+@query(
+    "win_native",
+    """select l_orderkey, l_linenumber, l_extendedprice, l_partkey,
+              rank() over w as price_rank, dense_rank() over w as price_dense,
+              round(sum(l_extendedprice) over (partition by l_orderkey), 2) as order_total,
+              round(l_extendedprice / sum(l_extendedprice) over (partition by l_orderkey), 8) as share
+       from lineitem window w as (partition by l_orderkey order by l_extendedprice desc)""",
+)
+def win_native(spark: SparkSession, d: str) -> DataFrame:
+    """The built-in window on a key whose groups are small by nature: the lines of an order."""
+    w = Window.partitionBy("l_orderkey").orderBy(F.desc("l_extendedprice"))
+    whole = Window.partitionBy("l_orderkey")
+    total = F.sum("l_extendedprice").over(whole)
+    return table(spark, d, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_extendedprice", "l_partkey", F.rank().over(w).alias("price_rank"),
+        F.dense_rank().over(w).alias("price_dense"), F.round(total, 2).alias("order_total"),
+        F.round(F.col("l_extendedprice") / total, 8).alias("share"))
+
+
+@query(
+    "rolling_stats",
+    """select event_id, case when count(*) over w = 4 then round(avg(value) over w, 6) end as roll_mean,
+              case when count(*) over w = 4 then round(stddev_samp(value) over w, 6) end as roll_std,
+              case when count(*) over w = 4 then max(value) over w end as roll_max,
+              round(avg(value) over e, 9) as exp_mean, max(value) over e as exp_max, count(*) over e as exp_count
+       from events window w as (partition by user_id order by ts, event_id rows between 3 preceding and current row),
+            e as (partition by user_id order by ts, event_id rows unbounded preceding)""",
+)
+def rolling_stats(spark: SparkSession, d: str) -> DataFrame:
+    """Rolling frame of four rows (null until full) and the expanding frame."""
+    ev = prefix(_history(spark, d).withColumn("one", F.lit(1)), ["user_id"], ["ts", "event_id"],
+                {"row_pos": ("count", "one"), "s": ("sum", "value"), "exp_max": ("max", "value")})
+    w = Window.partitionBy("user_id", "__block").orderBy("row_pos").rowsBetween(-3, 0)
+    full = F.col("row_pos") >= 4
+    return drop_halo(
+        with_halo(ev, F.col("row_pos"), before=3, after=0, block=BLOCK_ROWS).select(
+            "event_id", "__home", "__block",
+            F.when(full, F.round(F.avg("value").over(w), 6)).alias("roll_mean"),
+            F.when(full, F.round(F.stddev("value").over(w), 6)).alias("roll_std"),
+            F.when(full, F.max("value").over(w)).alias("roll_max"),
+            F.round(F.col("s") / F.col("row_pos"), 9).alias("exp_mean"), "exp_max", F.col("row_pos").alias("exp_count")))
+
+
+@query(
+    "ewm_mean",
+    """with p as (select event_id, user_id, value, row_number() over (partition by user_id order by ts, event_id) as i from events)
+       select event_id, round(sum(value * pow(2.0, i)) over w / sum(pow(2.0, i)) over w, 6) as ewm
+       from p window w as (partition by user_id order by i rows unbounded preceding)""",
+)
+def ewm_mean(spark: SparkSession, d: str) -> DataFrame:
+    """Exponentially weighted mean with alpha 0.5. Weights halve per row, so 63 rows back they
+    are below double precision: that frame is the whole sum."""
+    reach = 63
+    ev = positions(_history(spark, d), ["user_id"], ["ts", "event_id"])
+    w = Window.partitionBy("user_id", "__block").orderBy("row_pos").rowsBetween(-reach, 0)
+    zero = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("w"))
+    mean = F.aggregate(
+        F.collect_list("value").over(w), zero,
+        lambda a, x: F.struct((a.s * 0.5 + x).alias("s"), (a.w * 0.5 + 1).alias("w")), lambda a: a.s / a.w)
+    return drop_halo(
+        with_halo(ev, F.col("row_pos"), before=reach, after=0, block=BLOCK_ROWS)
+        .select("event_id", "__home", "__block", F.round(mean, 6).alias("ewm")))
+
+
+@query(
+    "win_pandas_udf",
+    """select event_id, round(avg(value) over w, 6) as mean3, max(value) over w - min(value) over w as spread3
+       from events window w as (partition by user_id order by ts, event_id rows between 1 preceding and 1 following)"""
+    .replace("max(value) over w - min(value) over w", "round(max(value) over w - min(value) over w, 2)"),
+)
+def win_pandas_udf(spark: SparkSession, d: str) -> DataFrame:
+    """Grouped-aggregate pandas functions over a bounded frame; the block keeps every window
+    group small enough for one Arrow batch."""
+
+    @F.pandas_udf("double")
+    def mean(v: pd.Series) -> float:
+        return v.mean()
+
+    @F.pandas_udf("double")
+    def spread(v: pd.Series) -> float:
+        return v.max() - v.min()
+
+    ev = positions(_history(spark, d), ["user_id"], ["ts", "event_id"])
+    w = Window.partitionBy("user_id", "__block").orderBy("row_pos").rowsBetween(-1, 1)
+    return drop_halo(
+        with_halo(ev, F.col("row_pos"), before=1, after=1, block=100_000)
+        .select("event_id", "__home", "__block", F.round(mean("value").over(w), 6).alias("mean3"),
+                F.round(spread("value").over(w), 2).alias("spread3")))
