@@ -11,6 +11,7 @@ from larkspan.registry import query
 from larkspan.sources.tables import table, tables
 
 HOUR = 3_600_000_000
+MAX_DUMMY_COLUMNS = 1_000
 
 
 @query(
@@ -127,9 +128,12 @@ def dummies(spark: SparkSession, d: str) -> DataFrame:
     """One 0/1 column per category and an integer code per brand. The code table holds one row
     per distinct brand; only that table is numbered."""
     p = table(spark, d, "part").select("p_partkey", "p_type", "p_brand")
-    kinds = [r[0] for r in p.select("p_type").distinct().orderBy("p_type").limit(1000).collect()]
-    brands = p.select("p_brand").distinct()
-    codes = brands.select("p_brand", (F.row_number().over(Window.orderBy("p_brand")) - 1).cast("bigint").alias("brand_code"))
+    distinct = p.select("p_type").distinct()
+    if distinct.count() > MAX_DUMMY_COLUMNS:
+        raise ValueError("too many categories for one column each; use the integer code")
+    kinds = [r[0] for r in distinct.orderBy("p_type").collect()]
+    brands = positions(p.select("p_brand").distinct(), [], ["p_brand"])
+    codes = brands.select("p_brand", (F.col("row_pos") - 1).alias("brand_code"))
     return p.join(codes, "p_brand").select(
         "p_partkey", *[(F.col("p_type") == k).cast("int").alias(f"type_{k}") for k in kinds], "brand_code")
 

@@ -33,6 +33,10 @@ def _numeric(df: DataFrame, name: str) -> Column:
         return micros(name).cast("double")
     if kind == "date":
         return F.unix_date(name).cast("double")
+    if kind == "string":
+        # The first six bytes as a number: ascends with the byte order strings sort by.
+        code = F.rpad(F.substring(F.hex(F.encode(name, "UTF-8")), 1, 12), 12, "0")
+        return F.conv(code, 16, 10).cast("double")
     return F.col(name).cast("double")
 
 
@@ -140,7 +144,8 @@ def ranks(df: DataFrame, keys: Sequence[str], value: str, tie: Sequence[str], ho
         hot_rows,
     )
     size = df.groupBy(*keys).agg(F.count("*").alias("group_rows"))
-    run = run.join(size, list(keys)).select(
+    run = run.join(size, list(keys)) if keys else run.withColumn("group_rows", F.lit(size.first()[0]))
+    run = run.select(
         *keys,
         value,
         (F.col("__upto") - F.col("__ties") + 1).alias("rank"),
