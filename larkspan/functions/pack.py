@@ -1,18 +1,22 @@
-"""A pack is a list of ``(column name, Spark expression, SQL expression)``."""
+"""A pack is a list of ``(column name, Spark expression, SQL expression)`` over one table."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 
-Entry = tuple[str, Column | str, str]
+from larkspan.registry import query
 
+Entry = tuple[str, Callable[[], Column], str]
 
-def sql_select(entries: Sequence[tuple[str, str]], source: str) -> str:
-    cols = ",\n  ".join(f"{sql} as {name}" for name, sql in entries)
-    return f"select {cols}\nfrom {source}"
 
+def register(key: str, doc: str, source: Callable[[SparkSession, str], DataFrame], sql_source: str, entries: Sequence[Entry]) -> None:
+    """Register one query that selects every entry, and the SQL that does the same."""
+    sql = "select " + ",\n  ".join(f"{e} as {n}" for n, _, e in entries) + f"\nfrom {sql_source}"
 
-def select(df: DataFrame, entries: dict[str, Column]) -> DataFrame:
-    return df.select(*[c.alias(n) for n, c in entries.items()])
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        return source(spark, d).select(*[make().alias(n) for n, make, _ in entries])
+
+    run.__doc__ = doc
+    query(key, sql)(run)
