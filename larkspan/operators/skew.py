@@ -225,3 +225,15 @@ def blocks_of(df: DataFrame, keys: Sequence[str], spread: Sequence[str], rows: i
         .withColumn("__block", F.pmod(F.xxhash64(*spread), F.col("__blocks")))
         .drop("__blocks")
     )
+
+
+def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], spread: Sequence[str], k: int, out: str = "place") -> DataFrame:
+    """The first ``k`` rows of every group. Each group is cut by the hash of ``spread`` and
+    only the best ``k`` rows of a cut go on to the final ranking."""
+    local = Window.partitionBy(*keys, "__salt").orderBy(*order)
+    final = Window.partitionBy(*keys).orderBy(*order)
+    return (
+        df.withColumn("__salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)))
+        .withColumn(out, F.row_number().over(local)).filter(F.col(out) <= k).drop("__salt")
+        .withColumn(out, F.row_number().over(final)).filter(F.col(out) <= k)
+    )

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspan.operators.skew import SALTS, positions
+from larkspan.operators.skew import positions, top_per_group
 from larkspan.registry import query
 from larkspan.sources.tables import table
 
@@ -82,16 +82,9 @@ def topk(spark: SparkSession, d: str) -> DataFrame:
        window w as (partition by o_orderpriority order by o_totalprice desc, o_orderkey) qualify place <= 5""",
 )
 def topk_group(spark: SparkSession, d: str) -> DataFrame:
-    """Top 5 per priority. Five keys hold everything, so each key is first cut by hash and
-    only the five best rows of every cut go on."""
-    best = [F.desc("o_totalprice"), F.asc("o_orderkey")]
-    local = Window.partitionBy("o_orderpriority", "salt").orderBy(*best)
-    final = Window.partitionBy("o_orderpriority").orderBy(*best)
-    return (
-        table(spark, d, "orders").select("o_orderpriority", "o_orderkey", "o_totalprice")
-        .withColumn("salt", F.pmod(F.xxhash64("o_orderkey"), F.lit(SALTS)))
-        .withColumn("place", F.row_number().over(local)).filter("place <= 5")
-        .withColumn("place", F.row_number().over(final)).filter("place <= 5").drop("salt"))
+    """Top 5 per priority: few keys hold everything, so groups are cut before ranking."""
+    o = table(spark, d, "orders").select("o_orderpriority", "o_orderkey", "o_totalprice")
+    return top_per_group(o, ["o_orderpriority"], [F.desc("o_totalprice"), F.asc("o_orderkey")], ["o_orderkey"], 5)
 
 
 @query("range_layout")
