@@ -9,12 +9,26 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspan.operators.skew import top_per_group
-from larkspan.plans.scoring import CELLS_SQL, FAN_OUT, evaluate, hash_tree, parameters, samples, softmax, top1, with_logits
+from larkspan.plans.scoring import (
+    CELLS_SQL,
+    FAN_OUT,
+    evaluate,
+    hash_tree,
+    linear_scorer,
+    logits_by_join,
+    parameters,
+    samples,
+    softmax,
+    top1,
+    weights,
+)
 from larkspan.registry import query
+from larkspan.session import cut_lineage, write_table
 
 # Modes with the decimals their weights keep, and the epochs compared.
 MODES = {"cluster_cpu": 9, "cluster_gpu": 2, "local_cpu": 12, "local_gpu": 3}
@@ -41,28 +55,43 @@ def tiers(spark: SparkSession) -> DataFrame:
 
 
 def mode_scores(spark: SparkSession, d: str) -> DataFrame:
-    """``mode, data_type, vec_id, label, classes, logits``, each mode in one pass."""
-    params = parameters(spark, d)
-    out = []
-    for mode, digits in MODES.items():
-        rounded = params.withColumn("value", F.round("value", digits))
-        out.append(with_logits(spark, d, samples(spark, d), rounded).withColumn("mode", F.lit(mode)))
-    return reduce(DataFrame.unionByName, out).withColumn(
-        "data_type", F.when(F.col("label") < 5, "structured").otherwise("unstructured"))
+    """``mode, data_type, vec_id, label, classes, logits``: one pass scores every mode, as the
+    weights of all modes stacked in one matrix."""
+    params = cut_lineage(parameters(spark, d))
+    held = weights(params)
+    kind = F.when(F.col("label") < 5, "structured").otherwise("unstructured").alias("data_type")
+    if held is None:
+        out = [
+            logits_by_join(samples(spark, d), params.withColumn("value", F.round("value", n))).withColumn("mode", F.lit(m))
+            for m, n in MODES.items()]
+        return reduce(DataFrame.unionByName, out).select("mode", kind, "vec_id", "label", "classes", "logits")
+    labels, w = held
+    stacked = np.vstack([np.round(w, n) for n in MODES.values()])
+    classes = F.array(*[F.lit(int(v)) for v in labels])
+    scored = samples(spark, d).select("vec_id", "label", kind, linear_scorer(spark, stacked)("x").alias("all_logits"))
+    per_mode = F.array(*[
+        F.struct(F.lit(m).alias("mode"), F.slice("all_logits", i * len(labels) + 1, len(labels)).alias("logits")) for i, m in enumerate(MODES)])
+    return scored.select("vec_id", "label", "data_type", F.inline(per_mode)).select(
+        "mode", "data_type", "vec_id", "label", classes.alias("classes"), "logits")
 
 
 def pairs_of(df: DataFrame, on: list[str], cols: list[str]) -> DataFrame:
-    """Every pair of modes of the same key, the smaller name first; full outer, so a row that
-    only one side has stays visible. Modes are few and fixed, rows are never paired with
-    other rows."""
-    modes = list(MODES)
-    sides = []
-    for i, a in enumerate(modes):
-        for b in modes[i + 1:]:
-            left = df.filter(F.col("mode") == a).select(*on, *[F.col(c).alias(f"{c}_a") for c in cols], F.lit(True).alias("in_a"))
-            right = df.filter(F.col("mode") == b).select(*on, *[F.col(c).alias(f"{c}_b") for c in cols], F.lit(True).alias("in_b"))
-            sides.append(left.join(right, on, "full").withColumns({"mode_a": F.lit(a), "mode_b": F.lit(b)}))
-    return reduce(DataFrame.unionByName, sides).withColumn("pair_kind", pair_kind())
+    """Every pair of modes of the same key, the smaller name first.
+
+    One shuffle puts the few modes of a key side by side in one row; the pairs are then taken
+    inside that row. A row that only one side has stays visible.
+    """
+    modes = sorted(MODES)
+    wide = df.groupBy(*on).agg(
+        *[F.first(F.when(F.col("mode") == m, F.struct(*cols)), ignorenulls=True).alias(m) for m in modes])
+    pairs = F.array(*[
+        F.struct(F.lit(a).alias("mode_a"), F.lit(b).alias("mode_b"), F.col(a).alias("a"), F.col(b).alias("b"))
+        for i, a in enumerate(modes) for b in modes[i + 1:]])
+    both = wide.select(*on, F.explode(pairs).alias("p")).filter("p.a is not null or p.b is not null")
+    return both.select(
+        *on, "p.mode_a", "p.mode_b", *[F.col(f"p.a.{c}").alias(f"{c}_a") for c in cols], *[F.col(f"p.b.{c}").alias(f"{c}_b") for c in cols],
+        F.col("p.a").isNotNull().alias("in_a"), F.col("p.b").isNotNull().alias("in_b"),
+    ).withColumn("pair_kind", pair_kind())
 
 
 _MODES_SQL = ", ".join(f"('{m}', {n})" for m, n in MODES.items())
@@ -117,11 +146,12 @@ def _mode_pairs(per_mode: DataFrame) -> DataFrame:
 )
 def compare_predictions(spark: SparkSession, d: str) -> DataFrame:
     """Match rate of two modes against the limit of their tier, and the first differing rows."""
-    preds = mode_scores(spark, d).select("mode", "vec_id", top1().alias("prediction"))
+    # Written once: the totals and the list of differing rows both read it.
+    preds = write_table(mode_scores(spark, d).select("mode", "vec_id", top1().alias("prediction")), "mode-predictions")
     both = pairs_of(preds, ["vec_id"], ["prediction"]).withColumn("same", F.coalesce(F.col("prediction_a") == F.col("prediction_b"), F.lit(False)))
     total = both.groupBy("mode_a", "mode_b", "pair_kind").agg(
         F.count("*").alias("total"), F.count_if("same").alias("matching"),
-        F.count_if(F.col("in_a").isNull() | F.col("in_b").isNull()).cast("int").alias("missing"))
+        F.count_if(~F.col("in_a") | ~F.col("in_b")).cast("int").alias("missing"))
     shown = top_per_group(both.filter("not same"), ["mode_a", "mode_b"], [F.asc("vec_id")], ["vec_id"], MISMATCHES_SHOWN).groupBy(
         "mode_a", "mode_b").agg(F.array_join(F.sort_array(F.collect_list("vec_id")), ",").alias("first_mismatches"))
     rate = F.col("matching") / F.col("total")

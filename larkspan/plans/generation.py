@@ -1,0 +1,125 @@
+"""Seeded data made on the executors: every value is a hash of (seed, row id, position), so the
+result does not depend on partitioning. Row ids come from the base tables."""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from larkspan.operators.skew import ntile, positions
+from larkspan.registry import query
+from larkspan.sources.tables import table
+
+SEED = 42
+# Shape of the tabular set and share of flipped labels.
+N_FEATURES, N_INFORMATIVE, N_CLASSES, FLIPPED = 20, 10, 5, 0.05
+# Side of an image, image classes, noise.
+SIDE, IMAGE_CLASSES, NOISE = 28, 10, 0.2
+# Token count per row and vocabulary size.
+N_TOKENS, VOCABULARY = 128, 30_522
+CHUNKS = 8
+
+
+def uniform(*parts: Column | int, seed: int = SEED) -> Column:
+    """A number in (0, 1) fixed by its arguments."""
+    cols = [p if isinstance(p, Column) else F.lit(p) for p in parts]
+    return (F.pmod(F.xxhash64(F.lit(seed), *cols), F.lit(2**31 - 1)) + 1) / float(2**31)
+
+
+def normal(*parts: Column | int, seed: int = SEED) -> Column:
+    """Box–Muller from two uniforms."""
+    return F.sqrt(-2 * F.log(uniform(*parts, 1, seed=seed))) * F.cos(2 * math.pi * uniform(*parts, 2, seed=seed))
+
+
+@query("gen_tabular")
+def gen_tabular(spark: SparkSession, d: str) -> DataFrame:
+    """One labelled sample per order id: ten informative features around a class centre, ten
+    that mix them, and one label in twenty moved to another class."""
+    ids = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"))
+    rows = ids.withColumn("true_class", F.pmod(F.xxhash64(F.lit(SEED), "id"), F.lit(N_CLASSES)).cast("int"))
+    centre = lambda j: normal(F.col("true_class"), j, seed=SEED + 1) * 2
+    informative = F.transform(F.sequence(F.lit(0), F.lit(N_INFORMATIVE - 1)), lambda j: centre(j) + normal(F.col("id"), j))
+    rows = rows.withColumn("inf", informative)
+    mixed = F.transform(
+        F.sequence(F.lit(0), F.lit(N_FEATURES - N_INFORMATIVE - 1)),
+        lambda j: 0.6 * F.element_at("inf", (j + 1).cast("int")) + 0.4 * F.element_at("inf", (F.pmod(j + 3, F.lit(N_INFORMATIVE)) + 1).cast("int")))
+    moved = F.pmod(F.col("true_class") + 1 + F.pmod(F.xxhash64(F.lit(SEED + 2), "id"), F.lit(N_CLASSES - 1)), F.lit(N_CLASSES)).cast("int")
+    return rows.select(
+        "id", F.transform(F.concat("inf", mixed), lambda v: F.round(v, 6)).alias("features"),
+        F.when(uniform(F.col("id"), seed=SEED + 3) < FLIPPED, moved).otherwise(F.col("true_class")).alias("label"), "true_class")
+
+
+@query("gen_images")
+def gen_images(spark: SparkSession, d: str) -> DataFrame:
+    """One image per supplier: a class pattern of sine times cosine plus noise, scaled so that
+    the whole set lies in [0, 1]. The two extremes are the only values the driver sees."""
+    ids = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"))
+    rows = ids.withColumn("label", F.pmod(F.xxhash64(F.lit(SEED), "id"), F.lit(IMAGE_CLASSES)).cast("int"))
+
+    def pixel(p: Column) -> Column:
+        x, y = F.pmod(p, F.lit(SIDE)) / SIDE, F.floor(p / SIDE) / SIDE
+        wave = F.sin(2 * math.pi * x * (F.col("label") + 1)) * F.cos(2 * math.pi * y * (F.col("label") + 1))
+        return wave + NOISE * normal(F.col("id"), p)
+
+    raw = rows.withColumn("raw", F.transform(F.sequence(F.lit(0), F.lit(SIDE * SIDE - 1)), pixel))
+    low, high = raw.agg(F.min(F.array_min("raw")), F.max(F.array_max("raw"))).first()
+    return raw.select("id", F.transform("raw", lambda v: ((v - low) / (high - low)).cast("float")).alias("pixels"), "label")
+
+
+@query("gen_inputs")
+def gen_inputs(spark: SparkSession, d: str) -> DataFrame:
+    """Scoring inputs per customer: token ids, a feature vector and a small float tensor."""
+    ids = table(spark, d, "customer").select(F.col("c_custkey").alias("id"))
+    tokens = F.transform(F.sequence(F.lit(0), F.lit(N_TOKENS - 1)),
+                         lambda j: F.pmod(F.xxhash64(F.lit(SEED), F.col("id"), j), F.lit(VOCABULARY)).cast("int"))
+    vector = F.transform(F.sequence(F.lit(0), F.lit(N_FEATURES - 1)), lambda j: F.round(normal(F.col("id"), j, seed=SEED + 5), 6))
+    tensor = F.transform(F.sequence(F.lit(0), F.lit(3 * 4 * 4 - 1)), lambda j: uniform(F.col("id"), j, seed=SEED + 6).cast("float"))
+    return ids.select("id", tokens.alias("token_ids"), vector.alias("features"), tensor.alias("tensor"))
+
+
+@query(
+    "train_test_split",
+    """select vec_id, label, case when row_number() over (order by vec_id) <= floor(0.8 * (select count(*) from embeddings)) then 'train' else 'test' end as part
+       from embeddings""",
+)
+def train_test_split(spark: SparkSession, d: str) -> DataFrame:
+    """The first 80% of rows in id order train, the rest test."""
+    v = table(spark, d, "embeddings").select("vec_id", "label")
+    limit = math.floor(0.8 * v.count())
+    return positions(v, [], ["vec_id"]).select(
+        "vec_id", "label", F.when(F.col("row_pos") <= limit, "train").otherwise("test").alias("part"))
+
+
+@query(
+    "seeded_chunks",
+    f"""with e as (select * from generate_series(1, 2) g(epoch), embeddings)
+      select epoch, vec_id, row_number() over w as place, cast(ntile({CHUNKS}) over w as int) as chunk from e
+      window w as (partition by epoch order by md5('{SEED}-' || epoch || '-' || vec_id))""",
+)
+def seeded_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """A different seeded order in every epoch, cut into equal chunks."""
+    v = table(spark, d, "embeddings").select("vec_id")
+    n = v.count()
+    epochs = v.withColumn("epoch", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(2).cast("bigint"))))
+    keyed = epochs.withColumn("h", F.md5(F.concat_ws("-", F.lit(str(SEED)), F.col("epoch").cast("string"), F.col("vec_id").cast("string"))))
+    placed = positions(keyed, ["epoch"], ["h"], "place")
+    return placed.select("epoch", "vec_id", "place", ntile(F.col("place"), F.lit(n), CHUNKS).alias("chunk"))
+
+
+@query(
+    "chunk_plan",
+    f"""with r as (select doc_id, row_number() over (order by doc_id) - 1 as i, (select count(*) from documents) as n from documents),
+      c as (select *, n // {CHUNKS} as q, n % {CHUNKS} as extra, ceil(n / {CHUNKS}.0)::bigint as up from r)
+      select doc_id, case when i < extra * (q + 1) then i // (q + 1) else extra + (i - extra * (q + 1)) // greatest(q, 1) end as even_chunk, i // up as ceil_chunk from c""",
+)
+def chunk_plan(spark: SparkSession, d: str) -> DataFrame:
+    """Contiguous chunks by row order: remainder spread over the first chunks, and the ceiling
+    rule, under which late chunks may be empty."""
+    docs = table(spark, d, "documents").select("doc_id")
+    n = docs.count()
+    up = max(1, math.ceil(n / CHUNKS))
+    placed = positions(docs, [], ["doc_id"])
+    return placed.select("doc_id", (ntile(F.col("row_pos"), F.lit(n), CHUNKS) - 1).cast("bigint").alias("even_chunk"),
+                         F.floor((F.col("row_pos") - 1) / up).alias("ceil_chunk"))

@@ -1,0 +1,204 @@
+"""Data-parallel training: gradients are summed by Spark, the optimizer step is a small vector
+on the driver whose state lives as long as the training."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from larkspan.plans.scoring import matrix, samples
+from larkspan.registry import query
+from larkspan.session import write_table
+from larkspan.sources.tables import tables
+
+MAX_DRIVER_PARAMETERS = 4_000_000
+EPOCHS, RATE = 10, 0.1
+
+Gradient = Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, float, int]]
+
+
+class Adam:
+    """First and second moments kept from step to step."""
+
+    def __init__(self, size: int, rate: float, b1: float = 0.9, b2: float = 0.999):
+        self.m, self.v, self.t = np.zeros(size), np.zeros(size), 0
+        self.rate, self.b1, self.b2 = rate, b1, b2
+
+    def step(self, theta: np.ndarray, grad: np.ndarray) -> np.ndarray:
+        self.t += 1
+        self.m = self.b1 * self.m + (1 - self.b1) * grad
+        self.v = self.b2 * self.v + (1 - self.b2) * grad**2
+        m, v = self.m / (1 - self.b1**self.t), self.v / (1 - self.b2**self.t)
+        return theta - self.rate * m / (np.sqrt(v) + 1e-8)
+
+
+def summed_gradient(data: DataFrame, theta: np.ndarray, gradient: Gradient, x: str = "x", y: str = "y") -> tuple[np.ndarray, float, int, int]:
+    """Gradient, loss, hits and rows over the whole table. Every Arrow batch gives one partial
+    vector; Spark adds them up per position, so the driver receives one vector."""
+    if theta.size > MAX_DRIVER_PARAMETERS:
+        raise ValueError("the parameter vector must fit the driver")
+    shared = data.sparkSession.sparkContext.broadcast(theta)
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = None
+        for b in batches:
+            if len(b):
+                g, loss, hits = gradient(shared.value, matrix(b[x]), b[y].to_numpy())
+                vec = np.concatenate([g, [loss, hits, len(b)]])
+                total = vec if total is None else total + vec
+        if total is not None:
+            yield pd.DataFrame({"idx": np.arange(total.size), "v": total})
+
+    parts = data.select(x, y).mapInPandas(partial, "idx int, v double")
+    rows = parts.groupBy("idx").agg(F.sum("v").alias("v")).collect()
+    out = np.zeros(theta.size + 3)
+    for r in rows:
+        out[r["idx"]] = r["v"]
+    shared.unpersist()
+    return out[:-3], out[-3], int(out[-2]), int(out[-1])
+
+
+def softmax_gradient(n_classes: int) -> Gradient:
+    """Softmax regression with bias: summed gradient, summed cross-entropy, right answers."""
+
+    def gradient(theta: np.ndarray, x: np.ndarray, y: np.ndarray):
+        w = theta.reshape(n_classes, -1)
+        xb = np.hstack([x, np.ones((len(x), 1))])
+        z = xb @ w.T
+        z -= z.max(axis=1, keepdims=True)
+        p = np.exp(z)
+        p /= p.sum(axis=1, keepdims=True)
+        rows = np.arange(len(y))
+        loss, hits = -np.log(np.clip(p[rows, y], 1e-12, None)).sum(), (p.argmax(axis=1) == y).sum()
+        p[rows, y] -= 1
+        return (p.T @ xb).ravel(), loss, hits
+
+    return gradient
+
+
+def logistic_gradient() -> Gradient:
+    def gradient(theta: np.ndarray, x: np.ndarray, y: np.ndarray):
+        xb = np.hstack([x, np.ones((len(x), 1))])
+        p = 1 / (1 + np.exp(-(xb @ theta)))
+        loss = -(y * np.log(np.clip(p, 1e-12, None)) + (1 - y) * np.log(np.clip(1 - p, 1e-12, None))).sum()
+        return xb.T @ (p - y), loss, ((p > 0.5) == (y > 0.5)).sum()
+
+    return gradient
+
+
+def train(data: DataFrame, size: int, gradient: Gradient, epochs: int = EPOCHS, rate: float = RATE) -> tuple[np.ndarray, list[tuple]]:
+    """Full-batch Adam. The history holds the loss before each step."""
+    theta, adam, history = np.zeros(size), Adam(size, rate), []
+    for epoch in range(1, epochs + 1):
+        g, loss, hits, n = summed_gradient(data, theta, gradient)
+        if n == 0:
+            break
+        history.append((epoch, float(loss / n), float(hits / n), n))
+        theta = adam.step(theta, g / n)
+    return theta, history
+
+
+@query("train_softmax")
+def train_softmax(spark: SparkSession, d: str) -> DataFrame:
+    """Loss and accuracy per epoch of softmax regression on the embeddings."""
+    data = write_table(samples(spark, d).select("x", F.col("label").alias("y")), "training")
+    shape = data.agg(F.max("y").alias("k"), F.max(F.size("x")).alias("n")).first()
+    k, n = shape["k"] + 1, shape["n"]
+    _, history = train(data, k * (n + 1), softmax_gradient(k))
+    return spark.createDataFrame(history, "epoch int, loss double, accuracy double, n_rows bigint")
+
+
+@query("iter_logreg")
+def iter_logreg(spark: SparkSession, d: str) -> DataFrame:
+    """Binary logistic regression as an iterative job: low labels against high labels."""
+    data = write_table(samples(spark, d).select("x", (F.col("label") < 5).cast("int").alias("y")), "logreg")
+    n = data.agg(F.max(F.size("x"))).first()[0]
+    _, history = train(data, n + 1, logistic_gradient())
+    return spark.createDataFrame(history, "epoch int, loss double, accuracy double, n_rows bigint")
+
+
+@query("iter_kmeans")
+def iter_kmeans(spark: SparkSession, d: str) -> DataFrame:
+    """k-means by hand: assign in batches, sum per centre in Spark, move, until it settles."""
+    data = write_table(samples(spark, d).select("vec_id", "x"), "kmeans")
+    start = data.orderBy(F.xxhash64(F.lit(42), "vec_id"), "vec_id").limit(10).collect()
+    centres = np.array([r["x"] for r in start])
+    history = []
+    for step in range(1, 11):
+        shared = spark.sparkContext.broadcast(centres)
+
+        def assign(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                x, c = matrix(b["x"]), shared.value
+                dist = ((x**2).sum(axis=1)[:, None] - 2 * x @ c.T + (c**2).sum(axis=1)) if len(x) else np.empty((0, len(c)))
+                near = dist.argmin(axis=1)
+                for k in np.unique(near):
+                    mine = near == k
+                    vec = np.concatenate([x[mine].sum(axis=0), [mine.sum(), dist[mine, k].sum()]])
+                    yield pd.DataFrame({"k": int(k), "idx": np.arange(vec.size), "v": vec})
+
+        sums = data.select("x").mapInPandas(assign, "k int, idx int, v double").groupBy("k", "idx").agg(F.sum("v").alias("v")).collect()
+        table_ = np.zeros((len(centres), centres.shape[1] + 2))
+        for r in sums:
+            table_[r["k"], r["idx"]] = r["v"]
+        filled = table_[:, -2] > 0
+        moved = centres.copy()
+        moved[filled] = table_[filled, :-2] / table_[filled, -2:-1]
+        shift = float(((moved - centres) ** 2).sum())
+        history.append((step, float(table_[:, -1].sum()), shift, int(filled.sum())))
+        centres = moved
+        if shift < 1e-6:
+            break
+    return spark.createDataFrame(history, "step int, cost double, shift double, n_clusters int")
+
+
+@query("iter_als")
+def iter_als(spark: SparkSession, d: str) -> DataFrame:
+    """Alternating least squares by hand: factors are tables; each half step joins ratings with
+    the fixed side, sums normal equations per id, and solves them in batches."""
+    rank, reg = 4, 0.1
+    o = table_ratings(spark, d)
+    ratings = write_table(o, "ratings")
+    items = write_table(ratings.select("item").distinct().select(
+        "item", F.array(*[(F.pmod(F.xxhash64(F.lit(42), "item", F.lit(j)), F.lit(1000)) / 1000.0 - 0.5) for j in range(rank)]).alias("f")), "items")
+    history = []
+    for step in range(1, 5):
+        users = write_table(solve(ratings, items, "item", "user", rank, reg), "users")
+        items = write_table(solve(ratings, users, "user", "item", rank, reg), "items")
+        fit = ratings.join(users.withColumnRenamed("f", "uf"), "user").join(items, "item")
+        dot = F.aggregate(F.zip_with("uf", "f", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+        rmse, n = fit.agg(F.sqrt(F.avg((dot - F.col("rating")) ** 2)), F.count("*")).first()
+        history.append((step, float(rmse), n))
+    return spark.createDataFrame(history, "step int, rmse double, n_ratings bigint")
+
+
+def table_ratings(spark: SparkSession, d: str) -> DataFrame:
+    """What a customer bought from a supplier, as one rating per pair: log of the quantity."""
+    o, li = tables(spark, d, "orders", "lineitem")
+    return li.join(o, li.l_orderkey == o.o_orderkey).groupBy(F.col("o_custkey").alias("user"), F.col("l_suppkey").alias("item")).agg(
+        F.log1p(F.sum("l_quantity")).alias("rating"))
+
+
+def solve(ratings: DataFrame, fixed: DataFrame, fixed_id: str, out_id: str, rank: int, reg: float) -> DataFrame:
+    """New factors for ``out_id``. The normal equations are sums, so partial aggregation keeps
+    a hot id from being gathered in one task."""
+    joined = ratings.join(fixed, fixed_id)
+    cells = [F.sum(F.col("f")[i] * F.col("f")[j]).alias(f"a{i}_{j}") for i in range(rank) for j in range(i, rank)]
+    rhs = [F.sum(F.col("f")[i] * F.col("rating")).alias(f"b{i}") for i in range(rank)]
+    sums = joined.groupBy(out_id).agg(*cells, *rhs, F.count("*").alias("n"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            a = np.empty((len(b), rank, rank))
+            for i in range(rank):
+                for j in range(i, rank):
+                    a[:, i, j] = a[:, j, i] = b[f"a{i}_{j}"]
+            a += reg * b["n"].to_numpy()[:, None, None] * np.eye(rank)
+            rhs_ = b[[f"b{i}" for i in range(rank)]].to_numpy()[:, :, None]
+            yield pd.DataFrame({out_id: b[out_id], "f": list(np.linalg.solve(a, rhs_)[:, :, 0])})
+
+    return sums.mapInPandas(run, f"{out_id} bigint, f array<double>")
