@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-from larkspan.operators.skew import SALTS, drop_halo, percentiles, positions, prefix, ranks, with_halo
+from larkspan.operators.skew import drop_halo, percentiles, prefix, ranks, salts, with_halo
 from larkspan.registry import query
+from larkspan.session import spread
 from larkspan.sources.tables import table
 
 
@@ -103,12 +104,16 @@ def unpivot_metrics(spark: SparkSession, d: str) -> DataFrame:
        from lineitem group by 1""",
 )
 def agg_distinct(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(
-        F.count_distinct("l_partkey").alias("parts"),
-        F.count_distinct("l_suppkey", "l_linenumber").alias("supp_lines"),
+    """Several distinct aggregates. Side by side in one aggregate each would multiply the rows,
+    so the two over large domains are counted in two stages by themselves and joined."""
+    li = spread(table(spark, d, "lineitem").select("l_returnflag", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_linestatus"))
+    pair = F.struct("l_suppkey", "l_linenumber")
+    parts = salted_distinct(li, "l_returnflag", "l_partkey", "parts")
+    lines = salted_distinct(li.select("l_returnflag", pair.alias("pair")), "l_returnflag", "pair", "supp_lines")
+    small = li.groupBy("l_returnflag", "l_quantity", "l_linestatus").agg(F.count("*").alias("n")).groupBy("l_returnflag").agg(
         F.round(F.sum_distinct("l_quantity"), 2).alias("qty_distinct"),
-        F.array_join(F.sort_array(F.collect_set("l_linestatus")), ",").alias("statuses"),
-    )
+        F.array_join(F.sort_array(F.collect_set("l_linestatus")), ",").alias("statuses"))
+    return parts.join(lines, "l_returnflag").join(small, "l_returnflag")
 
 
 @query("agg_approx")
@@ -370,11 +375,11 @@ def log_stats(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def salted_distinct(df: DataFrame, key: str, item: str, out: str, salts: int = SALTS) -> DataFrame:
+def salted_distinct(df: DataFrame, key: str, item: str, out: str) -> DataFrame:
     """Exact distinct count per key in two stages: the item decides the salt, so equal items
     meet in the same task and the per-salt counts simply add up."""
     return (
-        df.groupBy(key, F.pmod(F.xxhash64(item), F.lit(salts)).alias("salt"))
+        df.groupBy(key, F.pmod(F.xxhash64(item), F.lit(salts(df))).alias("salt"))
         .agg(F.count_distinct(item).alias("c"))
         .groupBy(key).agg(F.sum("c").alias(out))
     )
@@ -390,7 +395,7 @@ def agg_salted(spark: SparkSession, d: str) -> DataFrame:
     ev = table(spark, d, "events")
     users = salted_distinct(ev, "event_type", "user_id", "users")
     totals = (
-        ev.groupBy("event_type", F.pmod(F.xxhash64("event_id"), F.lit(SALTS)).alias("salt"))
+        ev.groupBy("event_type", F.pmod(F.xxhash64("event_id"), F.lit(salts(ev))).alias("salt"))
         .agg(F.count("*").alias("n"), F.sum("value").alias("s"))
         .groupBy("event_type").agg(F.sum("n").alias("n"), F.round(F.sum("s"), 2).alias("total"))
     )

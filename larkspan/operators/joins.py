@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspan.operators.skew import HOT_ROWS, micros, prefix
+from larkspan.operators.skew import micros, prefix
 from larkspan.registry import query
 from larkspan.sources.tables import table, tables
 
@@ -161,7 +161,7 @@ def asof_join(
     direction: str = "backward",
     tolerance_micros: int | None = None,
     allow_exact: bool = True,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Each left row with the closest right row of the same ``by`` key.
 

@@ -14,11 +14,20 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Rows one task may sort for one key; a test sets it low to take the split way everywhere.
 HOT_ROWS = 20_000_000
-SALTS = 16
 PIECE = "__piece"
 
 
+def salts(df: DataFrame) -> int:
+    """Cuts of a group: as many as the cluster's shuffle has partitions."""
+    return max(16, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
+    return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+
+
 def micros(ts: str | Column) -> Column:
     """Microseconds since 1970 of a zone-less timestamp, independent of the session zone."""
     c = F.col(ts) if isinstance(ts, str) else ts
@@ -41,13 +50,14 @@ def _numeric(df: DataFrame, name: str) -> Column:
 
 
 def in_pieces(
-    df: DataFrame, keys: Sequence[str], sort_col: str, hot_rows: int = HOT_ROWS
+    df: DataFrame, keys: Sequence[str], sort_col: str, hot_rows: int | None = None
 ) -> tuple[DataFrame, bool]:
     """Add ``__piece``, ascending with ``sort_col``, so that no (key, piece) is hot.
 
     Piece borders are quantiles over all rows, so a piece holds at most about ``hot_rows``
     rows even when they all belong to one key. Without a hot group there is one piece.
     """
+    hot_rows = hot_rows or HOT_ROWS
     sizes = df.groupBy(*keys).count() if keys else df.agg(F.count("*").alias("count"))
     total, largest = sizes.agg(F.sum("count"), F.max("count")).first()
     if not largest or largest <= hot_rows:
@@ -81,7 +91,7 @@ def prefix(
     keys: Sequence[str],
     order: Sequence[str],
     specs: dict[str, tuple[str, str]],
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Running aggregates per key along ``order`` (ascending, current row included).
 
@@ -124,13 +134,13 @@ def prefix(
 
 
 def positions(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "row_pos", hot_rows: int = HOT_ROWS
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "row_pos", hot_rows: int | None = None
 ) -> DataFrame:
     """1-based row number per key; with no keys, a global row number."""
     return prefix(df.withColumn("__one", F.lit(1)), keys, order, {out: ("count", "__one")}, hot_rows).drop("__one")
 
 
-def ranks(df: DataFrame, keys: Sequence[str], value: str, tie: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+def ranks(df: DataFrame, keys: Sequence[str], value: str, tie: Sequence[str], hot_rows: int | None = None) -> DataFrame:
     """row_number, rank, dense_rank, percent_rank, cume_dist and group size along ``value``.
 
     Ranks depend only on how many rows carry each value, so they come from value counts.
@@ -189,7 +199,7 @@ def drop_halo(df: DataFrame) -> DataFrame:
 
 
 def percentiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], hot_rows: int = HOT_ROWS
+    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], hot_rows: int | None = None
 ) -> DataFrame:
     """Exact percentiles with linear interpolation, one column per entry of ``probs``.
 
@@ -233,7 +243,7 @@ def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], s
     local = Window.partitionBy(*keys, "__salt").orderBy(*order)
     final = Window.partitionBy(*keys).orderBy(*order)
     return (
-        df.withColumn("__salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)))
+        df.withColumn("__salt", F.pmod(F.xxhash64(*spread), F.lit(salts(df))))
         .withColumn(out, F.row_number().over(local)).filter(F.col(out) <= k).drop("__salt")
         .withColumn(out, F.row_number().over(final)).filter(F.col(out) <= k)
     )

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from larkspan.operators.skew import ntile, positions
 from larkspan.registry import query
+from larkspan.session import spread
 from larkspan.sources.tables import table
 
 SEED = 42
@@ -37,7 +38,7 @@ def normal(*parts: Column | int, seed: int = SEED) -> Column:
 def gen_tabular(spark: SparkSession, d: str) -> DataFrame:
     """One labelled sample per order id: ten informative features around a class centre, ten
     that mix them, and one label in twenty moved to another class."""
-    ids = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"))
+    ids = spread(table(spark, d, "orders").select(F.col("o_orderkey").alias("id")))
     rows = ids.withColumn("true_class", F.pmod(F.xxhash64(F.lit(SEED), "id"), F.lit(N_CLASSES)).cast("int"))
     centre = lambda j: normal(F.col("true_class"), j, seed=SEED + 1) * 2
     informative = F.transform(F.sequence(F.lit(0), F.lit(N_INFORMATIVE - 1)), lambda j: centre(j) + normal(F.col("id"), j))
@@ -55,7 +56,7 @@ def gen_tabular(spark: SparkSession, d: str) -> DataFrame:
 def gen_images(spark: SparkSession, d: str) -> DataFrame:
     """One image per supplier: a class pattern of sine times cosine plus noise, scaled so that
     the whole set lies in [0, 1]. The two extremes are the only values the driver sees."""
-    ids = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"))
+    ids = spread(table(spark, d, "supplier").select(F.col("s_suppkey").alias("id")))
     rows = ids.withColumn("label", F.pmod(F.xxhash64(F.lit(SEED), "id"), F.lit(IMAGE_CLASSES)).cast("int"))
 
     def pixel(p: Column) -> Column:
@@ -71,7 +72,7 @@ def gen_images(spark: SparkSession, d: str) -> DataFrame:
 @query("gen_inputs")
 def gen_inputs(spark: SparkSession, d: str) -> DataFrame:
     """Scoring inputs per customer: token ids, a feature vector and a small float tensor."""
-    ids = table(spark, d, "customer").select(F.col("c_custkey").alias("id"))
+    ids = spread(table(spark, d, "customer").select(F.col("c_custkey").alias("id")))
     tokens = F.transform(F.sequence(F.lit(0), F.lit(N_TOKENS - 1)),
                          lambda j: F.pmod(F.xxhash64(F.lit(SEED), F.col("id"), j), F.lit(VOCABULARY)).cast("int"))
     vector = F.transform(F.sequence(F.lit(0), F.lit(N_FEATURES - 1)), lambda j: F.round(normal(F.col("id"), j, seed=SEED + 5), 6))

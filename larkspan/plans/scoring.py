@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larkspan.registry import query
+from larkspan.session import spread
 from larkspan.sources.tables import table
 
 MAX_BROADCAST_PARAMETERS = 4_000_000
@@ -163,7 +164,7 @@ def score_generated(spark: SparkSession, d: str) -> DataFrame:
     seed, n_features, n_classes = 42, 8, 5
     feature = lambda j: F.pmod(F.xxhash64(F.lit(seed), F.col("id"), F.lit(j)), F.lit(1_000_003)) / 1_000_003 * 2 - 1
     wts = np.sin(np.arange(n_classes * n_features, dtype=np.float64)).reshape(n_classes, n_features)
-    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("id")).select(
+    rows = spread(table(spark, d, "orders").select(F.col("o_orderkey").alias("id"))).select(
         "id", F.array(*[feature(j) for j in range(n_features)]).alias("x"))
     scored = rows.select("id", linear_scorer(spark, wts)("x").alias("logits")).select(
         "id", (F.array_position("logits", F.array_max("logits")) - 1).cast("int").alias("prediction"))

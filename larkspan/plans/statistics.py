@@ -239,9 +239,9 @@ def metrics_multiclass(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "metrics_multilabel",
     """with s as (select l_orderkey, list(distinct l_returnflag) filter (l_quantity > 25) as p, list(distinct l_returnflag) filter (l_discount > 0.05) as a from lineitem group by 1),
-         t as (select coalesce(p, []) as p, coalesce(a, []) as a from s), u as (select len(p) as np, len(a) as na, len(list_intersect(p, a)) as both from t)
-       select count(*) as n, round(avg(case when np + na - both = 0 then 0 else both / (np + na - both) end), 9) as jaccard, round(avg(case when np > 0 then both / np else 0 end), 9) as precision,
-         round(avg(case when na > 0 then both / na else 0 end), 9) as recall, round(avg((np - both + na - both) / 3.0), 9) as hamming, round(sum(both) / sum(np), 9) as micro_precision from u""",
+         t as (select coalesce(p, []) as p, coalesce(a, []) as a from s), u as (select len(p) as np, len(a) as na, len(list_intersect(p, a)) as shared from t)
+       select count(*) as n, round(avg(case when np + na - shared = 0 then 0 else shared / (np + na - shared) end), 9) as jaccard, round(avg(case when np > 0 then shared / np else 0 end), 9) as precision,
+         round(avg(case when na > 0 then shared / na else 0 end), 9) as recall, round(avg((np - shared + na - shared) / 3.0), 9) as hamming, round(sum(shared) / sum(np), 9) as micro_precision from u""",
 )
 def metrics_multilabel(spark: SparkSession, d: str) -> DataFrame:
     """Predicted against actual label sets of an order; a set has at most three labels."""

@@ -13,7 +13,6 @@ from larkspan.registry import query
 from larkspan.session import scratch_path
 from larkspan.sources.tables import SCHEMAS, table, table_path, tables
 
-BUCKETS = 16
 
 
 def _name(prefix: str) -> str:
@@ -185,12 +184,12 @@ def partitioned_write(spark: SparkSession, d: str) -> DataFrame:
 )
 def bucketed_table(spark: SparkSession, d: str) -> DataFrame:
     """Both tables bucketed and sorted on the order key: the join reads matching buckets
-    without a shuffle. The number of buckets follows the data in a real deployment."""
-    names = {}
+    without a shuffle. There are as many buckets as the cluster's shuffle has partitions."""
+    names, buckets = {}, int(spark.conf.get("spark.sql.shuffle.partitions"))
     for base, key in (("orders", "o_orderkey"), ("lineitem", "l_orderkey")):
         names[base] = _name(base)
         # One task per bucket writes that bucket's single file.
-        (table(spark, d, base).repartition(BUCKETS, key).write.bucketBy(BUCKETS, key).sortBy(key)
+        (table(spark, d, base).repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key)
          .option("path", scratch_path(spark, base)).saveAsTable(names[base], format="parquet"))
     o, li = spark.table(names["orders"]), spark.table(names["lineitem"])
     return li.join(o.hint("merge"), li.l_orderkey == o.o_orderkey).groupBy("o_orderpriority").agg(

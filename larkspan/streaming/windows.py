@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspan.registry import query
-from larkspan.session import scratch_path
+from larkspan.session import scratch_path, setting
 from larkspan.sources.tables import SCHEMAS, table
 from larkspan.streaming.runner import land, land_in_slices, land_marker, run, source, with_clock
 
@@ -101,6 +101,11 @@ SESSIONS_SQL = """with m as (select *, case when ts - lag(ts) over w < interval
 def stream_session(spark: SparkSession, d: str) -> DataFrame:
     """Session windows with a three-hour gap. Sessions are first merged inside each input
     partition, which keeps a busy user's rows out of the shuffle."""
+    with setting(spark, "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true"):
+        return _sessions(spark, d)
+
+
+def _sessions(spark: SparkSession, d: str) -> DataFrame:
     ev = with_clock(event_stream(spark, d, marker=True))
     agg = ev.groupBy("user_id", F.session_window("ts", "3 hours").alias("w")).agg(F.count("*").alias("n"), F.sum("value").alias("s"))
     return run(agg, "append").all().filter("user_id >= 0").select(
