@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larkspan.plans.generation import gen_tabular
 from larkspan.plans.scoring import matrix, samples
 from larkspan.registry import query
 from larkspan.session import write_table
@@ -102,10 +103,14 @@ def train(data: DataFrame, size: int, gradient: Gradient, epochs: int = EPOCHS,
     return theta, history
 
 
+def two_classes(spark: SparkSession, d: str) -> DataFrame:
+    return gen_tabular(spark, d).select(F.col("features").alias("x"), (F.col("label") < 2).cast("int").alias("y"))
+
+
 @query("train_softmax")
 def train_softmax(spark: SparkSession, d: str) -> DataFrame:
-    """Loss and accuracy per epoch of softmax regression on the embeddings."""
-    data = write_table(samples(spark, d).select("x", F.col("label").alias("y")), "training")
+    """Loss and accuracy per epoch of softmax regression on the tabular samples."""
+    data = write_table(gen_tabular(spark, d).select(F.col("features").alias("x"), F.col("label").alias("y")), "training")
     shape = data.agg(F.max("y").alias("k"), F.max(F.size("x")).alias("n")).first()
     k, n = shape["k"] + 1, shape["n"]
     _, history = train(data, k * (n + 1), softmax_gradient(k))
@@ -114,8 +119,8 @@ def train_softmax(spark: SparkSession, d: str) -> DataFrame:
 
 @query("iter_logreg")
 def iter_logreg(spark: SparkSession, d: str) -> DataFrame:
-    """Binary logistic regression as an iterative job: low labels against high labels."""
-    data = write_table(samples(spark, d).select("x", (F.col("label") < 5).cast("int").alias("y")), "logreg")
+    """Binary logistic regression as an iterative job: two classes against the other three."""
+    data = write_table(two_classes(spark, d), "logreg")
     n = data.agg(F.max(F.size("x"))).first()[0]
     _, history = train(data, n + 1, logistic_gradient())
     return spark.createDataFrame(history, "epoch int, loss double, accuracy double, n_rows bigint")

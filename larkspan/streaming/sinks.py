@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQueryListener
 
 from larkspan.operators.skew import top_per_group
 from larkspan.plans.scoring import samples
-from larkspan.plans.training import Adam, logistic_gradient, summed_gradient
+from larkspan.plans.training import Adam, logistic_gradient, summed_gradient, two_classes
 from larkspan.registry import query
 from larkspan.session import scratch_path
 from larkspan.sources.tables import table
@@ -160,17 +160,16 @@ def stream_ab_test(spark: SparkSession, d: str) -> DataFrame:
                                  "n_a bigint, n_b bigint, mean_a double, mean_b double, t_value double, degrees double")
 
 
-def _sample_stream(spark: SparkSession, d: str) -> DataFrame:
-    rows = samples(spark, d).select("x", (F.col("label") < 5).cast("int").alias("y"))
-    path = scratch_path(spark, "samples-in")
+def _land_stream(rows: DataFrame) -> DataFrame:
+    path = scratch_path(rows.sparkSession, "samples-in")
     land(rows.repartition(4), path)
-    return source(spark, path, rows.schema)
+    return source(rows.sparkSession, path, rows.schema)
 
 
 @query("stream_logreg")
 def stream_logreg(spark: SparkSession, d: str) -> DataFrame:
     """Logistic regression that takes a few optimizer steps on every micro-batch."""
-    stream = _sample_stream(spark, d)
+    stream = _land_stream(two_classes(spark, d))
     model: dict = {"theta": None, "adam": None, "history": []}
 
     def learn(batch: DataFrame, batch_id: int) -> None:
@@ -193,7 +192,7 @@ def stream_logreg(spark: SparkSession, d: str) -> DataFrame:
 @query("stream_kmeans")
 def stream_kmeans(spark: SparkSession, d: str) -> DataFrame:
     """Centres that move with every micro-batch: old weight halves, new sums come in."""
-    stream, k, decay = _sample_stream(spark, d), 5, 0.5
+    stream, k, decay = _land_stream(samples(spark, d).select("x")), 5, 0.5
     model: dict = {"centres": None, "weight": np.zeros(k), "history": []}
 
     def learn(batch: DataFrame, batch_id: int) -> None:
