@@ -306,9 +306,12 @@ def crosstab(spark: SparkSession, d: str) -> DataFrame:
        from events""",
 )
 def observe_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Counters filled while another job runs; here while the events are scanned into nothing."""
+    """Counters filled while another job runs; here while the events are scanned into nothing.
+
+    The observed job has a session of its own: a session that has observed anything can no
+    longer ship some fitted models to its tasks."""
     obs = Observation("events")
-    ev = table(spark, d, "events").select("value").observe(
+    ev = table(spark.newSession(), d, "events").select("value").observe(
         obs, F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("value") > 100).alias("n_large"),
         F.round(F.sum("value"), 2).alias("total"), F.max("value").alias("top"))
     ev.write.format("noop").mode("overwrite").save()
