@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspan.llm import chat_format
+from larkspan.llm import chat_format, decontaminate, line_dedup
 from larkspan.registry import Query
 from larkspan.sources.tables import table
 
@@ -63,3 +63,67 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("loss_text", 256).alias("loss_sha256"),
         "formatted_chars",
     )
+
+
+@query(
+    "op7_line_dedup",
+    r"""
+    with l as (
+      select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line,
+        generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as pos
+      from documents
+    ), k as (
+      select *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from l
+    ), c as (
+      select key, count(distinct doc_id) as n_docs, max(doc_id) as last_doc from k where length(key) >= 20 group by key
+    ), m as (
+      select k.*, coalesce(n_docs >= 3 and doc_id < last_doc, false) as gone from k left join c using (key)
+    )
+    select doc_id, count(*) as n_lines, count(*) filter (gone) as n_dropped,
+      sha256(coalesce(string_agg(line, chr(10) order by pos) filter (not gone), '')) as kept_sha256
+    from m group by doc_id
+    """,
+)
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query(
+    "op9_decontaminate",
+    r"""
+    with dw as (
+      select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents
+    ), iw as (
+      select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark
+    ), ip as (
+      select item_id, w, least(10, len(w)) as n, unnest(range(1, greatest(len(w) - 9, 1) + 1)) as i from iw where len(w) > 0
+    ), win as (select distinct item_id, n, array_to_string(w[i:i + n - 1], ' ') as s from ip
+    ), dp as (
+      select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as i from dw, (select distinct n from win) where len(w) >= n
+    ), hit as (
+      select doc_id, i, win.n, item_id from dp join win on win.n = dp.n and win.s = array_to_string(w[i:i + dp.n - 1], ' ')
+    ), pos as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + n)) as p from hit) group by doc_id
+    ), items as (
+      select doc_id, count(*) as n_items, string_agg(k, ',' order by k) as ids
+      from (select distinct doc_id, item_id::varchar as k from hit) group by doc_id
+    )
+    select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+      sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+    from dw left join pos using (doc_id) left join items using (doc_id)
+    """,
+)
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.find_benchmark(docs, table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
