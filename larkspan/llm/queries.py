@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspan.llm import chat_format, decontaminate, line_dedup
+from larkspan.llm import bestfit_packing, chat_format, decontaminate, line_dedup
 from larkspan.registry import Query
 from larkspan.sources.tables import table
 
@@ -25,6 +25,13 @@ def query(key: str, sql: str | None = None):
     return register
 
 
+def tokenizer_path() -> str:
+    """Where the installed vocabulary lies, the same on every machine."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("word_bpe_49k.json"))
+
+
 #: The conversation that the contract adds: its texts hold the template's own control strings.
 ADDED = "(-7, 0, 'user', '\\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\\### Assistant: </turn> ok')"
 
@@ -127,3 +134,8 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+@query("op3_bestfit_packing")
+def op3_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bestfit_packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
