@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspan.llm import bestfit_packing, chat_format, decontaminate, line_dedup
+from larkspan.llm import bestfit_packing, chat_format, decontaminate, line_dedup, warc
 from larkspan.registry import Query
+from larkspan.session import scratch_path
 from larkspan.sources.tables import table
 
 QUERIES: dict[str, Query] = {}
@@ -139,3 +140,21 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_bestfit_packing")
 def op3_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bestfit_packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
+
+
+@query(
+    "op5_warc",
+    """
+    with p as (
+      select page_id, coalesce(html, '') as html, strlen(coalesce(html, '')) as n, sha256(coalesce(html, '')) as h from pages
+    ), f as (select *, case when n >= 100 then min(page_id) over (partition by h) else page_id end as first from p)
+    select page_id, n as payload_bytes, h as payload_digest,
+      case when page_id = first then 'response' else 'revisit' end as record_type,
+      case when page_id <> first then first end as refers_to
+    from f
+    """,
+)
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "archives")
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    return warc.page_facts(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
