@@ -15,7 +15,9 @@ from __future__ import annotations
 
 import os
 import re
+import sys
 import zlib
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -27,33 +29,70 @@ from pyspark.sql import functions as F
 
 from larkspan.session import write_table
 
-#: White space that every tokenizer with the same rule drops; other kinds are left to the tokenizer itself.
+#: White space that the tokenizer drops. Other kinds stay inside a word and are left to the tokenizer.
 _GAP = re.compile("[ \n\t\r]+")
-_KEEP_WORDS = 300_000
+#: Words of these characters are the same in NFC, change case one by one, and split alike here and in the tokenizer.
+_PLAIN = re.compile("[!-~\u00c0-\u012f\u0131-\u0148\u014a-\u017e]+")
+#: How the tokenizer splits a plain word in lower case.
+_PARTS = re.compile(
+    "'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017e]+|[0-9]|[^a-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017e]+"
+)
+_LETTERS = re.compile("[a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017e]+")
+_KEEP_WORDS, _KEEP_PARTS = 400_000, 300_000
+
+
+def byte_characters() -> list[str]:
+    """The character that stands for each byte in a byte-level vocabulary: printable ones for themselves, the others
+    in turn from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in shown]
+    return [chr(b) if b in shown else chr(256 + hidden.index(b)) for b in range(256)]
 
 
 class WordTokens:
-    """Token ids of texts, as little-endian bytes, for a tokenizer that drops white space before it looks at words: then the ids
-    of a text are those of its words in a row, and words met before need not be encoded again."""
+    """Token ids of texts, as little-endian bytes, for a byte-level tokenizer that drops white space first: the ids of a text are then
+    those of its words in a row, and those of a plain word are those of its parts. What was met before is not encoded
+    again; words that are not plain, and those that may hold special tokens, go through the whole tokenizer."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.model = self.tokenizer.model
+        self.shown = dict(enumerate(byte_characters()))
         self.known: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [[w for w in _GAP.split(t) if w] for t in texts]
+        self.parts: dict[str, bytes] = {}
+
+    def _part(self, part: str) -> bytes:
+        ids = self.parts.get(part)
+        if ids is None:
+            shown = part if part.isascii() else part.encode().decode("latin-1").translate(self.shown)
+            found = array("I", [t.id for t in self.model.tokenize(shown)])
+            if sys.byteorder == "big":
+                found.byteswap()
+            ids = self.parts[part] = found.tobytes()
+        return ids
+
+    def _word(self, word: str) -> bytes:
+        if len(word) < 200 and _PLAIN.fullmatch(word) and not any(t in word for t in self.special if t[0] in word):
+            low = word.lower()
+            return self._part(low) if _LETTERS.fullmatch(low) else b"".join([self._part(p) for p in _PARTS.findall(low)])
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def encode(self, text: str) -> bytes:
         if len(self.known) > _KEEP_WORDS:
             self.known.clear()
-        new = list({w for words in split for w in words if w not in self.known})
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
-        get = self.known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        if len(self.parts) > _KEEP_PARTS:
+            self.parts.clear()
+        known, out = self.known, []
+        for word in _GAP.split(text):
+            ids = known.get(word)
+            if ids is None:
+                ids = known[word] = self._word(word) if word else b""
+            out.append(ids)
+        return b"".join(out)
 
 
 def minimum_bin_slack(counts: dict[int, int], capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:
@@ -115,8 +154,8 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: in
             for i in range(0, len(pdf), 200):
                 part = pdf.iloc[i : i + 200]
                 rows = []
-                for doc_id, ids in zip(part["doc_id"], encoder.encode([t or "" for t in part["text"]])):
-                    ids += end
+                for doc_id, text in zip(part["doc_id"], part["text"]):
+                    ids = encoder.encode(text or "") + end
                     for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                         body = ids[at : at + 4 * capacity]
                         rows.append((doc_id, piece, at // 4, len(body) // 4, zlib.crc32(body), *([np.frombuffer(body, "<i4")] if with_ids else [])))
