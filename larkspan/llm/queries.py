@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspan.llm import bestfit_packing, chat_format, decontaminate, line_dedup, warc
+from larkspan.llm import bestfit_packing, chat_format, decontaminate, line_dedup, quality, toxicity, warc
+from larkspan.llm.labelled import held_out
 from larkspan.registry import Query
-from larkspan.session import scratch_path
+from larkspan.session import scratch_path, write_table
 from larkspan.sources.tables import table
 
 QUERIES: dict[str, Query] = {}
@@ -158,3 +159,21 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "archives")
     warc.write_archives(table(spark, sf_dir, "pages"), path)
     return warc.page_facts(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def _judged(scored: DataFrame, cut: float) -> DataFrame:
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
+
+
+@query("op2_toxicity")
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train_on(docs, table(spark, sf_dir, "labels"))
+    return _judged(toxicity.score_toxicity(docs, model).select("doc_id", "score"), 0.5)
+
+
+@query("op6_quality")
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    stats = write_table(quality.document_statistics(docs), "document-statistics")
+    return _judged(quality.score_quality(stats, quality.train_on(stats, table(spark, sf_dir, "labels"))), 0.3)
