@@ -29,8 +29,6 @@ from pyspark.sql import functions as F
 
 from larkspan.session import write_table
 
-#: White space that the tokenizer drops. Other kinds stay inside a word and are left to the tokenizer.
-_GAP = re.compile("[ \n\t\r]+")
 #: Words of these characters are the same in NFC, change case one by one, and split alike here and in the tokenizer.
 _PLAIN = re.compile("[!-~\u00c0-\u012f\u0131-\u0148\u014a-\u017e]+")
 #: How the tokenizer splits a plain word in lower case.
@@ -87,7 +85,8 @@ class WordTokens:
         if len(self.parts) > _KEEP_PARTS:
             self.parts.clear()
         known, out = self.known, []
-        for word in _GAP.split(text):
+        # other white space stays inside a word and is left to the tokenizer
+        for word in text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "):
             ids = known.get(word)
             if ids is None:
                 ids = known[word] = self._word(word) if word else b""
