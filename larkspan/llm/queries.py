@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspan.llm import bestfit_packing, chat_format, decontaminate, line_dedup, quality, toxicity, warc
+from larkspan.llm import bestfit_packing, chat_format, decontaminate, line_dedup, minhash_dedup, quality, toxicity, warc
 from larkspan.llm.labelled import held_out
 from larkspan.registry import Query
 from larkspan.session import scratch_path, write_table
@@ -177,3 +177,8 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     stats = write_table(quality.document_statistics(docs), "document-statistics")
     return _judged(quality.score_quality(stats, quality.train_on(stats, table(spark, sf_dir, "labels"))), 0.3)
+
+
+@query("op1_minhash_dedup")
+def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.find_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
