@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspan.llm import bestfit_packing, chat_format, decontaminate, line_dedup, minhash_dedup, quality, toxicity, warc
+from larkspan.llm import bestfit_packing, chat_format, decontaminate, line_dedup, minhash_dedup, quality, suffix_dedup, toxicity, warc
 from larkspan.llm.labelled import held_out
 from larkspan.registry import Query
 from larkspan.session import scratch_path, write_table
@@ -182,3 +182,11 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_minhash_dedup")
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.find_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op8_suffix_dedup")
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select(
+        "doc_id", "n_bytes", "n_removed", F.size("removed").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
