@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspan.llm.components import components
-from larkspan.session import write_table
+from larkspan.session import setting, write_table
 
 _PART = 4096  # shingles hashed at a time
 
@@ -145,7 +145,9 @@ def _mixed_candidates(buckets: DataFrame, sets: DataFrame, parts: DataFrame, pla
         .select("band", F.col("main.component").alias("main"), F.ceil((F.col("size") - F.col("main.n")) / outside).alias("outs"), F.ceil(F.col("size") / inside).alias("ins"))
     )
     rows = write_table(rows.drop("size").join(mixed, "band"), "mixed-members")
-    total = rows.count()
+    # rows after every member has been copied to the blocks it takes part in
+    copies = F.when(F.col("component") != F.col("main"), F.col("ins")).otherwise(0) + F.col("outs")
+    total = rows.agg(F.sum(copies)).first()[0]
     if not total:
         return None
     rows = rows.join(sets.select("rep", "n", "sig"), "rep")
@@ -156,7 +158,7 @@ def _mixed_candidates(buckets: DataFrame, sets: DataFrame, parts: DataFrame, pla
     other = rows.select("*", F.lit(False).alias("asks"), own(F.col("ins"), 5).alias("i"), F.explode(span(F.col("outs"))).alias("o"))
     columns = ["band", "o", "i", "asks", "rep", "component", "n", "sig"]
     blocks = asked.select(*columns).unionByName(other.select(*columns))
-    groups = max(1, math.ceil(total / 4000))
+    groups = math.ceil(total / 8000)
     least = (plan.percent / 100 - plan.slack) * plan.bands * plan.rows
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -184,7 +186,12 @@ def _mixed_candidates(buckets: DataFrame, sets: DataFrame, parts: DataFrame, pla
 
 def find_duplicates(docs: DataFrame, plan: Plan | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of ``docs(doc_id, text)``."""
-    plan = plan or Plan()
+    # pairs of long texts stand in one batch: batches are bounded by bytes, not by rows alone
+    with setting(docs.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20)):
+        return _find_duplicates(docs, plan or Plan())
+
+
+def _find_duplicates(docs: DataFrame, plan: Plan) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     signed = write_table(signatures(docs, plan), "signatures")
     firsts = signed.where("n > 0 and doc_id is not null").groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "n", "sig")).alias("s"))
