@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspan.llm import bestfit_packing, chat_format, decontaminate, line_dedup, minhash_dedup, quality, suffix_dedup, toxicity, warc
+from larkspan.llm import bestfit_packing, chat_format, decontaminate, embedding_dedup, line_dedup, minhash_dedup, quality, suffix_dedup, toxicity, warc
 from larkspan.llm.labelled import held_out
 from larkspan.registry import Query
 from larkspan.session import scratch_path, write_table
@@ -190,3 +190,8 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select(
         "doc_id", "n_bytes", "n_removed", F.size("removed").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
     )
+
+
+@query("op4_embedding_dedup")
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.find_links(table(spark, sf_dir, "embeddings"))
