@@ -9,9 +9,9 @@ Round 1: Spark sorts (rank, rank of the surroundings that windows through this p
 all four, so that no rank, however frequent, lands in one task. A rank that stands alone is dropped. An occurrence
 whose surroundings already stood earlier is covered whole and done. What is left are the first occurrences of different
 surroundings of one rank.
-Round 2: their windows of the full length are ranked. Occurrences of one rank are dealt in blocks of bounded size; in a block the
-first of equal windows stays, the others are covered. Only ranks of more than one block meet again, as rows per
-window, in a grouping that is combined before its shuffle.
+Round 2: their windows of the full length are ranked. All occurrences of one rank meet in one task, unless there are more than
+``block`` of them: those are ranked at growing lengths, by Spark, on what ranges of neighbouring windows have in common; what
+stands alone is dropped, ranges shrink to single windows, and a grouping that is combined before its shuffle finds the first of each.
 
 Defined cases: a null text is empty; texts shorter than ``length`` lose nothing; rows without a doc_id come last; rows that share
 a doc_id are ordered by start and by the checksum of their text, and equal rows count as one; an empty table gives no rows; extra columns
@@ -96,19 +96,25 @@ def _positions(docs: DataFrame, length: int) -> DataFrame:
     """h (rank), c (rank of the surroundings), d (document), pt (position and checksum of the text)."""
 
     def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def frame(parts):
+            at, h, c, d, mark = zip(*parts)
+            n = [len(x) for x in at]
+            pt = (np.concatenate(at) << 32) | np.repeat(np.array(mark, np.int64), n)
+            return pd.DataFrame({"h": np.concatenate(h).view(np.int64), "c": np.concatenate(c).view(np.int64), "d": np.repeat(np.array(d, np.int64), n), "pt": pt})
+
         for pdf in batches:
-            out, held = [], 0
+            parts, held = [], 0
             for d, text in zip(pdf["d"], pdf["text"]):
                 data = _packed(text)
                 at, h, c = chosen(np.frombuffer(data, np.uint8), length)
                 if len(at):
-                    out.append(pd.DataFrame({"h": h.view(np.int64), "c": c.view(np.int64), "d": d, "pt": (at << 32) | zlib.crc32(data)}))
+                    parts.append((at, h, c, d, zlib.crc32(data)))
                     held += len(at)
                 if held > 100_000:
-                    yield pd.concat(out)
-                    out, held = [], 0
-            if out:
-                yield pd.concat(out)
+                    yield frame(parts)
+                    parts, held = [], 0
+            if parts:
+                yield frame(parts)
 
     return docs.select("d", "text").mapInPandas(choose, "h bigint, c bigint, d bigint, pt bigint")
 
@@ -138,29 +144,64 @@ def _first_round(positions: DataFrame) -> DataFrame:
 
 
 def _surroundings(docs: DataFrame, open_rows: DataFrame, length: int) -> DataFrame:
-    """h, deal, blocks, d, pt, left, bytes for each occurrence that is to be compared."""
+    """h, d, pt, left, bytes, crowded for each occurrence that is to be compared."""
     width = length - GRAM + 1
-    asked = open_rows.groupBy("d").agg(F.collect_list(F.struct("h", "pt", "block", "blocks")).alias("asked"))
+    asked = open_rows.groupBy("d").agg(*[F.collect_list(x).alias(x) for x in ("h", "pt", "crowded")])
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         opened = zstandard.ZstdDecompressor()
         for pdf in batches:
-            for d, z, asked in zip(pdf["d"], pdf["z"], pdf["asked"]):
+            h, d, pt, left, crowded, pieces = [], [], [], [], [], []
+            for doc, z, hs, pts, many in zip(pdf["d"], pdf["z"], pdf["h"], pdf["pt"], pdf["crowded"]):
                 data = opened.decompress(z)
-                mark, out = zlib.crc32(data), []
-                for a in asked:
-                    at = a["pt"] >> 32
-                    if a["pt"] & 0xFFFFFFFF == mark:
-                        begin = max(0, at - width + 1)
-                        out.append((a["h"], a["block"], a["blocks"], d, a["pt"], at - begin, data[begin : at + length]))
+                pts = np.asarray(pts, np.int64)
+                mine = (pts & 0xFFFFFFFF) == zlib.crc32(data)
+                at = pts[mine] >> 32
+                begin = np.maximum(at - width + 1, 0)
+                h.append(np.asarray(hs, np.int64)[mine])
+                d.append(np.full(len(at), doc, np.int64))
+                pt.append(pts[mine])
+                left.append(at - begin)
+                crowded.append(np.asarray(many, bool)[mine])
+                pieces += [data[i:j] for i, j in zip(begin.tolist(), (at + length).tolist())]
+            if pieces:
+                h, d, pt, left, crowded = (np.concatenate(x) for x in (h, d, pt, left, crowded))
+                yield pd.DataFrame({"h": h, "d": d, "pt": pt, "left": left, "crowded": crowded, "bytes": pieces})
+
+    joined = docs.join(asked, "d").select("d", "z", "h", "pt", "crowded")
+    return joined.mapInPandas(cut, "h bigint, d bigint, pt bigint, left int, crowded boolean, bytes binary")
+
+
+def _refined(rows: DataFrame, length: int, sizes: tuple[int, ...] = (18, 5, 1)) -> DataFrame:
+    """For ranks with many occurrences: windows (name, d, pt, lo, hi) that stand more than once. Neighbouring windows are ranked by what they
+    have in common, in ranges that shrink to single windows; a range whose common bytes stand alone is dropped with all its windows."""
+    width = length - GRAM + 1
+    state = rows.select("h", "d", "pt", "left", "bytes", F.lit(0).alias("lo"), F.lit(width - 1).alias("hi"))
+
+    for size in sizes:
+
+        def split(batches: Iterator[pd.DataFrame], size=size) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                out = []
+                for h, d, pt, left, data, lo, hi in pdf[["h", "d", "pt", "left", "bytes", "lo", "hi"]].itertuples(index=False):
+                    gap = width - 1 - left  # where the bytes begin on the scale of windows
+                    for a in range(lo, hi + 1, size):
+                        b = min(a + size - 1, hi)
+                        if b >= gap and a <= gap + len(data) - length:
+                            name = xxhash.xxh64_intdigest(data[max(b - gap, 0) : a + length - gap], (h ^ (a << 8) ^ b) & 0xFFFFFFFFFFFFFFFF)
+                            out.append((h, d, pt, left, data, a, b, name - 2**63))
                 if out:
-                    yield pd.DataFrame(out, columns=["h", "block", "blocks", "d", "pt", "left", "bytes"])
+                    yield pd.DataFrame(out, columns=["h", "d", "pt", "left", "bytes", "lo", "hi", "name"])
 
-    return docs.join(asked, "d").select("d", "z", "asked").mapInPandas(cut, "h bigint, block int, blocks int, d bigint, pt bigint, left int, bytes binary")
+        state = write_table(state.mapInPandas(split, "h bigint, d bigint, pt bigint, left int, bytes binary, lo int, hi int, name bigint"), "ranges")
+        several = state.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
+        state = state.join(several, "name", "left_semi")
+    start = F.shiftright("pt", 32) - (width - 1) + F.col("lo")
+    return state.select("name", "d", "pt", start.alias("lo"), (start + length).alias("hi"))
 
 
 def _second_round(rows: DataFrame, groups: int, length: int) -> DataFrame:
-    """Covered stretches (d, pt, lo, hi; name is null), and windows that must be compared between blocks (name, d, pt, lo, hi)."""
+    """Covered stretches (d, pt, lo, hi). All occurrences of a rank are in one group."""
     width = length - GRAM + 1
     size = width - 1 + length
     base = int(_STEPS[6])
@@ -172,12 +213,11 @@ def _second_round(rows: DataFrame, groups: int, length: int) -> DataFrame:
         back[i] = np.uint64(int(back[i - 1]) * inverse % 2**64)
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["h", "block", "d", "pt"], kind="stable")
-        h, block, blocks, d, pt = (pdf[x].to_numpy(np.int64) for x in ("h", "block", "blocks", "d", "pt"))
+        pdf = pdf.sort_values(["h", "d", "pt"], kind="stable")
+        h, d, pt = (pdf[x].to_numpy(np.int64) for x in ("h", "d", "pt"))
         left = pdf["left"].to_numpy(np.int64)
         right = np.fromiter(map(len, pdf["bytes"]), np.int64, len(pdf)) - left
         lo, hi = np.full(len(pdf), size, np.int64), np.full(len(pdf), -1, np.int64)
-        names, who, where = [], [], []
         sums = np.zeros((len(pdf), size + 1), np.uint64)
         for i in range(0, len(pdf), 2048):
             part = slice(i, i + 2048)
@@ -192,28 +232,18 @@ def _second_round(rows: DataFrame, groups: int, length: int) -> DataFrame:
                 continue
             name = (sums[fits, s + length] - sums[fits, s]) * back[s]
             name = (name ^ (name >> np.uint64(31))) * _STEPS[4] + own[fits] + np.uint64(s)
-            within = name ^ (block[fits].view(np.uint64) * _STEPS[3])
-            _, first, place = np.unique(within, return_index=True, return_inverse=True)
+            _, first, place = np.unique(name, return_index=True, return_inverse=True)
             first = fits[first][place]
             later = (d[fits] != d[first]) | (pt[fits] != pt[first])
             gone = fits[later]
             lo[gone], hi[gone] = np.minimum(lo[gone], s), s
-            stays = ~later & (blocks[fits] > 1)
-            names.append(name[stays].view(np.int64))
-            who.append(fits[stays])
-            where.append(np.full(int(stays.sum()), s))
         at = pt >> 32
         hit = hi >= 0
         start = at - (width - 1)
-        out = [pd.DataFrame({"name": pd.array([pd.NA] * int(hit.sum()), "Int64"), "d": d[hit], "pt": pt[hit], "lo": start[hit] + lo[hit], "hi": start[hit] + hi[hit] + length})]
-        if names:
-            who, where = np.concatenate(who), np.concatenate(where)
-            begin = start[who] + where
-            out.append(pd.DataFrame({"name": pd.array(np.concatenate(names), "Int64"), "d": d[who], "pt": pt[who], "lo": begin, "hi": begin + length}))
-        return pd.concat(out)
+        return pd.DataFrame({"d": d[hit], "pt": pt[hit], "lo": start[hit] + lo[hit], "hi": start[hit] + hi[hit] + length})
 
-    dealt = rows.withColumn("deal", F.pmod(F.xxhash64("h", "block"), F.lit(groups)))
-    return dealt.groupBy("deal").applyInPandas(compare, "name bigint, d bigint, pt bigint, lo bigint, hi bigint")
+    dealt = rows.withColumn("deal", F.pmod(F.xxhash64("h"), F.lit(groups)))
+    return dealt.groupBy("deal").applyInPandas(compare, "d bigint, pt bigint, lo bigint, hi bigint")
 
 
 def remove_repeats(docs: DataFrame, length: int = 100, block: int = 4096, group: int = 16_384) -> DataFrame:
@@ -233,18 +263,32 @@ def remove_repeats(docs: DataFrame, length: int = 100, block: int = 4096, group:
     sifted = write_table(_first_round(_positions(docs, length)), "sifted-positions")
     rows = sifted.where("not done").select("h", "d", "pt")
     waiting = rows.count()
-    crowded = rows.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > block).select("h", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    rows = rows.join(crowded, "h", "left").select("h", "d", "pt", F.coalesce("blocks", F.lit(1)).alias("blocks"))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("d", "pt"), F.col("blocks")).cast("int"))
-    found = write_table(_second_round(_surroundings(pressed, rows, length), max(1, math.ceil(waiting / group)), length), "covered")
-    windows = found.where("name is not null")
-    firsts = windows.groupBy("name").agg(F.min(F.struct("d", "pt")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    crowded = rows.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > block).select("h", F.lit(True).alias("crowded"))
+    rows = rows.join(crowded, "h", "left").select("h", "d", "pt", F.coalesce("crowded", F.lit(False)).alias("crowded"))
+    around = write_table(_surroundings(pressed, rows, length), "surroundings")
+    found = write_table(_second_round(around.where("not crowded"), max(1, math.ceil(waiting / group)), length), "covered")
+    windows = _refined(around.where("crowded"), length)
+    firsts = windows.groupBy("name").agg(F.min(F.struct("d", "pt")).alias("first"))
     late = windows.join(firsts, "name").where((F.col("d") != F.col("first.d")) | (F.col("pt") != F.col("first.pt")))
     at = F.shiftright("pt", 32)
     whole = sifted.where("done").select("d", "pt", (at - (width - 1)).alias("lo"), (at + length).alias("hi"))
-    covered = whole.unionByName(found.where("name is null").drop("name")).unionByName(late.select("d", "pt", "lo", "hi"))
+    covered = whole.unionByName(found).unionByName(late.select("d", "pt", "lo", "hi"))
     mark = F.col("pt").bitwiseAND(F.lit(0xFFFFFFFF))
-    spans = covered.groupBy("d").agg(F.collect_list(F.struct(mark.alias("mark"), "lo", "hi")).alias("spans"))
+    lists = [F.collect_list(x).alias(y) for x, y in ((mark, "mark"), (F.col("lo"), "lo"), (F.col("hi"), "hi"))]
+    spans = covered.groupBy("d").agg(*lists)
+
+    def stretches(r, data: bytes) -> tuple[list[int], list[int]]:
+        """Begins and ends of the maximal runs that go."""
+        if r.mark is None:
+            return [], []
+        mine = np.asarray(r.mark, np.int64) == zlib.crc32(data)
+        lo, hi = (np.clip(np.asarray(x, np.int64)[mine], 0, len(data)) for x in (r.lo, r.hi))
+        if not len(lo):
+            return [], []
+        order = np.argsort(lo, kind="stable")
+        lo, reach = lo[order], np.maximum.accumulate(hi[order])
+        new = np.append(True, lo[1:] > reach[:-1])
+        return lo[new].tolist(), reach[np.append(np.flatnonzero(new)[1:] - 1, len(lo) - 1)].tolist()
 
     def strip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         opened = zstandard.ZstdDecompressor()
@@ -253,18 +297,15 @@ def remove_repeats(docs: DataFrame, length: int = 100, block: int = 4096, group:
                 out = []
                 for r in pdf.iloc[i : i + 256].itertuples(index=False):
                     data = opened.decompress(r.z)
-                    mine = [] if r.spans is None else [(x["lo"], x["hi"]) for x in r.spans if x["mark"] == zlib.crc32(data)]
-                    cover = np.zeros(len(data) + 2, np.int64)
-                    if mine:
-                        ends = np.clip(np.array(mine, np.int64), 0, len(data))
-                        np.add.at(cover, ends[:, 0] + 1, 1)
-                        np.add.at(cover, ends[:, 1] + 1, -1)
-                    gone = np.cumsum(cover) > 0
-                    edge = np.flatnonzero(gone[1:] != gone[:-1])
-                    kept = np.frombuffer(data, np.uint8)[~gone[1:-1]].tobytes() if mine else data
-                    removed = [{"start": int(a), "length": int(b - a)} for a, b in zip(edge[::2], edge[1::2])]
+                    begins, ends = stretches(r, data)
+                    kept, at = [], 0
+                    for i, j in zip(begins, ends):
+                        kept.append(data[at:i])
+                        at = j
+                    kept = b"".join([*kept, data[at:]])
+                    removed = [{"start": i, "length": j - i} for i, j in zip(begins, ends)]
                     out.append((r.doc_id, kept, len(data), len(data) - len(kept), removed))
                 yield pd.DataFrame(out, columns=["doc_id", "kept", "n_bytes", "n_removed", "removed"]).astype({"doc_id": "Int64"})
 
     schema = "doc_id bigint, kept binary, n_bytes bigint, n_removed bigint, removed array<struct<start:bigint,length:bigint>>"
-    return pressed.join(spans, "d", "left").select("doc_id", "z", "spans").mapInPandas(strip, schema)
+    return pressed.join(spans, "d", "left").select("doc_id", "z", "mark", "lo", "hi").mapInPandas(strip, schema)
