@@ -7,8 +7,8 @@ Equal sets collapse to one representative first, so exact copies never meet in a
 Links are found in two steps, neither of which forms all pairs of a bucket. First every member of a bucket is compared with
 the bucket's smallest one. That joins most groups. What can still be missing is a link between members of
 different components in one bucket: only the members outside a bucket's largest component are compared with the rest,
-in blocks of signatures of bounded size. Candidates pass by the estimate of their signatures (far below the
-threshold, so that nothing is lost), then by their full sets. Components come from alternating large-star and small-star.
+in blocks of bounded size, and a block gives no more than a spanning set of its links. Candidates pass by the estimate of their
+signatures (far below the threshold, so that nothing is lost), then by their full sets. Components come from alternating large-star and small-star.
 
 Defined cases: words are lower-cased for A-Z only and split at ``[\\x20\\x09-\\x0D]``; with fewer words than ``shingle`` the whole sequence is
 the only shingle; without words, or with a null text, the set is empty and links with nothing; rows with the same doc_id are
@@ -133,10 +133,14 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, plan: Plan) ->
     return with_texts.mapInPandas(confirm, "u bigint, v bigint").distinct()
 
 
-def _mixed_candidates(buckets: DataFrame, sets: DataFrame, parts: DataFrame, plan: Plan, outside: int = 256, inside: int = 1024) -> DataFrame | None:
-    """Likely pairs (u, v) of different components that share a bucket of three or more."""
+def _mixed_links(buckets: DataFrame, sets: DataFrame, parts: DataFrame, docs: DataFrame, plan: Plan, outside: int = 256, inside: int = 1024) -> DataFrame | None:
+    """Links (u, v) between different components that share a bucket of three or more: for each block of members a spanning set.
+
+    Signatures come first: they tell which members of a block have a likely partner there, a pair being looked at in the first band it
+    shares only. Those members meet again with their texts, and the whole block is compared exactly at once, by a product of
+    the incidence matrices of its shared shingles. No pair leaves its block."""
     rows = buckets.where("size > 2").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
-    rows = write_table(rows.select("band", "rep", "size", F.coalesce("component", "rep").alias("component")), "bucket-members")
+    rows = write_table(rows.select("band", "k", "rep", F.coalesce("component", "rep").alias("component")), "bucket-members")
     counts = rows.groupBy("band", "component").agg(F.count("*").alias("n"))
     mixed = (
         counts.groupBy("band")
@@ -144,7 +148,7 @@ def _mixed_candidates(buckets: DataFrame, sets: DataFrame, parts: DataFrame, pla
         .where("groups > 1")
         .select("band", F.col("main.component").alias("main"), F.ceil((F.col("size") - F.col("main.n")) / outside).alias("outs"), F.ceil(F.col("size") / inside).alias("ins"))
     )
-    rows = write_table(rows.drop("size").join(mixed, "band"), "mixed-members")
+    rows = write_table(rows.join(mixed, "band"), "mixed-members")
     # rows after every member has been copied to the blocks it takes part in
     copies = F.when(F.col("component") != F.col("main"), F.col("ins")).otherwise(0) + F.col("outs")
     total = rows.agg(F.sum(copies)).first()[0]
@@ -156,32 +160,84 @@ def _mixed_candidates(buckets: DataFrame, sets: DataFrame, parts: DataFrame, pla
     own = lambda n, s: F.pmod(F.xxhash64(F.lit(s), "rep"), n)
     asked = rows.where(away).select("*", F.lit(True).alias("asks"), own(F.col("outs"), 3).alias("o"), F.explode(span(F.col("ins"))).alias("i"))
     other = rows.select("*", F.lit(False).alias("asks"), own(F.col("ins"), 5).alias("i"), F.explode(span(F.col("outs"))).alias("o"))
-    columns = ["band", "o", "i", "asks", "rep", "component", "n", "sig"]
+    columns = ["band", "k", "o", "i", "asks", "rep", "component", "n", "sig"]
     blocks = asked.select(*columns).unionByName(other.select(*columns))
-    groups = math.ceil(total / 8000)
     least = (plan.percent / 100 - plan.slack) * plan.bands * plan.rows
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        us, vs = [], []
+    def likely(pdf: pd.DataFrame) -> pd.DataFrame:
         sig = np.frombuffer(b"".join(pdf["sig"]), "<u4").reshape(len(pdf), -1)
-        asks, rep, part, n = (pdf[c].to_numpy() for c in ("asks", "rep", "component", "n"))
+        asks, part, n, k = (pdf[c].to_numpy() for c in ("asks", "component", "n", "k"))
+        flagged = np.zeros(len(pdf), bool)
         for at in pdf.groupby(["band", "o", "i"], sort=False).indices.values():
             one, all_ = at[asks[at]], at[~asks[at]]
-            for i in range(0, len(all_), inside):
-                some = all_[i : i + inside]
-                for j in range(0, len(one), 16):
-                    few = one[j : j + 16]
-                    same = (sig[few][:, None, :] == sig[some][None, :, :]).sum(2) >= least
-                    same &= part[few][:, None] != part[some][None, :]
-                    same &= 100 * np.minimum(n[few][:, None], n[some]) >= plan.percent * np.maximum(n[few][:, None], n[some])
-                    x, y = np.nonzero(same)
-                    us.append(np.minimum(rep[few[x]], rep[some[y]]))
-                    vs.append(np.maximum(rep[few[x]], rep[some[y]]))
+            band = int(k[at[0]])
+            for j in range(0, len(one), 16):
+                few = one[j : j + 16]
+                same = sig[few][:, None, :] == sig[all_][None, :, :]
+                near = same.sum(2) >= least
+                near &= part[few][:, None] != part[all_][None, :]
+                near &= 100 * np.minimum(n[few][:, None], n[all_]) >= plan.percent * np.maximum(n[few][:, None], n[all_])
+                x, y = np.nonzero(near)
+                if band and len(x):
+                    before = same[x, y, : band * plan.rows].reshape(len(x), band, plan.rows).all(2).any(1)
+                    x, y = x[~before], y[~before]
+                flagged[few[x]] = flagged[all_[y]] = True
+        return pdf.loc[flagged, ["band", "o", "i", "asks", "rep", "component"]]
+
+    schema = "band bigint, o bigint, i bigint, asks boolean, rep bigint, component bigint"
+    deal = lambda df, rows: df.withColumn("__deal", F.pmod(F.xxhash64("band", "o", "i"), F.lit(max(1, math.ceil(rows / 4000)))))
+    waiting = write_table(deal(blocks, total / 2).groupBy("__deal").applyInPandas(likely, schema), "likely-members")
+    met = waiting.count()
+    if not met:
+        return None
+    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(waiting.select("rep").distinct(), "rep", "left_semi")
+    # a document id may stand on several texts; each of them is a member
+    full = waiting.join(write_table(texts, "likely-texts").distinct(), "rep")
+
+    def confirm(pdf: pd.DataFrame) -> pd.DataFrame:
+        us, vs = [], []
+        for at in pdf.groupby(["band", "o", "i"], sort=False).indices.values():
+            part = pdf.iloc[at]
+            asks, rep, component = (part[c].to_numpy() for c in ("asks", "rep", "component"))
+            members = [shingle_set(t, plan.shingle) for t in part["text"]]
+            size = np.array([len(m) for m in members])
+            value, place, count = np.unique(np.concatenate(members), return_inverse=True, return_counts=True)
+            column = np.cumsum(count > 1) - 1
+            owner = np.repeat(np.arange(len(at)), size)
+            shared = count[place] > 1
+            owner, place = owner[shared], column[place[shared]]
+            both = np.zeros((int(asks.sum()), int((~asks).sum())), np.float32)
+            for first in range(0, int(column[-1]) + 1 if len(value) else 0, _PART):
+                here = (place >= first) & (place < first + _PART)
+                table = np.zeros((len(at), _PART), np.float32)
+                table[owner[here], place[here] - first] = 1
+                both += table[asks] @ table[~asks].T
+            link = (both > 0) & (100 * both >= plan.percent * (size[asks][:, None] + size[~asks][None, :] - both))
+            link &= component[asks][:, None] != component[~asks][None, :]
+            x, y = np.nonzero(link)
+            us.append(rep[asks][x])
+            vs.append(rep[~asks][y])
         u, v = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (us, vs))
-        return pd.DataFrame({"u": u, "v": v}).drop_duplicates()
+        return spanning(u, v)
+
+    return deal(full, met).groupBy("__deal").applyInPandas(confirm, "u bigint, v bigint")
+
 
-    dealt = blocks.withColumn("__deal", F.pmod(F.xxhash64("band", "o", "i"), F.lit(groups)))
-    return write_table(dealt.groupBy("__deal").applyInPandas(compare, "u bigint, v bigint").distinct(), "mixed-pairs")
+def spanning(u: np.ndarray, v: np.ndarray) -> pd.DataFrame:
+    """One link from every vertex to the smallest of its component, for the links of a block."""
+    names, place = np.unique(np.concatenate((u, v)), return_inverse=True)
+    x, y = place[: len(u)], place[len(u) :]
+    low = np.arange(len(names))
+    while True:
+        now = low.copy()
+        np.minimum.at(now, x, low[y])
+        np.minimum.at(now, y, low[x])
+        now = now[now]
+        if (now == low).all():
+            break
+        low = now
+    moved = low != np.arange(len(names))
+    return pd.DataFrame({"u": names[low[moved]], "v": names[moved]})
 
 
 def find_duplicates(docs: DataFrame, plan: Plan | None = None) -> DataFrame:
@@ -198,16 +254,15 @@ def _find_duplicates(docs: DataFrame, plan: Plan) -> DataFrame:
     sets = write_table(firsts.select("f1", "f2", F.col("s.doc_id").alias("rep"), F.col("s.n").alias("n"), F.col("s.sig").alias("sig")), "sets")
     width = 4 * plan.rows
     bands = F.array(*[F.xxhash64(F.lit(i), F.substring("sig", 1 + i * width, width)) for i in range(plan.bands)])
-    members = sets.select("rep", F.explode(bands).alias("band"))
+    members = sets.select("rep", F.posexplode(bands).alias("k", "band"))
     shared = members.groupBy("band").agg(F.min("rep").alias("center"), F.count("*").alias("size")).where("size > 1")
     buckets = write_table(members.join(shared, "band"), "buckets")
     stars = write_table(buckets.where("rep <> center").select(F.col("center").alias("u"), F.col("rep").alias("v")).distinct(), "star-pairs")
     links = write_table(_verified(stars, sets, docs, plan), "star-links")
     parts = components(links)
-    more = _mixed_candidates(buckets, sets, parts, plan)
+    more = _mixed_links(buckets, sets, parts, docs, plan)
     if more is not None:
-        added = _verified(more.join(stars, ["u", "v"], "left_anti"), sets, docs, plan)
-        parts = components(links.unionByName(added))
+        parts = components(links.unionByName(more))
     by_set = sets.join(parts, sets["rep"] == parts["node"], "left").select("f1", "f2", F.coalesce("component", "rep").alias("component"))
     joined = signed.drop("sig").join(by_set.withColumnRenamed("f1", "g1").withColumnRenamed("f2", "g2"), (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")) & (F.col("n") > 0), "left")
     # a document with several texts belongs to the smallest component of them
