@@ -124,11 +124,12 @@ def drop_repeated_lines(
     lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
     kept = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), "__gone")
     text = F.array_join(F.transform(kept, lambda i: F.get("__lines", i)), "\n")
-    same = (F.coalesce(docs["doc_id"], F.lit(SMALLEST)) == F.col("__d")) & (F.xxhash64(docs["text"]) == F.col("__t"))
-    joined = docs.join(gone, same, "left").withColumn("__lines", lines)
+    plain = docs.select(*[c for c in docs.columns if c in others or c == "text"])
+    same = (F.coalesce(plain["doc_id"], F.lit(SMALLEST)) == F.col("__d")) & (F.xxhash64(plain["text"]) == F.col("__t"))
+    joined = plain.join(gone, same, "left").withColumn("__lines", lines)
     return joined.select(
         *others,
         F.when(F.col("__gone").isNull(), F.coalesce("text", F.lit(""))).otherwise(text).alias("text"),
         F.size("__lines").cast("bigint").alias("n_lines"),
         F.coalesce(F.size("__lines") - F.size(kept), F.lit(0)).cast("bigint").alias("n_dropped"),
-    ).select(*[c for c in docs.columns if c in others or c == "text"], "n_lines", "n_dropped")
+    ).select(*plain.columns, "n_lines", "n_dropped")

@@ -10,8 +10,8 @@ all four, so that no rank, however frequent, lands in one task. A rank that stan
 whose surroundings already stood earlier is covered whole and done. What is left are the first occurrences of different
 surroundings of one rank.
 Round 2: their windows of the full length are ranked. All occurrences of one rank meet in one task, unless there are more than
-``block`` of them: those are ranked at growing lengths, by Spark, on what ranges of neighbouring windows have in common; what
-stands alone is dropped, ranges shrink to single windows, and a grouping that is combined before its shuffle finds the first of each.
+``block`` of them: those are ranked by Spark at growing lengths, on what shrinking ranges of neighbouring windows have in common, until they
+are unique or done; groupings are combined before their shuffle.
 
 Defined cases: a null text is empty; texts shorter than ``length`` lose nothing; rows without a doc_id come last; rows that share
 a doc_id are ordered by start and by the checksum of their text, and equal rows count as one; an empty table gives no rows; extra columns
@@ -172,12 +172,13 @@ def _surroundings(docs: DataFrame, open_rows: DataFrame, length: int) -> DataFra
     return joined.mapInPandas(cut, "h bigint, d bigint, pt bigint, left int, crowded boolean, bytes binary")
 
 
-def _refined(rows: DataFrame, length: int, sizes: tuple[int, ...] = (18, 5, 1)) -> DataFrame:
-    """For ranks with many occurrences: windows (name, d, pt, lo, hi) that stand more than once. Neighbouring windows are ranked by what they
-    have in common, in ranges that shrink to single windows; a range whose common bytes stand alone is dropped with all its windows."""
+def _refined(rows: DataFrame, length: int, sizes: tuple[int, ...] = (18, 5, 1)) -> list[DataFrame]:
+    """Covered stretches (d, pt, lo, hi) for ranks with many occurrences. As in round 1, but on ranges of neighbouring windows that shrink to
+    single ones: a range is ranked by the bytes its windows have in common and by all bytes they cover. Occurrences whose bytes stood
+    earlier are done; ranges whose common bytes stand alone are dropped; first occurrences of the others go on to smaller ranges."""
     width = length - GRAM + 1
     state = rows.select("h", "d", "pt", "left", "bytes", F.lit(0).alias("lo"), F.lit(width - 1).alias("hi"))
-
+    covered = []
     for size in sizes:
 
         def split(batches: Iterator[pd.DataFrame], size=size) -> Iterator[pd.DataFrame]:
@@ -185,19 +186,27 @@ def _refined(rows: DataFrame, length: int, sizes: tuple[int, ...] = (18, 5, 1))
                 out = []
                 for h, d, pt, left, data, lo, hi in pdf[["h", "d", "pt", "left", "bytes", "lo", "hi"]].itertuples(index=False):
                     gap = width - 1 - left  # where the bytes begin on the scale of windows
+                    last = gap + len(data) - length  # the last window inside the text
                     for a in range(lo, hi + 1, size):
                         b = min(a + size - 1, hi)
-                        if b >= gap and a <= gap + len(data) - length:
+                        first, final = max(a, gap), min(b, last)
+                        if first <= final:
                             name = xxhash.xxh64_intdigest(data[max(b - gap, 0) : a + length - gap], (h ^ (a << 8) ^ b) & 0xFFFFFFFFFFFFFFFF)
-                            out.append((h, d, pt, left, data, a, b, name - 2**63))
+                            whole = xxhash.xxh64_intdigest(data[first - gap : final + length - gap], (first << 8) ^ final)
+                            out.append((h, d, pt, left, data, a, b, first, final, name - 2**63, whole - 2**63))
                 if out:
-                    yield pd.DataFrame(out, columns=["h", "d", "pt", "left", "bytes", "lo", "hi", "name"])
+                    yield pd.DataFrame(out, columns=["h", "d", "pt", "left", "bytes", "lo", "hi", "begin", "final", "name", "whole"])
 
-        state = write_table(state.mapInPandas(split, "h bigint, d bigint, pt bigint, left int, bytes binary, lo int, hi int, name bigint"), "ranges")
-        several = state.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
-        state = state.join(several, "name", "left_semi")
-    start = F.shiftright("pt", 32) - (width - 1) + F.col("lo")
-    return state.select("name", "d", "pt", start.alias("lo"), (start + length).alias("hi"))
+        schema = "h bigint, d bigint, pt bigint, left int, bytes binary, lo int, hi int, begin int, final int, name bigint, whole bigint"
+        state = write_table(state.mapInPandas(split, schema), "ranges")
+        firsts = write_table(state.groupBy("name", "whole").agg(F.min(F.struct("d", "pt")).alias("first")), "range-firsts")
+        met = state.join(firsts, ["name", "whole"])
+        later = (F.col("d") != F.col("first.d")) | (F.col("pt") != F.col("first.pt"))
+        start = F.shiftright("pt", 32) - (width - 1)
+        covered.append(met.where(later).select("d", "pt", (start + F.col("begin")).alias("lo"), (start + F.col("final") + length).alias("hi")))
+        several = firsts.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
+        state = met.where(~later).join(several, "name", "left_semi").drop("name", "whole", "first", "begin", "final")
+    return covered
 
 
 def _second_round(rows: DataFrame, groups: int, length: int) -> DataFrame:
@@ -267,12 +276,11 @@ def remove_repeats(docs: DataFrame, length: int = 100, block: int = 4096, group:
     rows = rows.join(crowded, "h", "left").select("h", "d", "pt", F.coalesce("crowded", F.lit(False)).alias("crowded"))
     around = write_table(_surroundings(pressed, rows, length), "surroundings")
     found = write_table(_second_round(around.where("not crowded"), max(1, math.ceil(waiting / group)), length), "covered")
-    windows = _refined(around.where("crowded"), length)
-    firsts = windows.groupBy("name").agg(F.min(F.struct("d", "pt")).alias("first"))
-    late = windows.join(firsts, "name").where((F.col("d") != F.col("first.d")) | (F.col("pt") != F.col("first.pt")))
     at = F.shiftright("pt", 32)
     whole = sifted.where("done").select("d", "pt", (at - (width - 1)).alias("lo"), (at + length).alias("hi"))
-    covered = whole.unionByName(found).unionByName(late.select("d", "pt", "lo", "hi"))
+    covered = whole.unionByName(found)
+    for part in _refined(around.where("crowded"), length):
+        covered = covered.unionByName(part)
     mark = F.col("pt").bitwiseAND(F.lit(0xFFFFFFFF))
     lists = [F.collect_list(x).alias(y) for x, y in ((mark, "mark"), (F.col("lo"), "lo"), (F.col("hi"), "hi"))]
     spans = covered.groupBy("d").agg(*lists)
