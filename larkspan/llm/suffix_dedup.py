@@ -255,7 +255,7 @@ def _second_round(rows: DataFrame, groups: int, length: int) -> DataFrame:
     return dealt.groupBy("deal").applyInPandas(compare, "d bigint, pt bigint, lo bigint, hi bigint")
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, block: int = 4096, group: int = 16_384) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 100, block: int = 16_384, group: int = 16_384) -> DataFrame:
     """doc_id, kept (the bytes that stay), n_bytes, n_removed and removed (the stretches that go, as array<struct<start, length>>)."""
     if length < 2 * GRAM:
         raise ValueError(f"passages of fewer than {2 * GRAM} bytes are not supported")

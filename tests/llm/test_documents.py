@@ -109,7 +109,7 @@ def test_runs_are_compacted_and_removed(spark):
     assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("line_run_")]
 
 
-@pytest.mark.parametrize("block", [4096, 2])
+@pytest.mark.parametrize("block", [16_384, 2])
 def test_repeated_passages(docs, texts, block):
     got = {r["doc_id"]: r for r in suffix_dedup.remove_repeats(clashing(docs, "d", "z", "pt", "mark"), block=block).collect()}
     for i, (data, gone) in brute.repeated_bytes(texts).items():
