@@ -12,8 +12,8 @@ for the pairs found, and no pair ever leaves its leaf; only sums and a spanning
 Equal vectors of one label collapse to a representative with a count first.
 
 Defined cases: rows with a null label, a null, empty or zero vector, or one with null or non-finite components link with nothing; vectors of
-different widths are not compared; rows with the same vec_id are one vertex, and count as different vectors in n_links; a row without
-a vec_id has no component and is kept; an empty table gives no rows; extra columns are ignored.
+different widths are not compared; rows with the same vec_id are different vectors of that name; a row without a vec_id links with nothing, has
+no component and is kept; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -187,7 +187,7 @@ def find_links(embeddings: DataFrame, forest: Forest | None = None) -> DataFrame
     fine = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("embedding", lambda v: v != 0)
     usable = F.col("label").isNotNull() & F.col("vec_id").isNotNull() & F.coalesce(fine, F.lit(False))
     distinct = rows.where(usable).groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
-    # one vec_id may stand on several vectors; the vertex of a vector is then its name, not its id
+    # a vec_id may stand on several vectors, so a vertex is named by its vector
     vectors = write_table(distinct.select(F.xxhash64("label", "embedding").alias("rep"), F.col("rep").alias("vec_id"), "label", "embedding", "copies"), "vectors")
     leaves = write_table(_leaves(vectors, forest), "leaves")
     lists = leaves.groupBy("rep").agg(F.sort_array(F.collect_set("cell")).alias("leaves"))
@@ -199,16 +199,15 @@ def find_links(embeddings: DataFrame, forest: Forest | None = None) -> DataFrame
     full = met.join(lists, "rep").join(vectors.select("rep", "embedding", "copies"), "rep")
     dealt = full.withColumn("deal", F.pmod(F.xxhash64("cell", "i", "j"), F.lit(max(1, math.ceil(total / forest.group_rows)))))
     found = write_table(dealt.groupBy("deal").applyInPandas(_compare(forest), "rep bigint, links bigint, root bigint"), "leaf-links")
-    ids = vectors.select("rep", "vec_id")
-    edges = found.where("rep <> root").select("rep", "root").distinct().join(ids, "rep").select("root", F.col("vec_id").alias("u"))
-    parts = components(edges.join(ids.withColumnRenamed("rep", "root"), "root").select("u", F.col("vec_id").alias("v")))
+    parts = components(found.where("rep <> root").select(F.col("rep").alias("u"), F.col("root").alias("v")))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    facts = vectors.join(links, "rep", "left").join(parts, vectors["vec_id"] == parts["node"], "left")
+    facts = vectors.join(links, "rep", "left").join(parts, vectors["rep"] == parts["node"], "left").withColumn("part", F.coalesce("component", "rep")).drop("component")
+    facts = facts.join(facts.groupBy("part").agg(F.min("vec_id").alias("component")), "part")
     facts = facts.select(
-        F.col("label").alias("l"), F.col("embedding").alias("e"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "vec_id").alias("component")
+        F.col("label").alias("l"), F.col("embedding").alias("e"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component"
     )
     joined = rows.join(facts, (F.col("label") == F.col("l")) & (F.col("embedding") == F.col("e")) & usable, "left")
-    component = F.when(F.col("vec_id").isNotNull(), F.least(F.coalesce("component", "vec_id"), "vec_id"))
+    component = F.when(F.col("vec_id").isNotNull(), F.coalesce("component", "vec_id"))
     return joined.select(
         "vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept")
     )

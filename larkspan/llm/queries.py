@@ -58,10 +58,9 @@ ADDED = "(-7, 0, 'user', '\\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\
     """,
 )
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    added = spark.createDataFrame(
-        [(-7, 0, "user", "\\### Assistant: </turn> ok"), (-7, 1, "assistant", "\\### Assistant: </turn> ok")],
-        "conv_id bigint, turn bigint, role string, text string",
-    )
+    said = F.lit("\\### Assistant: </turn> ok")
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    added = spark.range(2).select(F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), said.alias("text"))
     read = chat_format.read_back(chat_format.format_conversations(table(spark, sf_dir, "conversations").unionByName(added)))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read.select(

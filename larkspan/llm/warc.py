@@ -12,9 +12,9 @@ Content-Length, so payloads may hold anything. Whole records are decoded where t
 by origin.
 
 Defined cases: null html is an empty payload; a null url writes no target; control characters in urls are percent-coded; each
-row is a record, so repeated rows with the same page_id and a payload of the required size are one response and revisits of it, the
-response being the first in the order of record numbers; a null page_id counts as larger than all others; an empty table
-gives empty archives; extra columns are ignored.
+row is a record, named by page_id and payload, so repeated rows are equal records: all responses, or all revisits of one with a
+smaller page_id; a null page_id counts as larger than all others; an empty table gives empty archives; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ from larkspan.session import scratch_path, write_table
 END = b"\r\n\r\n"
 DATE = "2020-01-01T00:00:00Z"
 _CONTROL = re.compile(r"[\x00-\x20\x7f-\x9f]")
-RECORD = "page_id bigint, record_id bigint, segment int, total_bytes bigint, record_type string, refers_to bigint, digest string, block binary"
+RECORD = "page_id bigint, name string, segment int, total_bytes bigint, record_type string, refers_to bigint, digest string, block binary"
 
 
 def chunked(payload: bytes, size: int) -> bytes:
@@ -76,15 +76,15 @@ def _head(kind: str, length: int, fields: list[tuple[str, str]]) -> bytes:
     return "\r\n".join(lines).encode() + END
 
 
-def records_of(record_id: int, page_id, url, payload: bytes, digest: str, refers, chunk_bytes: int, segment_bytes: int) -> Iterator[bytes]:
+def records_of(page_id, url, payload: bytes, digest: str, refers, chunk_bytes: int, segment_bytes: int) -> Iterator[bytes]:
     """The record, or the segments, of one page, without the separating blank lines."""
-    name = f"<urn:page:{_number(page_id)}:{record_id}>"
+    name = f"<urn:page:{_number(page_id)}:{digest}>"
     target = [] if url is None else [("WARC-Target-URI", _CONTROL.sub(lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), url))]
     common = [("WARC-Payload-Digest", f"sha256:{digest}"), ("Content-Type", "application/http;msgtype=response")]
     status = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
     if refers is not None:
         profile = ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
-        yield _head("revisit", len(status), [("WARC-Record-ID", name), *target, profile, ("WARC-Refers-To", f"<urn:page:{refers}>"), *common]) + status
+        yield _head("revisit", len(status), [("WARC-Record-ID", name), *target, profile, ("WARC-Refers-To", f"<urn:page:{refers}:{digest}>"), *common]) + status
         return
     block = status + chunked(payload, chunk_bytes)
     if len(block) <= segment_bytes:
@@ -153,19 +153,12 @@ def write_archives(
     pages: DataFrame, path: str, min_revisit_bytes: int = 100, chunk_bytes: int = 8192, segment_bytes: int = 1 << 16, records_per_file: int = 4096
 ) -> None:
     """Write ``pages(page_id, url, html)`` as archives below ``path``."""
-    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), F.monotonically_increasing_id().alias("record_id"))
-    marks = rows.select("page_id", "record_id", F.sha2("html", 256).alias("digest"), F.octet_length("html").alias("n"))
-    marks = write_table(marks, "page-digests")
-    long = marks.where(F.col("n") >= min_revisit_bytes)
-    # of a group of copies only its first record is needed by the others
-    first = long.groupBy("digest").agg(
-        F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "record_id")).alias("first"), F.count("*").alias("copies")
-    ).where("copies > 1")
-    again = (
-        long.join(first, "digest")
-        .where(F.col("record_id") != F.col("first.record_id"))
-        .select("record_id", F.concat_ws(":", F.coalesce(F.col("first.page_id").cast("string"), F.lit("none")), F.col("first.record_id").cast("string")).alias("refers"))
-    )
+    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
+    key = [F.coalesce("page_id", F.lit(2**63 - 1)).alias("__page"), F.sha2("html", 256).alias("__digest")]
+    marks = write_table(rows.where(F.octet_length("html") >= min_revisit_bytes).select(*key).distinct(), "page-digests")
+    first = marks.groupBy("__digest").agg(F.min("__page").alias("first"), F.count("*").alias("copies")).where("copies > 1")
+    # the join that carries payloads is by page and digest, so a payload that many pages share is spread
+    again = marks.join(first, "__digest").where(F.col("__page") > F.col("first")).select("__page", "__digest", F.col("first").alias("refers"))
 
     def frame(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -173,11 +166,14 @@ def write_archives(
                 out = []
                 for r in pdf.iloc[i : i + 64].itertuples(index=False):
                     payload = r.html.encode("utf-8", "surrogatepass")
-                    refers = r.refers if isinstance(r.refers, str) else None
-                    out += records_of(r.record_id, r.page_id, r.url, payload, hashlib.sha256(payload).hexdigest(), refers, chunk_bytes, segment_bytes)
+                    refers = None if pd.isna(r.refers) else int(r.refers)
+                    out += records_of(r.page_id, r.url, payload, hashlib.sha256(payload).hexdigest(), refers, chunk_bytes, segment_bytes)
                 yield pd.DataFrame({"record": out})
 
-    records = rows.join(again, "record_id", "left").mapInPandas(frame, "record binary")
+    met = rows.select("*", *key).join(again, ["__page", "__digest"], "left")
+    # ids travel as text where they may be null, so that no large one is rounded
+    met = met.select(F.col("page_id").cast("string").alias("page_id"), "url", "html", F.col("refers").cast("string").alias("refers"))
+    records = met.mapInPandas(frame, "record binary")
     text = records.select(F.col("record").cast("string").alias("value"))
     text.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
 
@@ -198,7 +194,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                         block = unframe(block)
                     refers = fields.get("WARC-Refers-To")
                     out.append((
-                        _page(origin), int(origin[1:-1].split(":")[3]), int(segment or 0), int(fields.get("WARC-Segment-Total-Length", 0)) or None,
+                        _page(origin), origin, int(segment or 0), int(fields.get("WARC-Segment-Total-Length", 0)) or None,
                         kind, _page(refers), fields.get("WARC-Payload-Digest", "")[7:] or None, block,
                     ))
                     held += len(block)
@@ -219,28 +215,32 @@ def reassemble(records: DataFrame) -> DataFrame:
         for pdf in batches:
             for r in pdf.itertuples(index=False):
                 parts = sorted(r.parts, key=lambda p: p["segment"])
-                block = b"".join(p["block"] for p in parts)
-                if [p["segment"] for p in parts] != list(range(1, len(parts) + 1)) or len(block) != r.total_bytes:
-                    raise ValueError(f"segments of record {r.record_id} are not whole")
-                yield pd.DataFrame({"page_id": pd.array([r.page_id], "Int64"), "record_id": [r.record_id], "digest": [r.digest], "payload": [unframe(block)]})
+                copies = sum(p["segment"] == 1 for p in parts)
+                if [p["segment"] for p in parts] != [i for i in range(1, len(parts) // max(copies, 1) + 1) for _ in range(copies)]:
+                    raise ValueError(f"segments of record {r.name} are not whole")
+                block = b"".join(p["block"] for p in parts[::copies])
+                if len(block) != r.total_bytes:
+                    raise ValueError(f"record {r.name} is not whole: it does not have its length")
+                out = {"page_id": _page(r.name), "name": r.name, "digest": r.digest, "payload": unframe(block)}
+                yield pd.DataFrame([out] * copies).astype({"page_id": "Int64"})
 
     groups = (
         records.where("segment > 0")
-        .groupBy("record_id")
-        .agg(F.max("page_id").alias("page_id"), F.max("total_bytes").alias("total_bytes"), F.max("digest").alias("digest"), F.collect_list(F.struct("segment", "block")).alias("parts"))
-        .select("page_id", "record_id", "total_bytes", "digest", "parts")
+        .groupBy("name")
+        .agg(F.max("total_bytes").alias("total_bytes"), F.max("digest").alias("digest"), F.collect_list(F.struct("segment", "block")).alias("parts"))
+        .select("name", "total_bytes", "digest", "parts")
     )
-    return groups.mapInPandas(join, "page_id bigint, record_id bigint, digest string, payload binary")
+    return groups.mapInPandas(join, "page_id bigint, name string, digest string, payload binary")
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """One row per page: page_id, record_id, record_type, refers_to (a page_id), digest, and payload (null for a revisit)."""
+    """One row per page: page_id, name, record_type, refers_to (a page_id), digest, and payload (null for a revisit)."""
     records = read_archives(spark, path)
     whole = records.where("segment = 0").select(
-        "page_id", "record_id", "record_type", "refers_to", "digest", F.when(F.col("record_type") == "response", F.col("block")).alias("payload")
+        "page_id", "name", "record_type", "refers_to", "digest", F.when(F.col("record_type") == "response", F.col("block")).alias("payload")
     )
     joined = reassemble(records).select(
-        "page_id", "record_id", F.lit("response").alias("record_type"), F.lit(None).cast("bigint").alias("refers_to"), "digest", "payload"
+        "page_id", "name", F.lit("response").alias("record_type"), F.lit(None).cast("bigint").alias("refers_to"), "digest", "payload"
     )
     return whole.unionByName(joined)
 
