@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larkspan.operators import skew
-from larkspan.operators.skew import drop_halo, largest_group, ntile, positions, ranks, with_halo
+from larkspan.operators.skew import drop_halo, ntile, null_safe_join, positions, ranks, with_halo
 from larkspan.registry import query
 from larkspan.sources.tables import table
 
@@ -133,32 +133,17 @@ def fn_bitmap(spark: SparkSession, d: str) -> DataFrame:
                           v as (partition by o_custkey order by o_orderpriority)""",
 )
 def fn_window(spark: SparkSession, d: str) -> DataFrame:
-    """The nine window functions by name over each customer's orders; once a customer is too
-    large for one task, the same columns from the split forms."""
+    """The nine window functions over each customer's orders, by the split forms: a customer may be too large for one task."""
     o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority", "o_totalprice")
-    if largest_group(o, ["o_custkey"]) > skew.HOT_ROWS:
-        return _fn_window_split(o)
-    p = Window.partitionBy("o_custkey")
-    w, v = p.orderBy("o_orderdate", "o_orderkey"), p.orderBy("o_orderpriority")
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return o.select(
-        "o_orderkey", F.row_number().over(w).alias("row_number_"), F.rank().over(v).alias("rank_"),
-        F.dense_rank().over(v).alias("dense_rank_"), F.round(F.percent_rank().over(v), 8).alias("percent_rank_"),
-        F.round(F.cume_dist().over(v), 8).alias("cume_dist_"), F.ntile(3).over(w).alias("ntile_"),
-        F.lag("o_totalprice", 1).over(w).alias("lag_"), F.lead("o_totalprice", 1).over(w).alias("lead_"),
-        F.nth_value("o_totalprice", 2).over(whole).alias("nth_value_"))
-
-
-def _fn_window_split(o: DataFrame) -> DataFrame:
     key = ["o_custkey"]
     by_priority = ranks(o.select("o_orderkey", *key, "o_orderpriority"), key, "o_orderpriority", ["o_orderkey"]).select(
-        "o_orderkey", F.col("rank").alias("rank_"), F.col("dense_rank").alias("dense_rank_"), F.round("percent_rank", 8).alias("percent_rank_"),
+        "o_orderkey", F.col("rank").cast("int").alias("rank_"), F.col("dense_rank").cast("int").alias("dense_rank_"), F.round("percent_rank", 8).alias("percent_rank_"),
         F.round("cume_dist", 8).alias("cume_dist_"), "group_rows")
     placed = positions(o, key, ["o_orderdate", "o_orderkey"])
     second = placed.groupBy(*key).agg(F.max(F.when(F.col("row_pos") == 2, F.col("o_totalprice"))).alias("nth_value_"))
     w = Window.partitionBy(*key, "__block").orderBy("row_pos")
     moved = drop_halo(with_halo(placed, F.col("row_pos"), before=1, after=1, block=1_000_000)
                       .withColumns({"lag_": F.lag("o_totalprice").over(w), "lead_": F.lead("o_totalprice").over(w)}))
-    return moved.join(second, key).join(by_priority, "o_orderkey").select(
-        "o_orderkey", F.col("row_pos").alias("row_number_"), "rank_", "dense_rank_", "percent_rank_", "cume_dist_",
+    return null_safe_join(moved, second, key).join(by_priority, "o_orderkey").select(
+        "o_orderkey", F.col("row_pos").cast("int").alias("row_number_"), "rank_", "dense_rank_", "percent_rank_", "cume_dist_",
         ntile(F.col("row_pos"), F.col("group_rows"), 3).alias("ntile_"), "lag_", "lead_", "nth_value_")

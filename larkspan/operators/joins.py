@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -161,7 +163,7 @@ def asof_join(
     direction: str = "backward",
     tolerance_micros: int | None = None,
     allow_exact: bool = True,
-    hot_rows: int | None = None,
+    pieces: int | None = None,
 ) -> DataFrame:
     """Each left row with the closest right row of the same ``by`` key.
 
@@ -182,11 +184,11 @@ def asof_join(
     merged = sides
     if direction in ("backward", "nearest"):
         merged = merged.withColumn("__side", F.col("__left").cast("int") * (1 if allow_exact else -1))
-        merged = prefix(merged, by, ["__t", "__side"], {"__back": ("last", "__hit")}, hot_rows)
+        merged = prefix(merged, by, ["__t", "__side"], {"__back": ("last", "__hit")}, pieces)
     if direction in ("forward", "nearest"):
         merged = merged.withColumn("__mt", -F.col("__t"))
         merged = merged.withColumn("__side", F.col("__left").cast("int") * (1 if allow_exact else -1))
-        merged = prefix(merged, by, ["__mt", "__side"], {"__fore": ("last", "__hit")}, hot_rows)
+        merged = prefix(merged, by, ["__mt", "__side"], {"__fore": ("last", "__hit")}, pieces)
     gap = lambda c: F.abs(F.col("__t") - F.col(f"{c}.__rt"))
     if direction == "backward":
         hit = F.col("__back")
@@ -195,7 +197,9 @@ def asof_join(
     else:
         hit = F.when(F.col("__fore").isNull() | (gap("__back") <= gap("__fore")), F.col("__back")).otherwise(
             F.col("__fore"))
-    out = merged.filter("__left").withColumn("__match", hit)
+    # a null key matches nothing
+    known = reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in by], F.lit(True))
+    out = merged.filter("__left").withColumn("__match", F.when(known, hit))
     if tolerance_micros is not None:
         out = out.withColumn("__match", F.when(gap("__match") <= tolerance_micros, F.col("__match")))
     return out.select(*left_cols, *[F.col(f"__match.{c}").alias(c) for c in right_cols])

@@ -1,21 +1,23 @@
 """Building blocks that keep one hot key from landing in one task.
 
-Ranks, running values and bounded frames are exact whatever the key distribution: a group
-larger than ``HOT_ROWS`` is cut along its sort column, every piece is worked on alone, and
-small per-piece totals carry the state from one piece to the next.
+Ranks, running values and bounded frames are exact whatever the key distribution. Rows are laid out by range on the whole tuple of
+keys and order columns, so a piece is bounded even when all rows belong to one key, whatever the types; every piece is
+worked on alone, and small totals carry the state into the pieces where a key goes on. There is one plan for every size.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Rows one task may sort for one key; a test sets it low to take the split way everywhere.
-HOT_ROWS = 20_000_000
+from larkspan.session import write_table
+
+# Pieces of a range layout; None takes the session's number of shuffle partitions. Tests set it high.
+PIECES: int | None = None
 PIECE = "__piece"
 
 
@@ -24,8 +26,13 @@ def salts(df: DataFrame) -> int:
     return max(16, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal columns where null equals null; the key columns are those of the left side."""
+    if not on:
+        return left.join(F.broadcast(right), how=how)  # one row: the totals of a table without keys
+    right = right.withColumnsRenamed({c: f"__r_{c}" for c in on})
+    same = reduce(lambda x, y: x & y, [left[c].eqNullSafe(right[f"__r_{c}"]) for c in on])
+    return left.join(right, same, how).drop(*[f"__r_{c}" for c in on])
 
 
 def micros(ts: str | Column) -> Column:
@@ -36,38 +43,11 @@ def micros(ts: str | Column) -> Column:
     return day * 86_400_000_000 + within + (F.date_part(F.lit("SECOND"), c) * 1_000_000).cast("bigint")
 
 
-def _numeric(df: DataFrame, name: str) -> Column:
-    kind = df.schema[name].dataType.typeName()
-    if kind == "timestamp_ntz":
-        return micros(name).cast("double")
-    if kind == "date":
-        return F.unix_date(name).cast("double")
-    if kind == "string":
-        # The first six bytes as a number: ascends with the byte order strings sort by.
-        code = F.rpad(F.substring(F.hex(F.encode(name, "UTF-8")), 1, 12), 12, "0")
-        return F.conv(code, 16, 10).cast("double")
-    return F.col(name).cast("double")
-
-
-def in_pieces(
-    df: DataFrame, keys: Sequence[str], sort_col: str, hot_rows: int | None = None
-) -> tuple[DataFrame, bool]:
-    """Add ``__piece``, ascending with ``sort_col``, so that no (key, piece) is hot.
-
-    Piece borders are quantiles over all rows, so a piece holds at most about ``hot_rows``
-    rows even when they all belong to one key. Without a hot group there is one piece.
-    """
-    hot_rows = hot_rows or HOT_ROWS
-    sizes = df.groupBy(*keys).count() if keys else df.agg(F.count("*").alias("count"))
-    total, largest = sizes.agg(F.sum("count"), F.max("count")).first()
-    if not largest or largest <= hot_rows:
-        return df.withColumn(PIECE, F.lit(0)), False
-    n = math.ceil(total / hot_rows) * 2
-    numeric = df.withColumn("__sort", _numeric(df, sort_col))
-    borders = numeric.approxQuantile("__sort", [i / n for i in range(1, n)], 1 / (4 * n))
-    splits = [-math.inf, *sorted(set(borders)), math.inf]
-    cut = Bucketizer(splits=splits, inputCol="__sort", outputCol=PIECE, handleInvalid="keep")
-    return cut.transform(numeric).withColumn(PIECE, F.col(PIECE).cast("int")).drop("__sort"), True
+def in_pieces(df: DataFrame, keys: Sequence[str], order: Sequence[str], pieces: int | None = None) -> DataFrame:
+    """``df`` with ``__piece``: the range of (keys, order) a row lies in, ascending. Written once, so that all who read it see the same
+    borders; rows that are equal in all these columns share a piece."""
+    n = pieces or PIECES or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return write_table(df.repartitionByRange(n, *keys, *order).withColumn(PIECE, F.spark_partition_id()), "pieces")
 
 
 _COMBINE = {
@@ -91,22 +71,20 @@ def prefix(
     keys: Sequence[str],
     order: Sequence[str],
     specs: dict[str, tuple[str, str]],
-    hot_rows: int | None = None,
+    pieces: int | None = None,
 ) -> DataFrame:
     """Running aggregates per key along ``order`` (ascending, current row included).
 
     ``specs`` maps an output name to ``(kind, column)`` with kind one of sum, count,
-    product, min, max, last (last non-null value, a forward fill).
+    product, min, max, last (last non-null value, a forward fill). Null keys form a group.
     """
-    pieces, split = in_pieces(df, keys, order[0], hot_rows)
+    laid = in_pieces(df, keys, order, pieces)
     upto = (
         Window.partitionBy(*keys, PIECE)
         .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    here = pieces.select("*", *[_window_agg(k, c).over(upto).alias(o) for o, (k, c) in specs.items()])
-    if not split:
-        return here.drop(PIECE)
+    here = laid.select("*", *[_window_agg(k, c).over(upto).alias(o) for o, (k, c) in specs.items()])
     totals = []
     for out, (kind, col) in specs.items():
         if kind == "last":
@@ -114,18 +92,22 @@ def prefix(
         else:
             agg = _window_agg(kind, col)
         totals.append(agg.alias(out))
-    before = Window.partitionBy(*keys).orderBy(PIECE).rowsBetween(Window.unboundedPreceding, -1)
+    by_piece = Window.partitionBy(*keys).orderBy(PIECE)
+    before = by_piece.rowsBetween(Window.unboundedPreceding, -1)
+    # At a border between two pieces one key at most goes on, so this has fewer rows than there are pieces.
     carry = (
-        pieces.groupBy(*keys, PIECE)
+        laid.groupBy(*keys, PIECE)
         .agg(*totals)
         .select(
             *keys,
             PIECE,
+            F.row_number().over(by_piece).alias("__nth"),
             *[_window_agg("sum" if k == "count" else k, o).over(before).alias(f"__before_{o}")
               for o, (k, _) in specs.items()],
         )
+        .filter("__nth > 1")
     )
-    joined = here.join(carry, [*keys, PIECE], "left")
+    joined = null_safe_join(here, F.broadcast(carry), [*keys, PIECE], "left")
     merged = [
         _COMBINE[kind](F.col(f"__before_{out}"), F.col(out)).alias(out)
         for out, (kind, _) in specs.items()
@@ -134,16 +116,17 @@ def prefix(
 
 
 def positions(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "row_pos", hot_rows: int | None = None
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "row_pos", pieces: int | None = None
 ) -> DataFrame:
     """1-based row number per key; with no keys, a global row number."""
-    return prefix(df.withColumn("__one", F.lit(1)), keys, order, {out: ("count", "__one")}, hot_rows).drop("__one")
+    return prefix(df.withColumn("__one", F.lit(1)), keys, order, {out: ("count", "__one")}, pieces).drop("__one")
 
 
-def ranks(df: DataFrame, keys: Sequence[str], value: str, tie: Sequence[str], hot_rows: int | None = None) -> DataFrame:
+def ranks(df: DataFrame, keys: Sequence[str], value: str, tie: Sequence[str], pieces: int | None = None) -> DataFrame:
     """row_number, rank, dense_rank, percent_rank, cume_dist and group size along ``value``.
 
-    Ranks depend only on how many rows carry each value, so they come from value counts.
+    Ranks depend only on how many rows carry each value, so they come from value counts. Null keys form a group and null
+    values come first, as in a window.
     """
     counts = df.groupBy(*keys, value).agg(F.count("*").alias("__ties"))
     run = prefix(
@@ -151,10 +134,9 @@ def ranks(df: DataFrame, keys: Sequence[str], value: str, tie: Sequence[str], ho
         keys,
         [value],
         {"__upto": ("sum", "__ties"), "dense_rank": ("count", "__one")},
-        hot_rows,
+        pieces,
     )
-    size = df.groupBy(*keys).agg(F.count("*").alias("group_rows"))
-    run = run.join(size, list(keys)) if keys else run.withColumn("group_rows", F.lit(size.first()[0]))
+    run = null_safe_join(run, df.groupBy(*keys).agg(F.count("*").alias("group_rows")), keys)
     run = run.select(
         *keys,
         value,
@@ -167,7 +149,7 @@ def ranks(df: DataFrame, keys: Sequence[str], value: str, tie: Sequence[str], ho
         "percent_rank",
         F.when(F.col("group_rows") == 1, F.lit(0.0)).otherwise((F.col("rank") - 1) / (F.col("group_rows") - 1)),
     )
-    return positions(df, keys, [value, *tie], "row_number", hot_rows).join(run, [*keys, value])
+    return null_safe_join(positions(df, keys, [value, *tie], "row_number", pieces), run, [*keys, value])
 
 
 def ntile(position: Column, rows: Column, n: int) -> Column:
@@ -199,7 +181,7 @@ def drop_halo(df: DataFrame) -> DataFrame:
 
 
 def percentiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], hot_rows: int | None = None
+    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], pieces: int | None = None
 ) -> DataFrame:
     """Exact percentiles with linear interpolation, one column per entry of ``probs``.
 
@@ -207,9 +189,8 @@ def percentiles(
     which would hold every distinct value of a hot group in one task.
     """
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__ties"))
-    run = prefix(counts, keys, [value], {"__upto": ("sum", "__ties")}, hot_rows)
-    size = counts.groupBy(*keys).agg(F.sum("__ties").alias("__n"))
-    run = run.join(size, list(keys)) if keys else run.withColumn("__n", F.lit(size.first()[0]))
+    run = prefix(counts, keys, [value], {"__upto": ("sum", "__ties")}, pieces)
+    run = null_safe_join(run, run.groupBy(*keys).agg(F.sum("__ties").alias("__n")), keys)
     start, upto = F.col("__upto") - F.col("__ties"), F.col("__upto")
     aggs, outs = [], []
     for name, p in probs.items():
@@ -227,14 +208,10 @@ def percentiles(
 
 
 def blocks_of(df: DataFrame, keys: Sequence[str], spread: Sequence[str], rows: int) -> DataFrame:
-    """Add ``__block`` so that each (key, block) holds about ``rows`` rows at most; for work
+    """Add ``__block`` so that each (key, block) holds about ``rows`` rows at most, even if one key had them all; for work
     that needs a whole block in memory. ``spread`` columns decide the block by hash."""
-    sizes = df.groupBy(*keys).agg(F.ceil(F.count("*") / rows).alias("__blocks"))
-    return (
-        df.join(sizes, list(keys))
-        .withColumn("__block", F.pmod(F.xxhash64(*spread), F.col("__blocks")))
-        .drop("__blocks")
-    )
+    blocks = max(1, math.ceil(df.count() / rows))
+    return df.withColumn("__block", F.pmod(F.xxhash64(*spread), F.lit(blocks)))
 
 
 def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], spread: Sequence[str], k: int, out: str = "place") -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larkspan.operators import skew
-from larkspan.operators.skew import drop_halo, largest_group, micros, ntile, positions, prefix, ranks, with_halo
+from larkspan.operators.skew import drop_halo, micros, ntile, null_safe_join, positions, prefix, ranks, with_halo
 from larkspan.registry import query
 from larkspan.sources.tables import table
 
@@ -112,17 +112,12 @@ def win_moving_avg(spark: SparkSession, d: str) -> DataFrame:
        from lineitem window w as (partition by l_orderkey order by l_extendedprice desc)""",
 )
 def win_native(spark: SparkSession, d: str) -> DataFrame:
-    """Ranks and shares inside an order: native windows while orders are small, the split forms
-    once an order is too large for one task."""
+    """Ranks and shares inside an order, by the split forms: an order may be too large for one task."""
     li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_partkey")
-    if largest_group(li, ["l_orderkey"]) <= skew.HOT_ROWS:
-        w = Window.partitionBy("l_orderkey").orderBy(F.desc("l_extendedprice"))
-        total = F.sum("l_extendedprice").over(Window.partitionBy("l_orderkey"))
-        placed = li.select("*", F.rank().over(w).alias("price_rank"), F.dense_rank().over(w).alias("price_dense"), total.alias("total"))
-    else:
-        totals = li.groupBy("l_orderkey").agg(F.sum("l_extendedprice").alias("total"))
-        placed = ranks(li.withColumn("neg", -F.col("l_extendedprice")), ["l_orderkey"], "neg", ["l_linenumber", "l_partkey"])
-        placed = placed.withColumn("price_dense", F.col("dense_rank").cast("int")).withColumn("price_rank", F.col("rank").cast("int")).join(totals, "l_orderkey")
+    totals = li.groupBy("l_orderkey").agg(F.sum("l_extendedprice").alias("total"))
+    placed = ranks(li.withColumn("neg", -F.col("l_extendedprice")), ["l_orderkey"], "neg", ["l_linenumber", "l_partkey"])
+    placed = placed.withColumn("price_dense", F.col("dense_rank").cast("int")).withColumn("price_rank", F.col("rank").cast("int"))
+    placed = null_safe_join(placed, totals, ["l_orderkey"])
     return placed.select("l_orderkey", "l_linenumber", "l_extendedprice", "l_partkey", "price_rank", "price_dense",
                          F.round("total", 2).alias("order_total"), F.round(F.col("l_extendedprice") / F.col("total"), 8).alias("share"))
 

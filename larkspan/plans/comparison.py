@@ -19,6 +19,7 @@ from larkspan.plans.scoring import (
     FAN_OUT,
     evaluate,
     hash_tree,
+    hash_tree_sql,
     linear_scorer,
     logits_by_join,
     parameters,
@@ -252,13 +253,13 @@ def mode_hashes(spark: SparkSession, d: str) -> DataFrame:
     return hash_tree(per_name, "label", F.col("fingerprint"), ["mode"]).withColumnRenamed("fingerprint", "model_hash")
 
 
-_HASH_SQL = f""", hleaf as (select mode, k, j // {FAN_OUT} as i, sha256(string_agg((round(w * 1000000)::bigint)::varchar, ',' order by j)) as h from wts group by all),
-  hname as (select mode, k, sha256(string_agg(h, ',' order by i)) as h from hleaf group by all),
-  hgroup as (select mode, k // {FAN_OUT} as i, sha256(string_agg(h, ',' order by k)) as h from hname group by all),
-  hashes as (select mode, sha256(string_agg(h, ',' order by i)) as model_hash from hgroup group by 1)"""
+_HASH_SQL = (
+    ", " + hash_tree_sql("hname", "wts", "j", "(round(w * 1000000)::bigint)::varchar", "mode, k") + ", " + hash_tree_sql("htree", "hname", "k", "h", "mode")
+    + ", hashes as (select mode, h as model_hash from htree)")
 
 _NOTES = {
-    "self": "must match", "same_device": "informational: aggregation order may differ", "cross_device": "mismatch expected across devices"}
+    "self": "one mode twice: equal hashes are required", "same_device": "sums may run in another order: equal hashes are not required",
+    "cross_device": "other arithmetic: equal hashes are not required"}
 _NOTE_SQL = "case pair_kind " + " ".join(f"when '{k}' then '{v}'" for k, v in _NOTES.items()) + " end"
 
 
@@ -354,8 +355,7 @@ def repro_report(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "hash_agreement",
-    f"""with {RUNS_SQL}, leaf as (select mode, data_type, vec_id // {FAN_OUT} as i, sha256(string_agg(vec_id || ':' || prediction, ',' order by vec_id)) as h from preds group by all),
-      ph as (select mode, data_type, sha256(string_agg(h, ',' order by i)) as h from leaf group by all)
+    f"with {RUNS_SQL}, " + hash_tree_sql("ph", "preds", "vec_id", "vec_id || ':' || prediction", "mode, data_type") + """
       select coalesce(data_type, 'all') as data_type, coalesce(split_part(mode, '_', 2), 'any') as device, count(distinct h) as n_hashes, count(distinct h) <= 1 as all_match
       from ph group by grouping sets ((data_type, split_part(mode, '_', 2)), (data_type))""",
 )

@@ -23,10 +23,23 @@ N_TOKENS, VOCABULARY = 128, 30_522
 CHUNKS = 8
 
 
+def hashed(*parts: Column | int, seed: int = SEED) -> Column:
+    """A whole number below 2**32 fixed by its arguments; a hash that every engine has."""
+    text = F.concat_ws("-", *[(p if isinstance(p, Column) else F.lit(p)).cast("string") for p in (seed, *parts)])
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
+
+
+def hashed_sql(*parts: str | int, seed: int = SEED) -> str:
+    return "('0x' || substr(md5(concat_ws('-', " + ", ".join(f"({p})::varchar" for p in (seed, *parts)) + ")), 1, 8))::bigint"
+
+
 def uniform(*parts: Column | int, seed: int = SEED) -> Column:
     """A number in (0, 1) fixed by its arguments."""
-    cols = [p if isinstance(p, Column) else F.lit(p) for p in parts]
-    return (F.pmod(F.xxhash64(F.lit(seed), *cols), F.lit(2**31 - 1)) + 1) / float(2**31)
+    return (hashed(*parts, seed=seed) + 0.5) / float(2**32)
+
+
+def uniform_sql(*parts: str | int, seed: int = SEED) -> str:
+    return f"(({hashed_sql(*parts, seed=seed)} + 0.5::double) / {2**32}.0::double)"
 
 
 def normal(*parts: Column | int, seed: int = SEED) -> Column:
@@ -34,30 +47,49 @@ def normal(*parts: Column | int, seed: int = SEED) -> Column:
     return F.sqrt(-2 * F.log(uniform(*parts, 1, seed=seed))) * F.cos(2 * math.pi * uniform(*parts, 2, seed=seed))
 
 
-@query("gen_tabular")
+def normal_sql(*parts: str | int, seed: int = SEED) -> str:
+    return f"(sqrt(-2 * ln({uniform_sql(*parts, 1, seed=seed)})) * cos(2 * pi() * {uniform_sql(*parts, 2, seed=seed)}))"
+
+
+@query(
+    "gen_tabular",
+    f"""with ids as (select o_orderkey as id, ({hashed_sql('o_orderkey')} % {N_CLASSES})::int as true_class from orders),
+      i as (select *, [{normal_sql('true_class', 'j', seed=SEED + 1)} * 2 + {normal_sql('id', 'j')} for j in range({N_INFORMATIVE})] as inf from ids)
+      select id, true_class, case when {uniform_sql('id', seed=SEED + 3)} < {FLIPPED}
+          then ((true_class + 1 + {hashed_sql('id', seed=SEED + 2)} % {N_CLASSES - 1}) % {N_CLASSES})::int else true_class end as label,
+        [round(v, 6) for v in list_concat(inf, [0.6::double * inf[j + 1] + 0.4::double * inf[(j + 3) % {N_INFORMATIVE} + 1] for j in range({N_FEATURES - N_INFORMATIVE})])] as features
+      from i""",
+)
 def gen_tabular(spark: SparkSession, d: str) -> DataFrame:
     """One labelled sample per order id: ten informative features around a class centre, ten
     that mix them, and one label in twenty moved to another class."""
     ids = spread(table(spark, d, "orders").select(F.col("o_orderkey").alias("id")))
-    rows = ids.withColumn("true_class", F.pmod(F.xxhash64(F.lit(SEED), "id"), F.lit(N_CLASSES)).cast("int"))
+    rows = ids.withColumn("true_class", (hashed(F.col("id")) % N_CLASSES).cast("int"))
     centre = lambda j: normal(F.col("true_class"), j, seed=SEED + 1) * 2
     informative = F.transform(F.sequence(F.lit(0), F.lit(N_INFORMATIVE - 1)), lambda j: centre(j) + normal(F.col("id"), j))
     rows = rows.withColumn("inf", informative)
     mixed = F.transform(
         F.sequence(F.lit(0), F.lit(N_FEATURES - N_INFORMATIVE - 1)),
         lambda j: 0.6 * F.element_at("inf", (j + 1).cast("int")) + 0.4 * F.element_at("inf", (F.pmod(j + 3, F.lit(N_INFORMATIVE)) + 1).cast("int")))
-    moved = F.pmod(F.col("true_class") + 1 + F.pmod(F.xxhash64(F.lit(SEED + 2), "id"), F.lit(N_CLASSES - 1)), F.lit(N_CLASSES)).cast("int")
+    moved = ((F.col("true_class") + 1 + hashed(F.col("id"), seed=SEED + 2) % (N_CLASSES - 1)) % N_CLASSES).cast("int")
     return rows.select(
         "id", F.transform(F.concat("inf", mixed), lambda v: F.round(v, 6)).alias("features"),
         F.when(uniform(F.col("id"), seed=SEED + 3) < FLIPPED, moved).otherwise(F.col("true_class")).alias("label"), "true_class")
 
 
-@query("gen_images")
+@query(
+    "gen_images",
+    f"""with ids as (select s_suppkey as id, ({hashed_sql('s_suppkey')} % {IMAGE_CLASSES})::int as label from supplier),
+      raw as (select *, [sin(2 * pi() * ((p % {SIDE}) / {SIDE}.0::double) * (label + 1)) * cos(2 * pi() * ((p // {SIDE}) / {SIDE}.0::double) * (label + 1))
+        + {NOISE}::double * {normal_sql('id', 'p')} for p in range({SIDE * SIDE})] as raw from ids),
+      ends as (select min(list_min(raw)) as low, max(list_max(raw)) as high from raw)
+      select id, label, [round((v - low) / (high - low), 6) for v in raw] as pixels from raw, ends""",
+)
 def gen_images(spark: SparkSession, d: str) -> DataFrame:
     """One image per supplier: a class pattern of sine times cosine plus noise, scaled so that
     the whole set lies in [0, 1]. The two extremes are the only values the driver sees."""
     ids = spread(table(spark, d, "supplier").select(F.col("s_suppkey").alias("id")))
-    rows = ids.withColumn("label", F.pmod(F.xxhash64(F.lit(SEED), "id"), F.lit(IMAGE_CLASSES)).cast("int"))
+    rows = ids.withColumn("label", (hashed(F.col("id")) % IMAGE_CLASSES).cast("int"))
 
     def pixel(p: Column) -> Column:
         x, y = F.pmod(p, F.lit(SIDE)) / SIDE, F.floor(p / SIDE) / SIDE
@@ -66,17 +98,22 @@ def gen_images(spark: SparkSession, d: str) -> DataFrame:
 
     raw = rows.withColumn("raw", F.transform(F.sequence(F.lit(0), F.lit(SIDE * SIDE - 1)), pixel))
     low, high = raw.agg(F.min(F.array_min("raw")), F.max(F.array_max("raw"))).first()
-    return raw.select("id", F.transform("raw", lambda v: ((v - low) / (high - low)).cast("float")).alias("pixels"), "label")
+    return raw.select("id", F.transform("raw", lambda v: F.round((v - low) / (high - low), 6)).alias("pixels"), "label")
 
 
-@query("gen_inputs")
+@query(
+    "gen_inputs",
+    f"""select c_custkey as id, [({hashed_sql('c_custkey', 'j')} % {VOCABULARY})::int for j in range({N_TOKENS})] as token_ids,
+      [round({normal_sql('c_custkey', 'j', seed=SEED + 5)}, 6) for j in range({N_FEATURES})] as features,
+      [round({uniform_sql('c_custkey', 'j', seed=SEED + 6)}, 6) for j in range(48)] as tensor from customer""",
+)
 def gen_inputs(spark: SparkSession, d: str) -> DataFrame:
     """Scoring inputs per customer: token ids, a feature vector and a small float tensor."""
     ids = spread(table(spark, d, "customer").select(F.col("c_custkey").alias("id")))
     tokens = F.transform(F.sequence(F.lit(0), F.lit(N_TOKENS - 1)),
-                         lambda j: F.pmod(F.xxhash64(F.lit(SEED), F.col("id"), j), F.lit(VOCABULARY)).cast("int"))
+                         lambda j: (hashed(F.col("id"), j) % VOCABULARY).cast("int"))
     vector = F.transform(F.sequence(F.lit(0), F.lit(N_FEATURES - 1)), lambda j: F.round(normal(F.col("id"), j, seed=SEED + 5), 6))
-    tensor = F.transform(F.sequence(F.lit(0), F.lit(3 * 4 * 4 - 1)), lambda j: uniform(F.col("id"), j, seed=SEED + 6).cast("float"))
+    tensor = F.transform(F.sequence(F.lit(0), F.lit(3 * 4 * 4 - 1)), lambda j: F.round(uniform(F.col("id"), j, seed=SEED + 6), 6))
     return ids.select("id", tokens.alias("token_ids"), vector.alias("features"), tensor.alias("tensor"))
 
 

@@ -18,12 +18,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from larkspan.plans.generation import hashed, hashed_sql
 from larkspan.registry import query
 from larkspan.session import spread
 from larkspan.sources.tables import table
 
 MAX_BROADCAST_PARAMETERS = 4_000_000
-FAN_OUT = 1000
+FAN_OUT, LEVELS = 4096, 6
 CHUNK_ROWS = 50
 
 
@@ -96,22 +97,29 @@ def softmax(logits: str = "logits") -> Column:
     return F.transform(exps, lambda v: v / F.aggregate(exps, F.lit(0.0), lambda s, t: s + t))
 
 
-def hash_tree(df: DataFrame, idx: str, text: Column, keys: list[str] | None = None, levels: int | None = None) -> DataFrame:
-    """SHA-256 over rows in ``idx`` order, as a tree: at most ``FAN_OUT`` children per hash, so
-    no group grows with the data and the result does not depend on the partitioning."""
+def hash_tree(df: DataFrame, idx: str, text: Column, keys: list[str] | None = None) -> DataFrame:
+    """SHA-256 over rows in ``idx`` order, as a tree of ``LEVELS`` levels: at most ``FAN_OUT`` children per hash and a last level without
+    numbers, which covers every 64-bit id, so the definition does not depend on the data or its partitioning."""
     keys = keys or []
     node = df.select(*keys, F.col(idx).cast("bigint").alias("i"), text.alias("h"))
-    if levels is None:
-        top = node.agg(F.max("i")).first()[0] or 0
-        levels = 2
-        while FAN_OUT**levels <= top:
-            levels += 1
-    for _ in range(levels):
-        node = node.groupBy(*keys, F.floor(F.col("i") / FAN_OUT).alias("i")).agg(
+    for level in range(LEVELS):
+        up = F.lit(0).cast("bigint") if level == LEVELS - 1 else F.floor(F.col("i") / FAN_OUT)
+        node = node.groupBy(*keys, up.alias("i")).agg(
             F.sha2(F.concat_ws(",", F.transform(F.sort_array(F.collect_list(F.struct("i", "h"))), lambda r: r.h)), 256).alias("h"))
     return node.select(*keys, F.col("h").alias("fingerprint"))
 
 
+def hash_tree_sql(name: str, source: str, idx: str, text: str, keys: str = "") -> str:
+    """The same as common table expressions; the last one is called ``name`` and has the keys and h."""
+    keep = f"{keys}, " if keys else ""
+    ctes = [f"{name}_0 as (select {keep}({idx})::bigint as i, {text} as h from {source})"]
+    for level in range(1, LEVELS + 1):
+        up = "0" if level == LEVELS else f"floor(i / {FAN_OUT})::bigint"
+        to = name if level == LEVELS else f"{name}_{level}"
+        ctes.append(f"{to} as (select {keep}up as i, sha256(string_agg(h, ',' order by i)) as h from (select *, {up} as up from {name}_{level - 1}) group by all)")
+    return ", ".join(ctes)
+
+
 # The scorer in SQL: components, class means, logits per sample and class.
 CELLS_SQL = """cells as (select vec_id, label, unnest(embedding)::double as x, generate_subscripts(embedding, 1) - 1 as j from embeddings),
   params as (select label as k, j, avg(x) as w from cells group by all),
@@ -157,12 +165,21 @@ def score_predict_batch(spark: SparkSession, d: str) -> DataFrame:
     return samples(spark, d).select("vec_id", predict("x").alias("prediction"))
 
 
-@query("score_generated")
+_SEED, _FEATURES, _CLASSES = 42, 8, 5
+
+
+@query(
+    "score_generated",
+    f"""with x as (select o_orderkey as id, [{hashed_sql('o_orderkey', 'j', seed=_SEED)} % 1000003 / 1000003.0::double * 2 - 1 for j in range({_FEATURES})] as x from orders),
+      s as (select id, [list_dot_product(x, [sin((k * {_FEATURES} + j)::double) for j in range({_FEATURES})]) for k in range({_CLASSES})] as s from x),
+      p as (select id, list_position(s, list_max(s)) - 1 as prediction from s), """ + hash_tree_sql("tree", "p", "id", "id || ':' || prediction")
+    + " select prediction::int as prediction, count(*) as n, (select h from tree) as fingerprint from p group by 1",
+)
 def score_generated(spark: SparkSession, d: str) -> DataFrame:
     """Only a seed goes to the executors: each order id gets eight features made from
     (seed, id, j), is scored, and the run is summed up with its fingerprint."""
-    seed, n_features, n_classes = 42, 8, 5
-    feature = lambda j: F.pmod(F.xxhash64(F.lit(seed), F.col("id"), F.lit(j)), F.lit(1_000_003)) / 1_000_003 * 2 - 1
+    n_features, n_classes = _FEATURES, _CLASSES
+    feature = lambda j: hashed(F.col("id"), j, seed=_SEED) % 1_000_003 / 1_000_003 * 2 - 1
     wts = np.sin(np.arange(n_classes * n_features, dtype=np.float64)).reshape(n_classes, n_features)
     rows = spread(table(spark, d, "orders").select(F.col("o_orderkey").alias("id"))).select(
         "id", F.array(*[feature(j) for j in range(n_features)]).alias("x"))
@@ -204,8 +221,7 @@ def evaluate(scored: DataFrame, *keys: str) -> DataFrame:
 
 @query(
     "prediction_fingerprint",
-    _PRED_SQL + f""", leaf as (select vec_id // {FAN_OUT} as i, sha256(string_agg(vec_id || ':' || prediction, ',' order by vec_id)) as h from preds group by 1)
-      select sha256(string_agg(h, ',' order by i)) as fingerprint, (select count(*) from preds) as n_rows from leaf""",
+    _PRED_SQL + ", " + hash_tree_sql("tree", "preds", "vec_id", "vec_id || ':' || prediction") + " select h as fingerprint, (select count(*) from preds) as n_rows from tree",
 )
 def prediction_fingerprint(spark: SparkSession, d: str) -> DataFrame:
     preds = with_logits(spark, d).select("vec_id", top1().alias("prediction"))
@@ -215,15 +231,14 @@ def prediction_fingerprint(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "model_fingerprint",
-    f"""with {CELLS_SQL}, leaf as (select k, j // {FAN_OUT} as i, sha256(string_agg((round(w * 1000000)::bigint)::varchar, ',' order by j)) as h from params group by all),
-      named as (select k, sha256(string_agg(h, ',' order by i)) as h from leaf group by 1)
-      select 'class_' || lpad(k::varchar, 3, '0') as name, h as fingerprint, (select sha256(string_agg(h, ',' order by k)) from named) as model from named""",
+    f"with {CELLS_SQL}, " + hash_tree_sql("named", "params", "j", "(round(w * 1000000)::bigint)::varchar", "k") + ", " + hash_tree_sql("whole", "named", "k", "h")
+    + " select 'class_' || lpad(k::varchar, 3, '0') as name, named.h as fingerprint, whole.h as model from named, whole",
 )
 def model_fingerprint(spark: SparkSession, d: str) -> DataFrame:
     """One hash per named parameter, and one over all of them in name order."""
     text = F.round(F.col("value") * 1_000_000).cast("bigint").cast("string")
     per_name = hash_tree(parameters(spark, d), "idx", text, ["name", "label"])
-    model = hash_tree(per_name, "label", F.col("fingerprint"), levels=1).first()["fingerprint"]
+    model = hash_tree(per_name, "label", F.col("fingerprint")).first()["fingerprint"]
     return per_name.select("name", "fingerprint", F.lit(model).alias("model"))
 
 

@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Names of tables that jobs leave in the catalog until clean_up().
+TABLE_PREFIX = "larkspan_"
+
+
 def local_session(cpus: str | int = "*", app: str = "larkspan", **conf: str) -> SparkSession:
     """A session for tests and the benchmark; a cluster brings its own."""
     builder = (
@@ -29,20 +38,51 @@ def local_session(cpus: str | int = "*", app: str = "larkspan", **conf: str) ->
     return spark
 
 
+def _one_process(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process; ``local-cluster`` is not."""
+    return re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master) is not None
+
+
 def shared_root(spark: SparkSession) -> str:
-    """Folder every executor can reach.
+    """Folder of this run that every executor can reach.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only a local session, where driver
-    and executors are one process, may fall back to a temporary folder.
+    The cluster names its parent in ``spark.checkpoint.dir``. Only a local session, where driver
+    and executors are one process, may fall back to a temporary folder, which goes when Python ends.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    root = tempfile.mkdtemp(prefix="larkspan-")
-    spark.sparkContext.setCheckpointDir(root)
-    return root
+    if not root:
+        if not _one_process(spark):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
+        root = tempfile.mkdtemp(prefix="larkspan-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
+        spark.sparkContext.setCheckpointDir(root)
+    return f"{root.rstrip('/')}/larkspan-{spark.sparkContext.applicationId}"
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Remove what this run has written below the shared folder, and its tables in the catalog. Results that are not yet read need those
+    files, so call it when all is done."""
+    root = shared_root(spark)
+    for t in spark.catalog.listTables():
+        if t.name.startswith(TABLE_PREFIX) and not t.isTemporary:
+            spark.sql(f"drop table if exists {t.name}")
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Give this package to the workers, once a session: a cluster need not have it installed."""
+    context = spark.sparkContext
+    if getattr(context, "_larkspan_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="larkspan-ship-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    with zipfile.ZipFile(f"{folder}/larkspan.zip", "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    context.addPyFile(f"{folder}/larkspan.zip")
+    context._larkspan_shipped = True
 
 
 @contextmanager

@@ -1,4 +1,4 @@
-"""The split forms against brute force: pieces are made tiny, so every group is 'hot'."""
+"""The split forms against brute force: tables are laid out in many pieces, so every group is cut."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ from larkspan.operators import skew
 from larkspan.operators.joins import asof_join
 from tests.oracle import compare
 
-HOT = 7
+HOT = 60  # pieces
 
 
 @pytest.fixture(scope="module")
@@ -32,14 +32,27 @@ def rows(df, *cols):
     return sorted(tuple(r) for r in df.select(*cols).collect())
 
 
-def test_pieces_stay_small(frame):
-    pieces, split = skew.in_pieces(frame[1], ["k"], "id", HOT)
-    assert split
-    assert pieces.groupBy("k", skew.PIECE).count().agg(F.max("count")).first()[0] <= HOT
+@pytest.mark.parametrize("order", [["id"], ["v", "id"], ["c", "id"], ["s"]])
+def test_pieces_stay_small(frame, order):
+    """Also for one key, tied first columns and strings with a long common prefix."""
+    df = frame[1].withColumn("c", F.concat(F.lit("Brand#common"), F.col("s"))).withColumn("k", F.lit(1))
+    sizes = skew.in_pieces(df, ["k"], order, 20).groupBy(skew.PIECE).count()
+    assert sizes.agg(F.max("count")).first()[0] <= (80 if len(order) == 1 and order != ["id"] else 50)
 
 
-def test_no_split_without_hot_group(frame):
-    assert not skew.in_pieces(frame[1], ["k"], "id")[1]
+def test_ranks_and_prefix_keep_null_keys_and_values(spark):
+    rng = np.random.default_rng(8)
+    rows_ = [(i, None if i % 3 == 0 else int(rng.integers(0, 2)), None if i % 5 == 0 else float(rng.integers(0, 4)), f"Brand#{rng.integers(0, 9)}") for i in range(300)]
+    df = spark.createDataFrame(rows_, "id bigint, k int, v double, s string")
+    for value in ("v", "s"):
+        w, t = Window.partitionBy("k").orderBy(value), Window.partitionBy("k").orderBy(value, "id")
+        want = df.select("id", F.row_number().over(t).alias("row_number"), F.rank().over(w).alias("rank"), F.cume_dist().over(w).alias("cume_dist"))
+        got = skew.ranks(df.select("id", "k", value), ["k"], value, ["id"], 40)
+        assert rows(got, "id", "row_number", "rank", "cume_dist") == rows(want, "id", "row_number", "rank", "cume_dist")
+        assert got.schema == skew.ranks(df.select("id", "k", value), ["k"], value, ["id"], 1).schema
+    upto = Window.partitionBy("k").orderBy("v", "id").rowsBetween(Window.unboundedPreceding, 0)
+    want = df.select("id", F.count("id").over(upto).alias("n"))
+    assert rows(skew.prefix(df, ["k"], ["v", "id"], {"n": ("count", "id")}, 40), "id", "n") == rows(want, "id", "n")
 
 
 @pytest.mark.parametrize("keys", [["k"], []])
@@ -83,7 +96,7 @@ def test_ntile(spark, n, tiles):
 
 @pytest.mark.parametrize("before,after", [(2, 0), (0, 3), (4, 4)])
 def test_halo(frame, before, after):
-    placed = skew.positions(frame[1], ["k"], ["id"], hot_rows=HOT)
+    placed = skew.positions(frame[1], ["k"], ["id"], pieces=HOT)
     w = Window.partitionBy("k", "__block").orderBy("row_pos").rowsBetween(-before, after)
     got = skew.drop_halo(skew.with_halo(placed, F.col("row_pos"), before, after, block=5).withColumn("m", F.sum("v").over(w)))
     plain = Window.partitionBy("k").orderBy("id").rowsBetween(-before, after)
@@ -120,7 +133,7 @@ def test_asof(spark, direction, exact):
     a, b = side(300, "id"), side(250, "hit")
     left, right = spark.createDataFrame(a), spark.createDataFrame(b)
     ntz = lambda df: df.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
-    got = asof_join(ntz(left), ntz(right), ["k"], "ts", ["hit"], direction, 60_000_000, exact, hot_rows=HOT)
+    got = asof_join(ntz(left), ntz(right), ["k"], "ts", ["hit"], direction, 60_000_000, exact, pieces=HOT)
     want = pd.merge_asof(a, b, on="ts", by="k", direction=direction, tolerance=pd.Timedelta("60s"), allow_exact_matches=exact)
     have = {r["id"]: r["hit"] for r in got.collect()}
     for _, r in want.iterrows():
@@ -135,6 +148,6 @@ WINDOWED = [
 
 @pytest.mark.parametrize("key", WINDOWED)
 def test_queries_under_forced_split(spark, sf_dir, duck, monkeypatch, key):
-    monkeypatch.setattr(skew, "HOT_ROWS", 40)
+    monkeypatch.setattr(skew, "PIECES", 37)
     verdict, detail, _ = compare(spark, sf_dir, entry.queries()[key], entry.oracle_sql()[key], duck)
     assert verdict in ("ok", "NEAR"), f"{verdict}: {detail}"
