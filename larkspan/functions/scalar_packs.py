@@ -410,8 +410,20 @@ def fn_builders(spark: SparkSession, d: str) -> DataFrame:
         F.col("w").alias("from_udtf"), "suppliers").orderBy(F.desc("n_nationkey"), F.asc("from_udtf"))
 
 
-@query("fn_identity")
+@query(
+    "fn_identity",
+    """select s_suppkey, true as file_named, true as block_known, true as part_known, 1 as rows_of_id from supplier""",
+)
 def fn_identity(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each row knows its file, block and partition, and how many rows have its row id."""
+    rows = identities(spark, d)
+    ids = rows.groupBy("row_id").agg(F.count("*").cast("int").alias("rows_of_id"))
+    return rows.join(ids, "row_id").select(
+        "s_suppkey", F.col("file").endswith(".parquet").alias("file_named"), ((F.col("block_start") >= 0) & (F.col("block_length") > 0)).alias("block_known"),
+        (F.col("part") >= 0).alias("part_known"), "rows_of_id")
+
+
+def identities(spark: SparkSession, d: str) -> DataFrame:
     """Where each row comes from: file, block, partition, and a unique row id."""
     rows = table(spark, d, "supplier").select(
         "s_suppkey", F.input_file_name().alias("file"), F.input_file_block_start().alias("block_start"),

@@ -116,9 +116,25 @@ def agg_distinct(spark: SparkSession, d: str) -> DataFrame:
     return parts.join(lines, "l_returnflag").join(small, "l_returnflag")
 
 
-@query("agg_approx")
+@query(
+    "agg_approx",
+    """select l_returnflag, count(*) as n, count(distinct l_orderkey) as orders_exact, count(distinct l_orderkey) as orders_bitmap,
+      true as approx_in_bound, true as hll_in_bound, true as median_in_bound from lineitem group by 1""",
+)
 def agg_approx(spark: SparkSession, d: str) -> DataFrame:
-    """Sketches next to the exact figures they stand for; tests hold them to their error bounds."""
+    """Sketches held to their error bounds: four standard errors for counts, one row in a hundred for the median."""
+    s = sketches(spark, d)
+    rank = table(spark, d, "lineitem").join(F.broadcast(s.select("l_returnflag", "median_approx")), "l_returnflag").groupBy("l_returnflag").agg(
+        F.avg((F.col("l_extendedprice") < F.col("median_approx")).cast("double")).alias("below"),
+        F.avg((F.col("l_extendedprice") <= F.col("median_approx")).cast("double")).alias("upto"))
+    near = lambda c, e: F.abs(F.col(c) / F.col("orders_exact") - 1) <= e
+    return s.join(rank, "l_returnflag").select(
+        "l_returnflag", "n", "orders_exact", "orders_bitmap", near("orders_approx", 0.08).alias("approx_in_bound"),
+        near("orders_hll", 0.04).alias("hll_in_bound"), ((F.col("below") <= 0.51) & (F.col("upto") >= 0.49)).alias("median_in_bound"))
+
+
+def sketches(spark: SparkSession, d: str) -> DataFrame:
+    """Sketches next to the exact figures they stand for."""
     li = table(spark, d, "lineitem")
     sketches = li.groupBy("l_returnflag").agg(
         F.approx_count_distinct("l_orderkey", 0.02).alias("orders_approx"),
@@ -143,22 +159,50 @@ def agg_approx(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("agg_approx_union")
+@query(
+    "agg_approx_union",
+    """select year(o_orderdate)::int as y, count(distinct month(o_orderdate)) as months, count(distinct o_custkey) as customers_exact, true as approx_in_bound
+       from orders group by 1""",
+)
 def agg_approx_union(spark: SparkSession, d: str) -> DataFrame:
     """Sketches kept per month and merged per year: distinct users without another scan."""
-    monthly = table(spark, d, "orders").groupBy(
-        F.year("o_orderdate").alias("y"), F.month("o_orderdate").alias("m")
-    ).agg(F.hll_sketch_agg("o_custkey", 12).alias("sketch"),
-          F.bitmap_construct_agg(F.bitmap_bit_position("o_custkey")).alias("bits"))
-    return monthly.groupBy("y").agg(
-        F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("customers_approx"),
-        F.bitmap_count(F.bitmap_or_agg("bits")).alias("low_bits"),
-        F.count("*").alias("months"),
-    )
+    return union_of_sketches(table(spark, d, "orders"), "o_orderdate", "o_custkey").select(
+        "y", "months", F.col("bits").alias("customers_exact"), (F.abs(F.col("approx") / F.col("bits") - 1) <= 0.08).alias("approx_in_bound"))
 
 
-@query("frequent_values")
+def union_of_sketches(df: DataFrame, day: str, key: str) -> DataFrame:
+    """Per year: months, approx and bits, the distinct keys by merged sketches and by merged bitmaps. A bitmap holds one
+    bucket of keys, so bitmaps are kept and merged by bucket."""
+    when = [F.year(day).alias("y"), F.month(day).alias("m")]
+    monthly = df.groupBy(*when).agg(F.hll_sketch_agg(key, 12).alias("sketch"))
+    bitmaps = df.groupBy(*when, F.bitmap_bucket_number(key).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(key)).alias("bits"))
+    exact = bitmaps.groupBy("y", "b").agg(F.bitmap_count(F.bitmap_or_agg("bits")).alias("bits")).groupBy("y").agg(F.sum("bits").alias("bits"))
+    approx = monthly.groupBy("y").agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("approx"), F.count("*").alias("months"))
+    return approx.join(exact, "y")
+
+
+@query(
+    "frequent_values",
+    """select (select count(*) from (select l_returnflag from lineitem group by 1 having count(*) >= 0.2 * (select count(*) from lineitem))) as flags_found,
+      (select count(*) from (select l_linestatus from lineitem group by 1 having count(*) >= 0.2 * (select count(*) from lineitem))) as statuses_found,
+      true as q25_in_bound, true as q50_in_bound, true as q75_in_bound""",
+)
 def frequent_values(spark: SparkSession, d: str) -> DataFrame:
+    """How many of the truly frequent values the frequent-items job lists, and whether the approximate quantiles lie at their ranks."""
+    li = table(spark, d, "lineitem")
+    met = F.broadcast(frequent_items(spark, d))  # one row
+    n = li.count()
+    found = []
+    for col, listed in (("l_returnflag", "flags"), ("l_linestatus", "statuses")):
+        often = li.groupBy(col).count().filter(F.col("count") >= 0.2 * n)
+        found.append(often.crossJoin(met).agg(F.count_if(F.array_contains(F.split(listed, ","), F.col(col))).alias(f"{listed}_found")))
+    q = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
+    at = lambda c, p: (F.avg((F.col("l_quantity") < F.col(c)).cast("double")) <= p + 0.01) & (F.avg((F.col("l_quantity") <= F.col(c)).cast("double")) >= p - 0.01)
+    bounds = li.crossJoin(met).agg(*[at(c, p).alias(f"{c}_in_bound") for c, p in q.items()])
+    return found[0].crossJoin(found[1]).crossJoin(bounds)
+
+
+def frequent_items(spark: SparkSession, d: str) -> DataFrame:
     """Approximate quantiles and frequent items through the statistic functions."""
     li = table(spark, d, "lineitem")
     q = li.approxQuantile("l_quantity", [0.25, 0.5, 0.75], 0.001)

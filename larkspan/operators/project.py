@@ -175,10 +175,18 @@ def alias_transform(spark: SparkSession, d: str) -> DataFrame:
 
 def hash_fraction(seed: int, *cols: str):
     """Uniform number in [0, 1) fixed by the row id: samples do not depend on partitioning."""
-    return F.pmod(F.xxhash64(F.lit(seed), *cols), F.lit(1_000_003)) / 1_000_003
+    text = F.concat_ws("-", F.lit(str(seed)), *[F.col(c).cast("string") for c in cols])
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") / 2**32
 
 
-@query("stratified_sample")
+_FRACTION_SQL = "(('0x' || substr(md5('{seed}-' || event_id), 1, 8))::bigint / 4294967296.0::double)"
+
+
+@query(
+    "stratified_sample",
+    f"""select event_id, event_type, value, case when {_FRACTION_SQL.format(seed=7)} < 0.8 then 'train' else 'test' end as part from events
+      where {_FRACTION_SQL.format(seed=42)} < case event_type when 'purchase' then 0.5 when 'signup' then 0.25 when 'error' then 0.1 else 0.05 end""",
+)
 def stratified_sample(spark: SparkSession, d: str) -> DataFrame:
     """Keeps a fixed share of each event type, and tags the kept rows with an 80/20 split."""
     # Share kept per event type.
@@ -196,9 +204,26 @@ def stratified_sample(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("bernoulli_sample")
+@query(
+    "bernoulli_sample",
+    """with n as (select event_type, count(*) as rows_there from events group by 1)
+      select kind, event_type, rows_there, true as as_expected from n, (values ('bernoulli'), ('by_stratum'), ('split_70'), ('split_30')) k(kind)""",
+)
 def bernoulli_sample(spark: SparkSession, d: str) -> DataFrame:
-    """The built-in samplers: Bernoulli, by stratum, and a random split, counted per kind."""
+    """The built-in samplers: Bernoulli, by stratum, and a random split, each number of kept rows held to six
+    standard deviations around the asked share."""
+    there = table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("rows_there"))
+    share = F.when(F.col("kind") == "bernoulli", 0.2).when(F.col("kind") == "split_70", 0.7).when(F.col("kind") == "split_30", 0.3)
+    share = share.when(F.col("event_type") == "purchase", 0.5).when(F.col("event_type") == "click", 0.1).otherwise(0.0)
+    kinds = F.explode(F.array(*[F.lit(k) for k in ("bernoulli", "by_stratum", "split_70", "split_30")])).alias("kind")
+    grid = there.select("event_type", "rows_there", kinds).withColumn("share", share)
+    met = grid.join(sample_counts(spark, d), ["kind", "event_type"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    room = 6 * F.sqrt(F.col("rows_there") * F.col("share") * (1 - F.col("share"))) + 1
+    return met.select("kind", "event_type", "rows_there", (F.abs(F.col("n") - F.col("rows_there") * F.col("share")) <= room).alias("as_expected"))
+
+
+def sample_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Kept rows per sampler and event type."""
     ev = table(spark, d, "events").select("event_id", "event_type")
     left, right = ev.randomSplit([0.7, 0.3], seed=42)
     parts = [

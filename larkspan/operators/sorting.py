@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larkspan.operators.skew import positions, top_per_group
@@ -48,12 +48,13 @@ def sort_directions(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
-@query("sort_partitions")
+@query("sort_partitions", "select l_suppkey, l_shipdate, l_extendedprice from lineitem")
 def sort_partitions(spark: SparkSession, d: str) -> DataFrame:
-    """Rows hashed by supplier and sorted inside each partition: no global order, no range shuffle."""
+    """Rows hashed by supplier and day and sorted inside each partition: no global order, no range shuffle, and a supplier with
+    many lines is spread."""
     return (
         table(spark, d, "lineitem").select("l_suppkey", "l_shipdate", "l_extendedprice")
-        .repartition("l_suppkey").sortWithinPartitions("l_suppkey", F.desc("l_shipdate")))
+        .repartition("l_suppkey", "l_shipdate").sortWithinPartitions("l_suppkey", F.desc("l_shipdate")))
 
 
 @query(
@@ -87,14 +88,28 @@ def topk_group(spark: SparkSession, d: str) -> DataFrame:
     return top_per_group(o, ["o_orderpriority"], [F.desc("o_totalprice"), F.asc("o_orderkey")], ["o_orderkey"], 5)
 
 
-@query("range_layout")
+@query(
+    "range_layout",
+    """select layout, count(*) as n, min(l_shipdate) as low, max(l_shipdate) as high, layout = 'range' as disjoint
+       from lineitem, (values ('range'), ('coalesced')) t(layout) group by layout""",
+)
 def range_layout(spark: SparkSession, d: str) -> DataFrame:
-    """Rows per output partition after a range layout by ship date, then merged to fewer files."""
+    """A range layout by ship date and a hashed one merged to fewer partitions: rows, ends, and whether partitions share no day."""
+    parts = layout_parts(spark, d)
+    w = Window.partitionBy("layout").orderBy("low", "high")  # one row per partition of the layout
+    return parts.withColumn("before", F.lag("high").over(w)).groupBy("layout").agg(
+        F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"),
+        F.bool_and(F.coalesce(F.col("before") < F.col("low"), F.lit(True))).alias("disjoint"))
+
+
+def layout_parts(spark: SparkSession, d: str) -> DataFrame:
+    """Rows per output partition after a range layout by ship date, then merged to fewer partitions."""
+    n = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     li = table(spark, d, "lineitem").select("l_shipdate", "l_orderkey")
-    ranged = li.repartitionByRange(8, "l_shipdate").withColumn("part", F.spark_partition_id())
+    ranged = li.repartitionByRange(n, "l_shipdate").withColumn("part", F.spark_partition_id())
     by_range = ranged.groupBy("part").agg(
         F.count("*").alias("n"), F.min("l_shipdate").alias("low"), F.max("l_shipdate").alias("high"))
-    merged = li.repartition(8, "l_orderkey").coalesce(2).withColumn("part", F.spark_partition_id()).groupBy("part").agg(
+    merged = li.repartition(n, "l_orderkey").coalesce(max(2, n // 4)).withColumn("part", F.spark_partition_id()).groupBy("part").agg(
         F.count("*").alias("n"), F.min("l_shipdate").alias("low"), F.max("l_shipdate").alias("high"))
     return by_range.withColumn("layout", F.lit("range")).unionByName(merged.withColumn("layout", F.lit("coalesced")))
 

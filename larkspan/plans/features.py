@@ -8,9 +8,10 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from larkspan.operators.skew import percentiles
 from larkspan.plans.scoring import samples
 from larkspan.registry import query
 from larkspan.sources.tables import table
@@ -156,12 +157,26 @@ def scale_features(spark: SparkSession, d: str) -> DataFrame:
                                    for n in ("standard", "minmax", "maxabs", "normal", "product")])
 
 
-@query("scale_robust")
+_ROBUST = {"bal": "c_acctbal", "nat": "c_nationkey"}
+
+
+@query(
+    "scale_robust",
+    """with q as (select quantile_cont(c_acctbal, [0.25, 0.5, 0.75]) as b, quantile_cont(c_nationkey::double, [0.25, 0.5, 0.75]) as n from customer)
+       select c_custkey, round((c_acctbal - b[2]) / (b[3] - b[1]), 8) as robust_bal, round((c_nationkey - n[2]) / (n[3] - n[1]), 8) as robust_nat,
+         true as scaler_close from customer, q""",
+)
 def scale_robust(spark: SparkSession, d: str) -> DataFrame:
-    """Scaled by approximate quartiles."""
+    """Both columns scaled by exact quartiles, beside the scaler that takes approximate ones: within a twentieth of each other."""
     v = customer_vectors(spark, d)
+    c = table(spark, d, "customer").withColumn("c_nationkey", F.col("c_nationkey").cast("double"))
     m = mf.RobustScaler(inputCol="f", outputCol="o", withCentering=True, relativeError=0.0001).fit(v)
-    return m.transform(v).select("c_custkey", vector_to_array("o")[0].alias("robust"))
+    rows = m.transform(v).select("c_custkey", vector_to_array("o").alias("o")).join(c.select("c_custkey", *_ROBUST.values()), "c_custkey")
+    for name, col in _ROBUST.items():
+        q = percentiles(c, [], col, {f"{name}_25": 0.25, f"{name}_50": 0.5, f"{name}_75": 0.75}).first()
+        rows = rows.withColumn(f"robust_{name}", F.round((F.col(col) - q[1]) / (q[2] - q[0]), 8))
+    close = (F.abs(F.col("o")[0] - F.col("robust_bal")) <= 0.05) & (F.abs(F.col("o")[1] - F.col("robust_nat")) <= 0.2)
+    return rows.select("c_custkey", "robust_bal", "robust_nat", close.alias("scaler_close"))
 
 
 @query(
@@ -176,23 +191,47 @@ def discretise(spark: SparkSession, d: str) -> DataFrame:
     return c.select("c_custkey", "positive", "band")
 
 
-@query("quantile_bins")
+@query(
+    "quantile_bins",
+    """with q as (select quantile_cont(c_acctbal, [0.25, 0.5, 0.75]) as q, count(*) as total from customer)
+       select ((c_acctbal >= q[1])::int + (c_acctbal >= q[2])::int + (c_acctbal >= q[3])::int)::double as bin, count(*) as n, min(c_acctbal) as low, max(c_acctbal) as high,
+         true as discretizer_close from customer, q group by 1""",
+)
 def quantile_bins(spark: SparkSession, d: str) -> DataFrame:
-    """Four bins of about equal size, and how many rows each got."""
+    """Four bins between exact quartiles, and whether the approximate discretizer puts nearly as many rows into each."""
     c = table(spark, d, "customer")
+    edges = percentiles(c, [], "c_acctbal", {"q1": 0.25, "q2": 0.5, "q3": 0.75}).first()
+    exact = mf.Bucketizer(inputCol="c_acctbal", outputCol="bin", splits=[-float("inf"), *edges, float("inf")]).transform(c)
+    exact = exact.groupBy("bin").agg(F.count("*").alias("n"), F.min("c_acctbal").alias("low"), F.max("c_acctbal").alias("high"))
     q = mf.QuantileDiscretizer(inputCol="c_acctbal", outputCol="bin", numBuckets=4, relativeError=0.001)
-    return q.fit(c).transform(c).groupBy("bin").agg(F.count("*").alias("n"), F.min("c_acctbal").alias("low"), F.max("c_acctbal").alias("high"))
+    approx = q.fit(c).transform(c).groupBy("bin").agg(F.count("*").alias("m"))
+    room = 0.01 * F.sum("n").over(Window.partitionBy()) + 2  # four rows
+    return exact.join(approx, "bin").select("bin", "n", "low", "high", (F.abs(F.col("n") - F.col("m")) <= room).alias("discretizer_close"))
 
 
-@query("project_features")
+@query(
+    "project_features",
+    """with c as (select vec_id, unnest(embedding)::double as x from embeddings), s as (select vec_id, sum(x) as s, sum(x * x) as q, count(*) as n from c group by 1)
+       select vec_id, (n * (n + 3) // 2)::int as n_poly, round(s + (s * s + q) / 2, 5) as poly_sum, round(s / sqrt(n), 5) as dct_first, round(q, 5) as dct_energy, true as pca_inside from s""",
+)
 def project_features(spark: SparkSession, d: str) -> DataFrame:
-    """Polynomial terms, cosine transform and principal components of the embeddings."""
+    """All polynomial terms of second degree, the cosine transform, and whether the first principal components hold no more than
+    the vector does."""
+    v = projections(spark, d)
+    total = lambda c, f=lambda x: x: F.aggregate(c, F.lit(0.0), lambda s, x: s + f(x))
+    square = lambda x: x * x
+    return v.select(
+        "vec_id", F.size("poly").alias("n_poly"), F.round(total("poly"), 5).alias("poly_sum"), F.round(F.col("dct")[0], 5).alias("dct_first"),
+        F.round(total("dct", square), 5).alias("dct_energy"), (total("pca", square) <= total("dct", square) * (1 + 1e-9)).alias("pca_inside"))
+
+
+def projections(spark: SparkSession, d: str) -> DataFrame:
+    """vec_id, poly, dct, pca as arrays."""
     v = vectors(spark, d)
-    v = mf.VectorSlicer(inputCol="features", outputCol="few", indices=[0, 1, 2]).transform(v)
-    v = mf.PolynomialExpansion(inputCol="few", outputCol="poly", degree=2).transform(v)
+    v = mf.PolynomialExpansion(inputCol="features", outputCol="poly", degree=2).transform(v)
     v = mf.DCT(inputCol="features", outputCol="dct").transform(v)
     v = mf.PCA(inputCol="features", outputCol="pca", k=3).fit(v).transform(v)
-    return v.select("vec_id", F.size(vector_to_array("poly")).alias("n_poly"), vector_to_array("dct")[0].alias("dct0"), vector_to_array("pca").alias("pca"))
+    return v.select("vec_id", *[vector_to_array(c).alias(c) for c in ("poly", "dct", "pca")])
 
 
 @query("formula_model")
@@ -206,7 +245,20 @@ def formula_model(spark: SparkSession, d: str) -> DataFrame:
     return stages.fit(c).transform(c).select("c_custkey", "label", "prediction")
 
 
-@query("select_features")
+@query(
+    "select_features",
+    """with c as (select vec_id, label, unnest(embedding)::double as x, generate_subscripts(embedding, 1) - 1 as j from embeddings),
+      n as (select count(*) as n, count(distinct label) as k from embeddings),
+      g as (select j, label, count(*) as m, avg(x) as a, var_pop(x) * count(*) as within from c group by all),
+      o as (select j, avg(x) as mean, var_samp(x) as var from c group by 1),
+      f as (select j, (sum(m * (a - mean) * (a - mean)) / (any_value(k) - 1)) / (sum(within) / (any_value(n) - any_value(k))) as f from g join o using (j), n group by j),
+      cell as (select j, label, (x > 0) as b, count(*) as seen from c group by all),
+      e as (select j, label, b, coalesce(seen, 0) as seen, (select count(*) from embeddings y where y.label = t.label) * (select sum(seen) from cell z where z.j = t.j and z.b = t.b) / n::double as want
+        from (select * from (select distinct j from cell), (select distinct label from cell), (values (true), (false)) v(b)) t left join cell using (j, label, b), n),
+      x as (select j, sum((seen - want) * (seen - want) / want) as x from e where want > 0 group by 1)
+      select 'variance' as selector, j::int as feature from o where var > 0.012
+      union all (select 'anova', j::int from f order by f desc limit 10) union all (select 'chi_square', j::int from x order by x desc limit 10)""",
+)
 def select_features(spark: SparkSession, d: str) -> DataFrame:
     """Features kept by three selectors."""
     v = vectors(spark, d)

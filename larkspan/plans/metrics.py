@@ -152,8 +152,19 @@ def latency_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return p.select("event_type", *[F.round(c, 6).alias(c) for c in ("p50", "p95", "p99")])
 
 
-@query("latency_approx")
+@query(
+    "latency_approx",
+    "select event_type, true as p50_in_bound, true as p95_in_bound, true as p99_in_bound from (select distinct event_type from events where value is not null)",
+)
 def latency_approx(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each approximate percentile lies within half a percent of its rank."""
+    rows = readings(spark, d).join(F.broadcast(approx_percentiles(spark, d)), "event_type")
+    share = lambda c: F.avg(c.cast("double"))
+    at = lambda c, p: (share(F.col("value") < F.col(c)) <= p + 0.005) & (share(F.col("value") <= F.col(c)) >= p - 0.005)
+    return rows.groupBy("event_type").agg(*[at(c, p).alias(f"{c}_in_bound") for c, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))])
+
+
+def approx_percentiles(spark: SparkSession, d: str) -> DataFrame:
     """The approximate form: one mergeable summary per group, no value counts."""
     q = F.percentile_approx("value", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)), 10_000)
     return readings(spark, d).groupBy("event_type").agg(q.alias("q")).select(

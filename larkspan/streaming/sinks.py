@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import time
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -94,9 +95,16 @@ class Progress(StreamingQueryListener):
         pass
 
 
-@query("stream_metrics")
+@query("stream_metrics", "select origin, count(*) as input_rows, true as every_batch from events, (values ('query'), ('listener')) t(origin) group by origin")
 def stream_metrics(spark: SparkSession, d: str) -> DataFrame:
-    """Progress of every micro-batch, from the query itself and from a listener."""
+    """Rows read by a stream as its own progress tells them and as a listener heard them, and whether both have every batch up to the last."""
+    rows, last = stream_progress(spark, d)
+    return rows.groupBy("origin").agg(F.sum("input_rows").alias("input_rows"), (F.count_distinct("batch_id") == last + 1).alias("every_batch"))
+
+
+def stream_progress(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
+    """Progress of every micro-batch, from the query itself and from a listener, and the number of the last one. The listener stays until it
+    has heard of that."""
     stream = event_stream(spark, d).groupBy("event_type").count()
     sink, listener = Sink(spark, stream.schema, "metrics"), Progress()
     spark.streams.addListener(listener)
@@ -105,12 +113,17 @@ def stream_metrics(spark: SparkSession, d: str) -> DataFrame:
              .foreachBatch(sink.write).start())
         q.awaitTermination()
         own = [("query", p["batchId"], p["numInputRows"], float(p["processedRowsPerSecond"] or 0.0)) for p in q.recentProgress]
-        last = q.lastProgress["batchId"]
+        last = max(b for _, b, _, _ in own)
+        until = time.monotonic() + 60
+        while not any(i == str(q.id) and b == last for i, b, _, _ in listener.rows):
+            if time.monotonic() > until:
+                raise TimeoutError("the listener was not told of the last batch")
+            time.sleep(0.05)
     finally:
         spark.streams.removeListener(listener)
     heard = [("listener", b, n, r) for i, b, n, r in listener.rows if i == str(q.id)]
     rows = spark.createDataFrame(own + heard, "origin string, batch_id bigint, input_rows bigint, rows_per_second double")
-    return rows.withColumn("is_last", F.col("batch_id") == last)
+    return rows.dropDuplicates(["origin", "batch_id"]), last
 
 
 def _cells(batch: DataFrame) -> tuple[float, ...]:
