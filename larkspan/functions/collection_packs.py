@@ -13,13 +13,13 @@ L = F.lit
 
 
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
-    """``a`` and ``b``: the first and second eight components as whole tenths."""
+    """``a`` and ``b``: the two halves of the components as whole tenths."""
     tenths = F.transform("embedding", lambda x: F.floor(x.cast("double") * 10).cast("int"))
     return table(spark, d, "embeddings").select(
-        "vec_id", "label", F.slice(tenths, 1, 8).alias("a"), F.slice(tenths, 9, 8).alias("b"))
+        "vec_id", "label", F.slice(tenths, 1, 32).alias("a"), F.slice(tenths, 33, 32).alias("b"))
 
 
-_VECTORS_SQL = """(select vec_id, label, t[1:8] as a, t[9:16] as b from (
+_VECTORS_SQL = """(select vec_id, label, t[1:32] as a, t[33:64] as b from (
   select *, list_transform(embedding, lambda x: floor(x::double * 10)::int) as t from embeddings))"""
 
 
@@ -51,7 +51,7 @@ register(
         ("concat_", _text(lambda: F.concat("a", "b")), _list("list_concat(a, b)")),
         ("array_position_", lambda: F.array_position("a", 0), "coalesce(list_position(a, 0), 0)::bigint"),
         ("element_at_", lambda: F.element_at("a", -1), "a[-1]"),
-        ("try_element_at_", lambda: F.try_element_at("a", L(20)).isNull(), "true"),
+        ("try_element_at_", lambda: F.try_element_at("a", L(200)).isNull(), "true"),
         ("get_", lambda: F.get("a", 2), "a[3]"),
         ("array_prepend_", _text(lambda: F.array_prepend("a", 9)), _list("list_prepend(9, a)")),
         ("array_append_", _text(lambda: F.array_append("a", 9)), _list("list_append(a, 9)")),

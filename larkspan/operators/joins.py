@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspan.operators.skew import micros, prefix
+from larkspan.operators.skew import micros, prefix, salts
 from larkspan.registry import query
 from larkspan.sources.tables import table, tables
 
@@ -121,17 +121,18 @@ def join_cross(spark: SparkSession, d: str) -> DataFrame:
     return r.crossJoin(n).select("r_name", "n_name", (F.col("r_regionkey") == F.col("n_regionkey")).alias("home"))
 
 
-def range_join(points: DataFrame, ranges: DataFrame, at: Column, low: Column, high: Column, width: float) -> DataFrame:
+def range_join(points: DataFrame, ranges: DataFrame, at: Column, low: Column, high: Column, width: float, cuts: int = 1) -> DataFrame:
     """Inner join on ``low <= at < high`` as an equi-join on bins of ``width``.
 
     Every range is repeated once per bin it touches, every point sits in one bin, so no
-    pair is met twice and nothing is compared across bins.
+    pair is met twice and nothing is compared across bins. Points of one bin are cut ``cuts`` ways
+    by the hash of their place, for which the (few) ranges are repeated.
     """
     binned_ranges = ranges.withColumn(
         "__bin", F.explode(F.sequence(F.floor(low / width), F.floor(high / width)))
-    )
-    binned_points = points.withColumn("__bin", F.floor(at / width))
-    return binned_points.join(binned_ranges, "__bin").filter((at >= low) & (at < high)).drop("__bin")
+    ).withColumn("__cut", F.explode(F.sequence(F.lit(0), F.lit(cuts - 1))))
+    binned_points = points.withColumn("__bin", F.floor(at / width)).withColumn("__cut", F.pmod(F.xxhash64(*points.columns), F.lit(cuts)).cast("int"))
+    return binned_points.join(binned_ranges, ["__bin", "__cut"]).filter((at >= low) & (at < high)).drop("__bin", "__cut")
 
 
 @query(
@@ -147,7 +148,7 @@ def join_range(spark: SparkSession, d: str) -> DataFrame:
     low = (F.floor(F.col("o_totalprice") / 20000) * 20000).cast("double")
     bands = o.select(low.alias("low"), (low + 20000).alias("high")).distinct()
     hits = range_join(
-        li.select("l_extendedprice"), bands, F.col("l_extendedprice"), F.col("low"), F.col("high"), 20000.0
+        li.select("l_extendedprice", "l_orderkey", "l_linenumber"), bands, F.col("l_extendedprice"), F.col("low"), F.col("high"), 20000.0, salts(li)
     )
     return hits.groupBy("low", "high").agg(
         F.count("*").alias("n_lines"), F.round(F.sum("l_extendedprice"), 2).alias("total")
@@ -275,24 +276,23 @@ def join_asof_nearest(spark: SparkSession, d: str) -> DataFrame:
        where b.event_type = 'purchase' group by 1""",
 )
 def join_interval(spark: SparkSession, d: str) -> DataFrame:
-    """Clicks of the same user in the six hours before a purchase.
-
-    Clicks sit in one six-hour bin; a purchase looks into its own bin and the one before.
-    The bin is part of the join key, so a busy user is spread over time.
+    """Clicks of the same user in the six hours before a purchase: the user's running count and sum of clicks at the purchase, less
+    those just before the six hours began. No pair of a click and a purchase is formed.
     """
     span = 6 * 3_600_000_000
     ev = table(spark, d, "events").select("event_id", "user_id", "event_type", "value", micros("ts").alias("t"))
-    clicks = ev.filter("event_type = 'click'").select(
-        "user_id", "value", F.col("t").alias("ct"), F.floor(F.col("t") / span).alias("bin"))
-    buys = ev.filter("event_type = 'purchase'").select(
-        F.col("event_id").alias("purchase_id"), "user_id", F.col("t").alias("bt"),
-        F.explode(F.sequence(F.floor((F.col("t") - span) / span), F.floor(F.col("t") / span))).alias("bin"),
-    )
+    none = F.lit(None).cast("double")
+    clicks = ev.filter("event_type = 'click'").select("user_id", "t", F.lit(1).alias("step"), "value", F.lit(1).alias("one"), F.lit(None).cast("bigint").alias("purchase_id"))
+    edge = lambda t, step: ev.filter("event_type = 'purchase'").select(
+        "user_id", t.alias("t"), F.lit(step).alias("step"), none.alias("value"), F.lit(0).alias("one"), F.col("event_id").alias("purchase_id"))
+    moments = clicks.unionByName(edge(F.col("t") - span, 0)).unionByName(edge(F.col("t"), 2)).filter("user_id is not null")
+    run = prefix(moments, ["user_id"], ["t", "step", "purchase_id"], {"n": ("sum", "one"), "s": ("sum", "value")})
+    sign = F.when(F.col("step") == 2, 1).otherwise(-1)
     return (
-        buys.join(clicks, ["user_id", "bin"])
-        .filter((F.col("ct") <= F.col("bt")) & (F.col("ct") >= F.col("bt") - span))
+        run.filter("purchase_id is not null")
         .groupBy("purchase_id")
-        .agg(F.count("*").alias("n_clicks"), F.round(F.sum("value"), 2).alias("click_value"))
+        .agg(F.sum(sign * F.col("n")).alias("n_clicks"), F.round(F.sum(sign * F.coalesce("s", F.lit(0.0))), 2).alias("click_value"))
+        .filter("n_clicks > 0")
     )
 
 
@@ -331,8 +331,10 @@ def join_hints(spark: SparkSession, d: str) -> DataFrame:
 def join_nullsafe(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders").select(
         "o_orderkey", F.nullif(F.col("o_orderpriority"), F.lit("5-LOW")).alias("priority"))
-    t = o.groupBy(F.col("priority").alias("p")).agg(F.count("*").alias("weight"))
-    return o.join(t, o.priority.eqNullSafe(t.p)).select("o_orderkey", "priority", "weight")
+    cuts = salts(o)  # few priorities hold all orders: each is cut by the order's hash, the weights are repeated
+    t = o.groupBy(F.col("priority").alias("p")).agg(F.count("*").alias("weight")).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(cuts - 1))))
+    o = o.withColumn("cut", F.pmod(F.xxhash64("o_orderkey"), F.lit(cuts)).cast("int"))
+    return o.join(t, o.priority.eqNullSafe(t.p) & (o.cut == t.c)).select("o_orderkey", "priority", "weight")
 
 
 @query(

@@ -51,9 +51,10 @@ def in_pieces(df: DataFrame, keys: Sequence[str], order: Sequence[str], pieces:
 
 
 _COMBINE = {
-    "sum": lambda before, here: F.coalesce(before, F.lit(0)) + here,
+    # null when neither side has a value yet
+    "sum": lambda before, here: F.coalesce(before + here, before, here),
     "count": lambda before, here: F.coalesce(before, F.lit(0)) + here,
-    "product": lambda before, here: F.coalesce(before, F.lit(1.0)) * here,
+    "product": lambda before, here: F.coalesce(before * here, before, here),
     "min": lambda before, here: F.least(before, here),
     "max": lambda before, here: F.greatest(before, here),
     "last": lambda before, here: F.coalesce(here, before),

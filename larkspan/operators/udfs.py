@@ -12,7 +12,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspan.operators.skew import blocks_of
+from larkspan.operators.skew import blocks_of, salts
 from larkspan.registry import query
 from larkspan.sources.tables import table
 
@@ -149,17 +149,15 @@ def map_pandas_batches(spark: SparkSession, d: str) -> DataFrame:
 def udtf_split_words(spark: SparkSession, d: str) -> DataFrame:
     """A table function in a lateral join: one output row per word."""
 
-    @F.udtf(returnType="word string")
-    class SplitWords:
+    @F.udtf(returnType="word string", useArrow=True)
+    class ItemWords:
         def eval(self, text: str):
-            for w in text.split(" "):
-                if w:
-                    yield (w.lower(),)
+            yield from ((w,) for w in (text or "").lower().split(" ") if w)
 
-    spark.udtf.register("split_words", SplitWords)
+    spark.udtf.register("larkspan_item_words", ItemWords)
     table(spark, d, "benchmark").createOrReplaceTempView("larkspan_items")
     return spark.sql(
-        "select item_id, word, count(*) as n from larkspan_items, lateral split_words(text) group by item_id, word")
+        "select item_id, word, count(*) as n from larkspan_items, lateral larkspan_item_words(text) group by item_id, word")
 
 
 @query(
@@ -172,7 +170,7 @@ def udtf_dates(spark: SparkSession, d: str) -> DataFrame:
     """Expands every urgent order into the three days it stays open."""
     from datetime import timedelta
 
-    @F.udtf(returnType="day date")
+    @F.udtf(returnType="day date", useArrow=True)
     class OpenDays:
         def eval(self, start, days: int):
             for i in range(days):
@@ -193,7 +191,7 @@ def udtf_count(spark: SparkSession, d: str) -> DataFrame:
 
     The partition key is segment plus a hash cut, so a huge segment is many partitions."""
 
-    @F.udtf(returnType="segment string, n bigint, total double")
+    @F.udtf(returnType="segment string, n bigint, total double", useArrow=True)
     class Totals:
         def __init__(self):
             self.key, self.n, self.total = None, 0, 0.0
@@ -208,7 +206,7 @@ def udtf_count(spark: SparkSession, d: str) -> DataFrame:
 
     spark.udtf.register("segment_totals", Totals)
     table(spark, d, "customer").selectExpr(
-        "c_mktsegment", "c_acctbal", "pmod(xxhash64(c_custkey), 16) as cut").createOrReplaceTempView("larkspan_segments")
+        "c_mktsegment", "c_acctbal", f"pmod(xxhash64(c_custkey), {salts(table(spark, d, 'customer'))}) as cut").createOrReplaceTempView("larkspan_segments")
     return spark.sql("""
         select segment as c_mktsegment, sum(n) as n, round(sum(total), 2) as total
         from segment_totals(table(larkspan_segments) partition by (c_mktsegment, cut)) group by segment""")

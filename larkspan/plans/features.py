@@ -93,7 +93,9 @@ def term_vectors(spark: SparkSession, d: str) -> DataFrame:
 @query("word2vec")
 def word2vec(spark: SparkSession, d: str) -> DataFrame:
     """Word vectors learned from all turns; one row per word that occurs at least five times."""
-    model = mf.Word2Vec(vectorSize=16, minCount=5, seed=42, maxIter=1, inputCol="words", outputCol="v").fit(tokens(spark, d))
+    # one part of the text per partition of the cluster's shuffle; a single one would train in one task
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    model = mf.Word2Vec(vectorSize=16, minCount=5, seed=42, maxIter=1, numPartitions=n, inputCol="words", outputCol="v").fit(tokens(spark, d))
     return model.getVectors().select("word", vector_to_array("vector").alias("vector"))
 
 

@@ -313,45 +313,72 @@ def score_with_errors(spark: SparkSession, d: str) -> DataFrame:
     return ev.select("event_id", score("value", "k").alias("r")).select("event_id", F.round("r.score", 8).alias("score"), "r.error")
 
 
-@query("chunk_metrics")
+@query(
+    "chunk_metrics",
+    _PRED_SQL + f""" select vec_id // {CHUNK_ROWS} as chunk, count(*) as samples, sum((prediction = label)::int)::bigint as hits, true as timed, true as placed, true as sized
+      from preds group by 1""",
+)
 def chunk_metrics(spark: SparkSession, d: str) -> DataFrame:
-    """One metrics row per chunk beside the scoring work: rows, seconds, rows per second, host."""
-    params = parameters(spark, d)
-    held = weights(params)
-    if held is None:
-        return _chunk_metrics_by_join(samples(spark, d), params)
-    labels, w = held
-    shared = spark.sparkContext.broadcast(w)
-    schema = "chunk bigint, samples bigint, seconds double, host string, device string, hits bigint"
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import socket
-
-        for b in batches:
-            start = time.perf_counter()
-            best = labels[(matrix(b["x"]) @ shared.value.T).argmax(axis=1)]
-            b = b.assign(hit=(best == b["label"].to_numpy()).astype("int64"))
-            spent = time.perf_counter() - start
-            part = b.groupby("chunk").agg(samples=("hit", "size"), hits=("hit", "sum")).reset_index()
-            yield part.assign(seconds=spent * part["samples"] / len(b), host=socket.gethostname(), device="cpu")[
-                ["chunk", "samples", "seconds", "host", "device", "hits"]]
-
-    data = samples(spark, d).withColumn("chunk", F.floor(F.col("vec_id") / CHUNK_ROWS))
-    per_batch = data.select("chunk", "label", "x").mapInPandas(run, schema)
-    return per_batch.groupBy("chunk").agg(
-        F.sum("samples").alias("samples"), F.sum("seconds").alias("seconds"), F.sum("hits").alias("hits"),
-        F.count_distinct("host").alias("hosts"), F.max("device").alias("device"),
+    """One row per chunk of scoring work: samples and hits, and whether time, place and memory were measured beside them."""
+    m = chunk_runs(samples(spark, d), parameters(spark, d))
+    return m.select(
+        "chunk", "samples", "hits", ((F.col("seconds") > 0) & (F.col("throughput") > 0)).alias("timed"),
+        ((F.col("hosts") >= 1) & F.col("device").isin("cpu", "gpu")).alias("placed"), (F.col("memory_mb") > 0).alias("sized"))
+
+
+def weight_blocks(params: DataFrame, bound: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Labels and weight rows in label order, in blocks of at most ``bound`` parameters (one class at least): a block can be broadcast,
+    whatever the size of the model."""
+    bound = bound or MAX_BROADCAST_PARAMETERS
+    rows = params.groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("idx", "value"))), lambda p: p.value).alias("w"))
+    held: list = []
+    for r in rows.orderBy("label").toLocalIterator():
+        held.append(r)
+        if sum(len(x["w"]) for x in held) + len(r["w"]) > bound:
+            yield np.array([x["label"] for x in held], np.int32), np.array([x["w"] for x in held], np.float64)
+            held = []
+    if held:
+        yield np.array([x["label"] for x in held], np.int32), np.array([x["w"] for x in held], np.float64)
+
+
+def chunk_runs(data: DataFrame, params: DataFrame, bound: int | None = None) -> DataFrame:
+    """Per chunk: samples, hits, seconds, throughput, hosts, device (what Spark gave the task) and the workers' peak memory.
+    Every block of weights is one pass over the rows in the same job; rows carry their best class so far."""
+    spark = data.sparkSession
+    start = data.select(
+        F.floor(F.col("vec_id") / CHUNK_ROWS).alias("chunk"), "label", "x", F.lit(float("-inf")).alias("best"), F.lit(None).cast("int").alias("pick"),
+        F.lit(0.0).alias("seconds"), F.lit("").alias("host"), F.lit("").alias("device"), F.lit(0.0).alias("memory_mb"))
+    out = start
+    for labels, w in weight_blocks(params, bound):
+        shared = spark.sparkContext.broadcast((labels, w))
+
+        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            import resource
+            import socket
+
+            from pyspark import TaskContext
+
+            labels, w = shared.value
+            device = "gpu" if "gpu" in TaskContext.get().resources() else "cpu"
+            for b in batches:
+                if not len(b):
+                    continue
+                begun = time.perf_counter()
+                logits = matrix(b["x"]) @ w.T
+                top = logits.max(axis=1)
+                better = top > b["best"].to_numpy()
+                pick = b["pick"].astype("float64").mask(better, labels[logits.argmax(axis=1)])
+                spent = time.perf_counter() - begun
+                yield b.assign(best=np.maximum(top, b["best"]), pick=pick.astype("Int32"), seconds=b["seconds"] + spent / len(b), host=socket.gethostname(),
+                               device=device, memory_mb=resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024)
+
+        out = out.mapInPandas(run, start.schema)
+    return out.groupBy("chunk").agg(
+        F.count("*").alias("samples"), F.sum("seconds").alias("seconds"), F.sum((F.col("pick") == F.col("label")).cast("bigint")).alias("hits"),
+        F.count_distinct("host").alias("hosts"), F.max("device").alias("device"), F.max("memory_mb").alias("memory_mb"),
     ).withColumn("throughput", F.col("samples") / F.greatest("seconds", F.lit(1e-9)))
 
 
-def _chunk_metrics_by_join(data: DataFrame, params: DataFrame) -> DataFrame:
-    """Counts per chunk of the joined scorer, whose work is not tied to one chunk in time."""
-    hits = logits_by_join(data, params).withColumn("hit", (top1() == F.col("label")).cast("bigint"))
-    return hits.groupBy(F.floor(F.col("vec_id") / CHUNK_ROWS).alias("chunk")).agg(
-        F.count("*").alias("samples"), F.lit(None).cast("double").alias("seconds"), F.sum("hit").alias("hits"),
-        F.lit(None).cast("bigint").alias("hosts"), F.lit("cpu").alias("device"), F.lit(None).cast("double").alias("throughput"))
-
-
 @query(
     "score_mlp",
     f"""with {CELLS_SQL}, hidden as (select vec_id, k, greatest(logit, 0) as h from scores),

@@ -86,11 +86,11 @@ def text_lines(spark: SparkSession, d: str) -> DataFrame:
 
 @query("orc_roundtrip", "select l_orderkey, l_partkey, l_quantity, l_shipdate from lineitem where l_quantity > 45")
 def orc_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    """ORC with a bloom filter on the part key and dictionary encoding off for prices."""
+    """ORC with a bloom filter on the order key, and strings of few values written as dictionaries."""
     path = scratch_path(spark, "orc")
     (table(spark, d, "lineitem").write
-     .option("orc.bloom.filter.columns", "l_partkey").option("orc.dictionary.key.threshold", "1.0")
-     .option("orc.column.encoding.direct", "l_extendedprice").orc(path, compression="zstd"))
+     .options(**{"orc.dictionary.key.threshold": "0.8", "orc.bloom.filter.columns": "l_orderkey", "orc.bloom.filter.fpp": "0.01"})
+     .orc(path, compression="zstd"))
     rows = spark.read.schema(SCHEMAS["lineitem"]).orc(path)
     return rows.filter("l_quantity > 45").select("l_orderkey", "l_partkey", "l_quantity", "l_shipdate")
 

@@ -20,9 +20,9 @@ def event_stream(spark: SparkSession, d: str, marker: bool = False) -> DataFrame
 
 
 def file_stream(spark: SparkSession, d: str, name: str) -> DataFrame:
-    """A table without a clock, landed as several files."""
+    """A table without a clock, landed as files; as many as the shuffle has partitions."""
     path = scratch_path(spark, f"{name}-in")
-    land(table(spark, d, name).repartition(4), path)
+    land(table(spark, d, name).repartition(max(4, int(spark.conf.get("spark.sql.shuffle.partitions")))), path)
     return source(spark, path, SCHEMAS[name])
 
 

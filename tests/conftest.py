@@ -7,7 +7,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from larkspan.session import local_session  # noqa: E402
+from larkspan.session import clean_up, local_session  # noqa: E402
 
 SF_DIR = os.environ.get("LARKSPAN_TEST_SF", "/root/testdata/sf0.001")
 
@@ -17,6 +17,7 @@ def spark():
     session = local_session(8, "larkspan-tests")
     session.conf.set("spark.sql.shuffle.partitions", "4")
     yield session
+    clean_up(session)
     session.stop()
 
 

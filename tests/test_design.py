@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import io
+import os
 import pathlib
+import subprocess
+import sys
+import tempfile
 from contextlib import redirect_stdout
 
 import pytest
@@ -83,3 +87,48 @@ def test_no_local_checkpoint_in_the_library():
     root = pathlib.Path(entry.__file__).parent / "larkspan"
     for f in root.rglob("*.py"):
         assert "localCheckpoint" not in f.read_text(), f
+
+
+def test_nothing_is_left_after_a_run(spark, sf_dir):
+    """In a session of its own Python process: no folder below the shared root, no table in the catalog."""
+    code = f"""
+import os, sys
+sys.path.insert(0, {str(pathlib.Path(entry.__file__).parent)!r})
+import __spark_entry__ as e
+from larkspan.session import clean_up, local_session, shared_root
+spark = local_session(2, spark__checkpoint__dir=sys.argv[1])
+for key in ("bucketed_table", "train_softmax", "gram_matrix", "stream_state_session"):
+    e.queries()[key](spark, {sf_dir!r}).collect()
+own = lambda: [f for f in os.listdir(sys.argv[1]) if f.startswith("larkspan")]  # Spark makes a folder of its own there
+assert own()
+clean_up(spark)
+left = [t.name for t in spark.catalog.listTables() if not t.isTemporary]
+print("LEFT", own(), left)
+"""
+    with tempfile.TemporaryDirectory() as shared, tempfile.TemporaryDirectory() as elsewhere:
+        env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+        done = subprocess.run([sys.executable, "-c", code, shared], cwd=elsewhere, env=env, capture_output=True, text=True, timeout=300)
+    assert "LEFT [] []" in done.stdout, done.stdout + done.stderr[-2000:]
+
+
+def test_local_cluster_is_not_one_process():
+    from types import SimpleNamespace as N
+
+    from larkspan.session import _one_process
+
+    assert all(_one_process(N(sparkContext=N(master=m))) for m in ("local", "local[4]", "local[*]"))
+    assert not any(_one_process(N(sparkContext=N(master=m))) for m in ("local-cluster[2,1,900]", "spark://h:7077", "yarn"))
+
+
+@pytest.mark.parametrize("key", ["join_nullsafe", "join_range"])
+def test_facts_are_not_dealt_by_a_few_values(spark, sf_dir, key):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        text = plan(Q[key](spark, sf_dir))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    joins = [line for line in text.splitlines() if "hashpartitioning(" in line]
+    # the join's own exchange names the cut beside the value
+    assert any(("cut" in line or "__cut" in line) for line in joins), joins

@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+import datetime
 import math
 import zlib
 
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from larkspan.functions.scalar_packs import identities
+from larkspan.operators.project import sample_counts
+from larkspan.operators.sorting import layout_parts
+from larkspan.plans.features import projections
+from larkspan.plans.metrics import approx_percentiles
+from larkspan.streaming.sinks import stream_progress
 
 Q = entry.queries()
 
@@ -19,28 +27,37 @@ def run(spark, sf_dir, key):
 
 
 def test_sketches_near_exact(spark, sf_dir):
-    for r in run(spark, sf_dir, "agg_approx").collect():
+    from larkspan.operators.aggregates import sketches
+
+    for r in sketches(spark, sf_dir).collect():
         assert r["orders_bitmap"] == r["orders_exact"]
         assert abs(r["orders_approx"] / r["orders_exact"] - 1) < 0.08
         assert abs(r["orders_hll"] / r["orders_exact"] - 1) < 0.05
         assert r["hist_bins"] == 5 and r["cms_bytes"] > 0
 
 
-def test_sketch_union(spark, sf_dir, duck):
-    want = dict(duck.execute("select year(o_orderdate), count(distinct o_custkey) from orders group by 1").fetchall())
-    for r in run(spark, sf_dir, "agg_approx_union").collect():
-        assert abs(r["customers_approx"] / want[r["y"]] - 1) < 0.1
+def test_sketch_union_holds_keys_of_many_buckets(spark):
+    from larkspan.operators.aggregates import union_of_sketches
+
+    keys = [1, 5, 32_767, 32_768, 32_769, 70_000, 2_000_000, 3_000_000_000]
+    rows = [(datetime.date(2020 + i % 2, 1 + i % 5, 1), keys[i % len(keys)]) for i in range(64)]
+    got = {r["y"]: r["bits"] for r in union_of_sketches(spark.createDataFrame(rows, "day date, k bigint"), "day", "k").collect()}
+    assert got == {y: len({k for d, k in rows if d.year == y}) for y in (2020, 2021)}
 
 
 def test_fn_sketch(spark, sf_dir, duck):
+    from larkspan.functions.aggregate_pack import sketch_functions
+
     want = dict(duck.execute("select l_linenumber, count(distinct l_partkey) from lineitem group by 1").fetchall())
-    for r in run(spark, sf_dir, "fn_sketch").collect():
+    for r in sketch_functions(spark, sf_dir).collect():
         assert abs(r["hll_sketch_estimate_"] / want[r["l_linenumber"]] - 1) < 0.1
-        assert r["hll_union_"] > 0 and r["histogram_bins"] == 4
+        assert r["hll_union_"] > 0 and r["histogram_bins"] == 4 and r["sketch_bytes"] > 0
 
 
 def test_frequent_values(spark, sf_dir):
-    r = run(spark, sf_dir, "frequent_values").first()
+    from larkspan.operators.aggregates import frequent_items
+
+    r = frequent_items(spark, sf_dir).first()
     assert r["flags"] == "A,N,R" and r["statuses"] == "F,O" and r["q25"] <= r["q50"] <= r["q75"]
 
 
@@ -56,13 +73,13 @@ def test_samples(spark, sf_dir, duck):
     for kind, share in {"purchase": 0.5, "signup": 0.25, "error": 0.1}.items():
         n = kinds[kind]
         assert abs(kept[kind] - n * share) < 5 * math.sqrt(n * share * (1 - share)) + 1
-    split = {(r["kind"], r["event_type"]): r["n"] for r in run(spark, sf_dir, "bernoulli_sample").collect()}
+    split = {(r["kind"], r["event_type"]): r["n"] for r in sample_counts(spark, sf_dir).collect()}
     for kind, n in kinds.items():
         assert split[("split_70", kind)] + split[("split_30", kind)] == n
 
 
 def test_layouts(spark, sf_dir, duck):
-    rows = run(spark, sf_dir, "range_layout").collect()
+    rows = layout_parts(spark, sf_dir).collect()
     total = duck.execute("select count(*) from lineitem").fetchone()[0]
     for layout in ("range", "coalesced"):
         assert sum(r["n"] for r in rows if r["layout"] == layout) == total
@@ -72,13 +89,13 @@ def test_layouts(spark, sf_dir, duck):
 
 
 def test_identity(spark, sf_dir):
-    rows = run(spark, sf_dir, "fn_identity").collect()
+    rows = identities(spark, sf_dir).collect()
     assert {r["file"] for r in rows} == {"supplier.parquet"} and len({r["row_id"] for r in rows}) == len(rows)
 
 
 def test_latency_approx(spark, sf_dir):
     exact = {r["event_type"]: r for r in run(spark, sf_dir, "latency_percentiles").collect()}
-    for r in run(spark, sf_dir, "latency_approx").collect():
+    for r in approx_percentiles(spark, sf_dir).collect():
         assert abs(r["p50"] - exact[r["event_type"]]["p50"]) < 5
 
 
@@ -169,16 +186,24 @@ def test_als_fits(spark, sf_dir):
     assert (top.groupby("user")["score"].apply(lambda s: s.is_monotonic_decreasing)).all()
 
 
-def test_chunk_metrics(spark, sf_dir, duck):
-    rows = run(spark, sf_dir, "chunk_metrics").collect()
+@pytest.mark.parametrize("bound", [None, 150])
+def test_chunk_metrics(spark, sf_dir, duck, bound):
+    """In one block of weights and in several."""
+    from larkspan.plans.scoring import chunk_runs, parameters, samples, weight_blocks
+
+    params = parameters(spark, sf_dir)
+    assert (len(list(weight_blocks(params, bound))) > 1) == (bound is not None)
+    rows = chunk_runs(samples(spark, sf_dir), params, bound).collect()
     assert sum(r["samples"] for r in rows) == duck.execute("select count(*) from embeddings").fetchone()[0]
-    assert all(r["throughput"] > 0 and r["hosts"] == 1 for r in rows)
+    assert all(r["throughput"] > 0 and r["hosts"] == 1 and r["device"] == "cpu" and r["memory_mb"] > 10 for r in rows)
+    whole = {r["chunk"]: r["hits"] for r in run(spark, sf_dir, "chunk_metrics").collect()}
+    assert {r["chunk"]: r["hits"] for r in rows} == whole
 
 
 def test_rank_by_tolerance_is_a_fixed_point(spark, sf_dir):
-    from larkspan.plans.graph import both_ways, trade_edges
+    from larkspan.plans.graph import both_ways, rank_steps, trade_edges
 
-    ranks = {r["id"]: r["rank"] for r in run(spark, sf_dir, "pagerank_tolerance").collect()}
+    ranks = {r["id"]: r["rank"] for r in rank_steps(both_ways(trade_edges(spark, sf_dir).select("src", "dst")), tolerance=1e-4).collect()}
     edges = [(r["src"], r["dst"]) for r in both_ways(trade_edges(spark, sf_dir).select("src", "dst")).collect()]
     degree, got = {}, {}
     for a, _ in edges:
@@ -263,20 +288,24 @@ def test_singular_values(spark, sf_dir, duck):
 
 
 def test_projection(spark, sf_dir):
-    rows = run(spark, sf_dir, "project_features").collect()
-    assert all(r["n_poly"] == 9 and len(r["pca"]) == 3 for r in rows)
+    rows = projections(spark, sf_dir).collect()
+    assert all(len(r["poly"]) == 64 * 67 // 2 and len(r["pca"]) == 3 and len(r["dct"]) == 64 for r in rows)
+    x = np.array([r["embedding"] for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").orderBy("vec_id").collect()], float)
+    u, s, vt = np.linalg.svd(x - x.mean(0), full_matrices=False)
+    got = np.array([r["pca"] for r in sorted(rows, key=lambda r: r["vec_id"])])
+    assert np.allclose(np.abs(got), np.abs(x @ vt[:3].T), atol=1e-6)
 
 
 def test_statistical_tests(spark, sf_dir, duck):
     got = {(r["test"], r["measure"]): r["value"] for r in run(spark, sf_dir, "stat_tests").collect()}
     r, mean, n = duck.execute("select corr(l_quantity, l_discount), avg(l_quantity), count(*) from lineitem").fetchone()
-    assert abs(got[("pearson", "quantity_discount")] - r) < 1e-9 and abs(got[("summary", "mean_quantity")] - mean) < 1e-9
+    assert abs(got[("pearson", "quantity_discount")] - r) < 1e-6 and abs(got[("summary", "mean_quantity")] - mean) < 1e-4
     cells = duck.execute("select l_returnflag, l_linestatus, count(*) from lineitem group by all").fetchall()
     a, b = {}, {}
     for f, s, c in cells:
         a[f], b[s] = a.get(f, 0) + c, b.get(s, 0) + c
     chi = sum((c - a[f] * b[s] / n) ** 2 / (a[f] * b[s] / n) for f, s, c in cells)
-    assert abs(got[("chi_square", "statistic")] - chi) < 1e-6
+    assert abs(got[("chi_square", "statistic")] - chi) < 1e-3
 
 
 def test_normality(spark, sf_dir):
@@ -287,7 +316,7 @@ def test_normality(spark, sf_dir):
 def test_evaluators(spark, sf_dir, duck):
     got = {(r["model"], r["metric"]): r["value"] for r in run(spark, sf_dir, "eval_metrics").collect()}
     rmse = duck.execute("select sqrt(avg(pow(l_quantity - l_extendedprice / 1000, 2))) from lineitem").fetchone()[0]
-    assert abs(got[("regression", "rmse")] - rmse) < 1e-6
+    assert abs(got[("regression", "rmse")] - rmse) < 1e-5
     auc = entry.queries()["metrics_binary"](spark, sf_dir).first()["auc"]
     assert abs(got[("binary", "auc")] - auc) < 0.02
     assert abs(got[("multilabel", "accuracy")] - entry.queries()["metrics_multilabel"](spark, sf_dir).first()["jaccard"]) < 0.2
@@ -297,7 +326,7 @@ def test_other_features(spark, sf_dir):
     assert run(spark, sf_dir, "word2vec").count() > 10
     bins = run(spark, sf_dir, "quantile_bins").collect()
     assert len(bins) == 4 and max(b["n"] for b in bins) < 1.5 * min(b["n"] for b in bins)
-    robust = run(spark, sf_dir, "scale_robust").toPandas()["robust"]
+    robust = run(spark, sf_dir, "scale_robust").toPandas()["robust_bal"]
     assert abs(robust.median()) < 0.05 and abs(robust.quantile(0.75) - robust.quantile(0.25) - 1) < 0.05
     kept = run(spark, sf_dir, "select_features").toPandas()
     assert (kept[kept["selector"] != "variance"].groupby("selector").size() == 10).all()
@@ -306,9 +335,11 @@ def test_other_features(spark, sf_dir):
 
 
 def test_stream_progress(spark, sf_dir, duck):
-    rows = run(spark, sf_dir, "stream_metrics").collect()
+    rows, last = stream_progress(spark, sf_dir)
     n = duck.execute("select count(*) from events").fetchone()[0]
-    assert sum(r["input_rows"] for r in rows if r["origin"] == "query") == n and any(r["is_last"] for r in rows)
+    for origin in ("query", "listener"):
+        own = [r for r in rows.collect() if r["origin"] == origin]
+        assert sum(r["input_rows"] for r in own) == n and max(r["batch_id"] for r in own) == last
 
 
 @pytest.mark.parametrize("key", ["stream_logreg", "stream_kmeans"])
@@ -334,3 +365,17 @@ def test_score_by_join_equals_broadcast(spark, sf_dir, monkeypatch):
 
         verdict, detail, _ = compare(spark, sf_dir, Q[key], entry.oracle_sql()[key], con)
         assert verdict in ("ok", "NEAR"), (key, detail)
+
+
+def test_long_chains_settle(spark):
+    """A chain of 150 steps: closure by doubling, components, and a hash tree over ids beyond a million."""
+    from larkspan.plans.graph import closure, components
+    from larkspan.plans.scoring import hash_tree
+
+    chain = spark.range(150).select(F.col("id").cast("string").alias("child"), (F.col("id") + 1).cast("string").alias("ancestor"))
+    assert closure(chain).count() == 151 * 150 // 2
+    parts = components(spark.range(150).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))).collect()
+    assert {r["component"] for r in parts} == {0} and len(parts) == 151
+    ids = spark.createDataFrame([(i, str(i)) for i in (-5, 3, 4096, 1_000_001, 2**40, 2**62)], "id bigint, t string")
+    one = hash_tree(ids, "id", F.col("t")).collect()
+    assert len(one) == 1 and one != hash_tree(ids.filter("id < 1000"), "id", F.col("t")).collect()

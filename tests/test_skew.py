@@ -57,13 +57,15 @@ def test_ranks_and_prefix_keep_null_keys_and_values(spark):
 
 @pytest.mark.parametrize("keys", [["k"], []])
 def test_prefix(frame, keys):
-    specs = {"a": ("sum", "v"), "b": ("min", "w"), "c": ("max", "w"), "d": ("count", "w"), "e": ("last", "gap")}
+    specs = {"a": ("sum", "v"), "b": ("min", "w"), "c": ("max", "w"), "d": ("count", "w"), "e": ("last", "gap"), "f": ("sum", "gap"), "g": ("max", "gap")}
     got = skew.prefix(frame[1], keys, ["v", "id"], specs, HOT)
     w = Window.partitionBy(*keys).orderBy("v", "id").rowsBetween(Window.unboundedPreceding, 0)
     want = frame[1].select("id", F.sum("v").over(w).alias("a"), F.min("w").over(w).alias("b"), F.max("w").over(w).alias("c"),
-                           F.count("w").over(w).alias("d"), F.last("gap", True).over(w).alias("e"))
+                           F.count("w").over(w).alias("d"), F.last("gap", True).over(w).alias("e"),
+                           F.round(F.sum("gap").over(w), 6).alias("f"), F.max("gap").over(w).alias("g"))
+    got = got.withColumn("f", F.round("f", 6))
     key = lambda r: r[0]
-    cols = ("id", "a", "b", "c", "d", "e")
+    cols = ("id", "a", "b", "c", "d", "e", "f", "g")
     assert sorted(map(tuple, got.select(*cols).collect()), key=key) == sorted(map(tuple, want.select(*cols).collect()), key=key)
 
 
