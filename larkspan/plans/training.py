@@ -7,17 +7,17 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspan.plans.generation import gen_tabular
+from larkspan.plans.generation import N_CLASSES, N_FEATURES, SEED, gen_tabular, hashed, hashed_sql
 from larkspan.plans.scoring import matrix, samples
 from larkspan.registry import query
 from larkspan.session import write_table
 from larkspan.sources.tables import tables
 
 MAX_DRIVER_PARAMETERS = 4_000_000
-EPOCHS, RATE = 10, 0.1
+EPOCHS, RATE, STEPS = 4, 0.1, 3
 
 Gradient = Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, float, int]]
 
@@ -38,8 +38,8 @@ class Adam:
 
 
 def summed_gradient(data: DataFrame, theta: np.ndarray, gradient: Gradient, x: str = "x", y: str = "y") -> tuple[np.ndarray, float, int, int]:
-    """Gradient, loss, hits and rows over the whole table. Every Arrow batch gives one partial
-    vector; Spark adds them up per position, so the driver receives one vector."""
+    """Gradient, loss, hits and rows over the whole table. Every partition gives one partial vector; vectors are
+    added up in sixteen groups, so the driver receives sixteen at most."""
     if theta.size > MAX_DRIVER_PARAMETERS:
         raise ValueError("the parameter vector must fit the driver")
     shared = data.sparkSession.sparkContext.broadcast(theta)
@@ -52,13 +52,16 @@ def summed_gradient(data: DataFrame, theta: np.ndarray, gradient: Gradient, x: s
                 vec = np.concatenate([g, [loss, hits, len(b)]])
                 total = vec if total is None else total + vec
         if total is not None:
-            yield pd.DataFrame({"idx": np.arange(total.size), "v": total})
+            yield pd.DataFrame({"v": [total.tobytes()]})
 
-    parts = data.select(x, y).mapInPandas(partial, "idx int, v double")
-    rows = parts.groupBy("idx").agg(F.sum("v").alias("v")).collect()
-    out = np.zeros(theta.size + 3)
-    for r in rows:
-        out[r["idx"]] = r["v"]
+    # one row per partition; they are added up in groups of a few hundred on the executors, so the driver gets few
+    parts = data.select(x, y).mapInPandas(partial, "v binary").withColumn("g", F.pmod(F.spark_partition_id(), F.lit(16)))
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"v": [np.sum([np.frombuffer(v) for v in pdf["v"]], axis=0).tobytes()]})
+
+    rows = parts.groupBy("g").applyInPandas(add, "v binary").collect()
+    out = np.sum([np.frombuffer(r["v"]) for r in rows], axis=0) if rows else np.zeros(theta.size + 3)
     shared.unpersist()
     return out[:-3], out[-3], int(out[-2]), int(out[-1])
 
@@ -91,43 +94,84 @@ def logistic_gradient() -> Gradient:
     return gradient
 
 
-def train(data: DataFrame, size: int, gradient: Gradient, epochs: int = EPOCHS, rate: float = RATE) -> tuple[np.ndarray, list[tuple]]:
-    """Full-batch Adam. The history holds the loss before each step."""
+def train(data: DataFrame, size: int, gradient: Gradient, epochs: int = EPOCHS, rate: float = RATE, steps: int = STEPS) -> tuple[np.ndarray, list[tuple]]:
+    """Mini-batch Adam over ``data(id, x, y)``: in every epoch each row falls into one of ``steps`` batches by the hash of seed, epoch and id; the
+    moments last from step to step. The history has one entry per epoch: loss and accuracy of the rows as their batch met them."""
     theta, adam, history = np.zeros(size), Adam(size, rate), []
     for epoch in range(1, epochs + 1):
-        g, loss, hits, n = summed_gradient(data, theta, gradient)
-        if n == 0:
+        met = np.zeros(3)
+        for step in range(steps):
+            batch = data.filter(hashed(F.lit(epoch), F.col("id")) % steps == step) if steps > 1 else data
+            g, loss, hits, n = summed_gradient(batch, theta, gradient)
+            if n:
+                met += [loss, hits, n]
+                theta = adam.step(theta, g / n)
+        if not met[2]:
             break
-        history.append((epoch, float(loss / n), float(hits / n), n))
-        theta = adam.step(theta, g / n)
+        history.append((epoch, float(met[0] / met[2]), float(met[1] / met[2]), int(met[2])))
     return theta, history
 
 
+def part_of(key: str) -> Column:
+    """Train or test by the hash of the id: four rows in five train."""
+    return F.when(hashed(F.col(key), seed=SEED + 20) % 5 == 0, "test").otherwise("train")
+
+
+_PART_SQL = f"(case when {hashed_sql('o_orderkey', seed=SEED + 20)} % 5 = 0 then 'test' else 'train' end)"
+
+
+def fit(spark: SparkSession, rows: DataFrame, size: int, gradient: Gradient) -> DataFrame:
+    """Trains on ``rows(id, x, y)`` and returns per epoch: loss, accuracy, n_train, and the final test_loss, test_accuracy, n_test."""
+    parts = write_table(rows.withColumn("part", part_of("id")), "training")
+    theta, history = train(parts.filter("part = 'train'"), size, gradient)
+    _, loss, hits, n = summed_gradient(parts.filter("part = 'test'"), theta, gradient)
+    out = [(*h, float(loss / n) if n else None, float(hits / n) if n else None, n) for h in history]
+    return spark.createDataFrame(out, "epoch int, loss double, accuracy double, n_train bigint, test_loss double, test_accuracy double, n_test bigint")
+
+
+def _fit_sql(floor: str) -> str:
+    return f"""select range::int as epoch, count_if(part = 'train') as n_train, count_if(part = 'test') as n_test, true as {floor}
+      from (select {_PART_SQL} as part from orders), range(1, {EPOCHS + 1}) group by range"""
+
+
 def two_classes(spark: SparkSession, d: str) -> DataFrame:
-    return gen_tabular(spark, d).select(F.col("features").alias("x"), (F.col("label") < 2).cast("int").alias("y"))
+    return gen_tabular(spark, d).select("id", F.col("features").alias("x"), (F.col("label") < 2).cast("int").alias("y"))
 
 
-@query("train_softmax")
+@query("train_softmax", _fit_sql("accurate"))
 def train_softmax(spark: SparkSession, d: str) -> DataFrame:
-    """Loss and accuracy per epoch of softmax regression on the tabular samples."""
-    data = write_table(gen_tabular(spark, d).select(F.col("features").alias("x"), F.col("label").alias("y")), "training")
-    shape = data.agg(F.max("y").alias("k"), F.max(F.size("x")).alias("n")).first()
-    k, n = shape["k"] + 1, shape["n"]
-    _, history = train(data, k * (n + 1), softmax_gradient(k))
-    return spark.createDataFrame(history, "epoch int, loss double, accuracy double, n_rows bigint")
+    """Softmax regression on the tabular samples: rows per part, and whether the model names eight held-out rows in ten rightly."""
+    return softmax_history(spark, d).select("epoch", "n_train", "n_test", (F.col("test_accuracy") >= 0.8).alias("accurate"))
+
+
+def softmax_history(spark: SparkSession, d: str) -> DataFrame:
+    data = gen_tabular(spark, d).select("id", F.col("features").alias("x"), F.col("label").alias("y"))
+    return fit(spark, data, N_CLASSES * (N_FEATURES + 1), softmax_gradient(N_CLASSES))
 
 
-@query("iter_logreg")
+@query("iter_logreg", _fit_sql("accurate"))
 def iter_logreg(spark: SparkSession, d: str) -> DataFrame:
     """Binary logistic regression as an iterative job: two classes against the other three."""
-    data = write_table(two_classes(spark, d), "logreg")
-    n = data.agg(F.max(F.size("x"))).first()[0]
-    _, history = train(data, n + 1, logistic_gradient())
-    return spark.createDataFrame(history, "epoch int, loss double, accuracy double, n_rows bigint")
+    return logistic_history(spark, d).select("epoch", "n_train", "n_test", (F.col("test_accuracy") >= 0.7).alias("accurate"))
+
+
+def logistic_history(spark: SparkSession, d: str) -> DataFrame:
+    return fit(spark, two_classes(spark, d), N_FEATURES + 1, logistic_gradient())
 
 
-@query("iter_kmeans")
+@query("iter_kmeans", "select count(*) as n_rows, 10 as n_clusters, true as cost_fell, true as below_one_centre from embeddings")
 def iter_kmeans(spark: SparkSession, d: str) -> DataFrame:
+    """k-means by hand: rows assigned, clusters with members, whether the cost never rose and beats a single centre's."""
+    steps = kmeans_steps(spark, d).orderBy("step").collect()
+    x = samples(spark, d).select(F.posexplode("x").alias("j", "v"))
+    one = x.groupBy("j").agg(F.var_pop("v").alias("v"), F.count("*").alias("n")).agg(F.sum(F.col("v") * F.col("n")), F.max("n")).first()
+    costs = [r["cost"] for r in steps]
+    fell = all(b <= a * (1 + 1e-9) for a, b in zip(costs, costs[1:]))
+    rows = [(int(one[1]), steps[-1]["n_clusters"], fell, bool(costs[-1] < one[0]))]
+    return spark.createDataFrame(rows, "n_rows bigint, n_clusters int, cost_fell boolean, below_one_centre boolean")
+
+
+def kmeans_steps(spark: SparkSession, d: str) -> DataFrame:
     """k-means by hand: assign in batches, sum per centre in Spark, move, until it settles."""
     data = write_table(samples(spark, d).select("vec_id", "x"), "kmeans")
     start = data.orderBy(F.xxhash64(F.lit(42), "vec_id"), "vec_id").limit(10).collect()
@@ -161,8 +205,21 @@ def iter_kmeans(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(history, "step int, cost double, shift double, n_clusters int")
 
 
-@query("iter_als")
+@query(
+    "iter_als",
+    """select range::int as step, count(*) as n_ratings, true as fell from (select distinct o_custkey, l_suppkey from lineitem join orders on l_orderkey = o_orderkey),
+      range(1, 5) group by range""",
+)
 def iter_als(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the error on the ratings falls from step to step."""
+    rows, last = [], float("inf")
+    for r in als_steps(spark, d).orderBy("step").collect():  # one row per step
+        rows.append((r["step"], r["n_ratings"], r["rmse"] < last))
+        last = r["rmse"]
+    return spark.createDataFrame(rows, "step int, n_ratings bigint, fell boolean")
+
+
+def als_steps(spark: SparkSession, d: str) -> DataFrame:
     """Alternating least squares by hand: factors are tables; each half step joins ratings with
     the fixed side, sums normal equations per id, and solves them in batches."""
     rank, reg = 4, 0.1

@@ -69,7 +69,7 @@ def test_sessions_merge_in_any_order():
 def test_empty_chunks_are_legal(spark):
     from larkspan.plans.training import softmax_gradient, train
 
-    empty = spark.createDataFrame([], "x array<double>, y int")
+    empty = spark.createDataFrame([], "id bigint, x array<double>, y int")
     assert train(empty, 4, softmax_gradient(2))[1] == []
 
 
