@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import math
 import time
+import uuid
 
 import numpy as np
+from pyspark.accumulators import AccumulatorParam
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
@@ -14,7 +16,7 @@ from larkspan.operators.skew import top_per_group
 from larkspan.plans.scoring import samples
 from larkspan.plans.training import Adam, logistic_gradient, summed_gradient, two_classes
 from larkspan.registry import query
-from larkspan.session import scratch_path
+from larkspan.session import TABLE_PREFIX, scratch_path
 from larkspan.sources.tables import table
 from larkspan.streaming.runner import Sink, land, run, source
 from larkspan.streaming.windows import WORDS, event_stream, file_stream
@@ -37,6 +39,83 @@ def stream_upsert(spark: SparkSession, d: str) -> DataFrame:
         "user_id", F.col("r.event_type").alias("last_type"), F.col("r.ts").alias("last_seen"), F.col("r.value").alias("last_value"))
 
 
+_BY_TYPE_SQL = "select event_type, count(*) as n, round(sum(value), 2) as total from events group by 1"
+
+
+def _by_type(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
+
+
+@query("stream_file_sink", _BY_TYPE_SQL)
+def stream_file_sink(spark: SparkSession, d: str) -> DataFrame:
+    """A named stream into partitioned files: the sink's own log makes every batch count once, also after a restart in between."""
+    out, checkpoint = scratch_path(spark, "file-sink"), scratch_path(spark, "file-sink-ckpt")
+    stream = event_stream(spark, d).select("event_id", "event_type", "value")
+    for _ in range(2):  # the second run finds nothing new
+        q = (stream.writeStream.queryName("larkspan_file_sink").format("parquet").partitionBy("event_type").outputMode("append")
+             .option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+        q.awaitTermination()
+    return _by_type(spark.read.schema("event_id bigint, value double, event_type string").parquet(out))
+
+
+@query("stream_table_sink", _BY_TYPE_SQL)
+def stream_table_sink(spark: SparkSession, d: str) -> DataFrame:
+    """A stream into a partitioned catalog table, on a processing-time trigger."""
+    name = f"{TABLE_PREFIX}stream_{uuid.uuid4().hex[:12]}"
+    stream = event_stream(spark, d).select("event_id", "event_type", "value")
+    q = (stream.writeStream.queryName(name).partitionBy("event_type").outputMode("append").option("path", scratch_path(spark, "table-sink"))
+         .option("checkpointLocation", scratch_path(spark, "table-sink-ckpt")).trigger(processingTime="0 seconds").toTable(name, format="parquet"))
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    return _by_type(spark.table(name))
+
+
+class _Totals(AccumulatorParam):
+    """Counts and sums by name, added up from all tasks."""
+
+    def zero(self, value: dict) -> dict:
+        return {}
+
+    def addInPlace(self, a: dict, b: dict) -> dict:  # noqa: N802
+        for k, (n, total) in b.items():
+            m, before = a.get(k, (0, 0.0))
+            a[k] = (m + n, before + total)
+        return a
+
+
+class RowTotals:
+    """A per-row sink: opened for each partition of a batch, fed row by row, closed once. What a partition has seen is handed over when
+    it closes without an error."""
+
+    def __init__(self, totals):
+        self.totals = totals
+
+    def open(self, partition_id: int, epoch_id: int) -> bool:
+        self.seen: dict[str, tuple[int, float]] = {}
+        return True
+
+    def process(self, row) -> None:
+        n, total = self.seen.get(row["event_type"], (0, 0.0))
+        self.seen[row["event_type"]] = (n + 1, total + row["value"])
+
+    def close(self, error) -> None:
+        if error is None:
+            self.totals.add(self.seen)
+
+
+@query("stream_row_sink", _BY_TYPE_SQL)
+def stream_row_sink(spark: SparkSession, d: str) -> DataFrame:
+    """Every row through a writer with open, process and close."""
+    totals = spark.sparkContext.accumulator({}, _Totals())
+    q = (event_stream(spark, d).select("event_type", "value").writeStream.foreach(RowTotals(totals)).outputMode("append")
+         .option("checkpointLocation", scratch_path(spark, "row-sink-ckpt")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    rows = [(k, n, round(total, 2)) for k, (n, total) in totals.value.items()]
+    return spark.createDataFrame(rows, "event_type string, n bigint, total double")
+
+
 _SPLIT = r"unnest(regexp_split_to_array(text, '[ \n\t]+'))"
 
 

@@ -16,6 +16,7 @@ from larkspan.functions.scalar_packs import identities
 from larkspan.operators.project import sample_counts
 from larkspan.operators.sorting import layout_parts
 from larkspan.plans.features import projections
+from larkspan.plans.learning import cluster_quality
 from larkspan.plans.metrics import approx_percentiles
 from larkspan.plans.training import als_steps, kmeans_steps, logistic_history, softmax_history
 from larkspan.streaming.sinks import stream_progress
@@ -226,7 +227,7 @@ def test_models_reach_their_floors(spark, sf_dir, key):
 
 
 def test_clusters(spark, sf_dir):
-    got = {r["model"]: r["value"] for r in run(spark, sf_dir, "clusters").collect()}
+    got = {r["model"]: r["value"] for r in cluster_quality(spark, sf_dir).collect()}
     assert got["kmeans"] > 0 and got["power_iteration"] == 2.0 and set(got) == {"kmeans", "bisecting", "gaussian", "lda", "power_iteration"}
 
 
