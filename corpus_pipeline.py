@@ -14,38 +14,55 @@ or drops them together; an empty table stays empty.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspan.llm import bestfit_packing, decontaminate, line_dedup, minhash_dedup, queries, toxicity
-from larkspan.session import write_table
+from larkspan.session import ship, write_table
 from larkspan.sources.tables import table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def stage(fn: Stage) -> Stage:
+    """``fn``, with the package on the workers before it runs."""
+
+    @wraps(fn)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return fn(spark, docs, sf_dir)
+
+    return run_stage
+
+
+@stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.train_on(docs, table(spark, sf_dir, "labels"))
     return toxicity.score_toxicity(docs, model).where("score < 0.5").select(*docs.columns)
 
 
+@stage
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = line_dedup.drop_repeated_lines(docs)
     return kept.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
+@stage
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows are told by doc_id; of rows with the same doc_id all stay or go, as they are one document."""
     gone = minhash_dedup.find_duplicates(docs).where("not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
+@stage
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = decontaminate.find_benchmark(docs, table(spark, sf_dir, "benchmark"))
     return found.where("n_hit = 0").select(*docs.columns)
 
 
+@stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bestfit_packing.pack(docs, queries.tokenizer_path())
 
@@ -64,6 +81,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = write_table(stage(spark, docs, sf_dir), f"stage-{name}")
+    for name, fn in STAGES[:-1]:
+        docs = write_table(fn(spark, docs, sf_dir), f"stage-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from larkspan.llm import bestfit_packing, chat_format, decontaminate, embedding_dedup, line_dedup, minhash_dedup, quality, suffix_dedup, toxicity, warc
 from larkspan.llm.labelled import held_out
-from larkspan.registry import Query
+from larkspan.registry import Query, shipped
 from larkspan.session import scratch_path, write_table
 from larkspan.sources.tables import table
 
@@ -19,7 +19,7 @@ def query(key: str, sql: str | None = None):
     """As in the registry of the library, but kept apart from it."""
 
     def register(fn: Query) -> Query:
-        QUERIES[key] = fn
+        QUERIES[key] = shipped(fn)
         if sql is not None:
             ORACLE[key] = sql
         return fn
