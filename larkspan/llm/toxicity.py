@@ -172,8 +172,9 @@ def train_on(docs: DataFrame, labels: DataFrame, max_train: int = 8000) -> Model
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "y": pdf["y"], "bag": [buckets(t).tobytes() for t in pdf["text"]]})
 
-    found = sorted(rows.mapInPandas(bag, "doc_id bigint, y int, bag binary").collect(), key=lambda r: r["doc_id"])
-    return fit([np.frombuffer(r["bag"], np.int32) for r in found], np.array([r["y"] for r in found], np.int64))
+    bags = rows.mapInPandas(bag, "doc_id bigint, y int, bag binary").orderBy("doc_id")
+    found = [(np.frombuffer(bytes(r["bag"]), np.int32), r["y"]) for r in bags.toLocalIterator()]  # a partition at a time
+    return fit([b for b, _ in found], np.array([y for _, y in found], np.int64))
 
 
 def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
