@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from larkspan.operators import skew
 from larkspan.operators.skew import drop_halo, ntile, null_safe_join, positions, ranks, with_halo
 from larkspan.registry import query
 from larkspan.sources.tables import table

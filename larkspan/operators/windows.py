@@ -10,7 +10,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from larkspan.operators import skew
 from larkspan.operators.skew import drop_halo, micros, ntile, null_safe_join, positions, prefix, ranks, with_halo
 from larkspan.registry import query
 from larkspan.sources.tables import table

@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from larkspan.operators.skew import top_per_group
 from larkspan.plans.scoring import (
     CELLS_SQL,
-    FAN_OUT,
     evaluate,
     hash_tree,
     hash_tree_sql,
