@@ -142,21 +142,30 @@ def assemble(spark: SparkSession, d: str) -> DataFrame:
                     F.size(vector_to_array("f")).alias("dims"))
 
 
+def _scale_sql(col: str, name: str, weight: int) -> str:
+    return f"""round(({col} - {name}_m) / {name}_sd, 8) as standard_{name}, round(({col} - {name}_lo) / ({name}_hi - {name}_lo), 8) as minmax_{name}, round({col} / {name}_ma, 8) as maxabs_{name},
+      round({col} / sqrt(c_acctbal * c_acctbal + c_nationkey * c_nationkey), 8) as normal_{name}, round({col} * {weight}::double, 4) as product_{name}"""
+
+
+def _spread_sql(col: str, name: str) -> str:
+    return f"avg({col}) as {name}_m, stddev_samp({col}) as {name}_sd, min({col}) as {name}_lo, max({col}) as {name}_hi, max(abs({col})) as {name}_ma"
+
+
 @query(
     "scale_features",
-    """with s as (select avg(c_acctbal) as m, stddev_samp(c_acctbal) as sd, min(c_acctbal) as lo, max(c_acctbal) as hi, max(abs(c_acctbal)) as ma from customer)
-       select c_custkey, round((c_acctbal - m) / sd, 8) as standard, round((c_acctbal - lo) / (hi - lo), 8) as minmax, round(c_acctbal / ma, 8) as maxabs,
-         round(c_acctbal / sqrt(c_acctbal * c_acctbal + c_nationkey * c_nationkey), 8) as normal, round(c_acctbal * 2, 4) as product from customer, s""",
+    f"""with s as (select {_spread_sql('c_acctbal', 'bal')}, {_spread_sql('c_nationkey', 'nat')} from customer)
+       select c_custkey, {_scale_sql('c_acctbal', 'bal', 2)}, {_scale_sql('c_nationkey', 'nat', 3)} from customer, s""",
 )
 def scale_features(spark: SparkSession, d: str) -> DataFrame:
+    """Both components of a vector by every scaler."""
     v = customer_vectors(spark, d)
     v = mf.StandardScaler(inputCol="f", outputCol="o_standard", withMean=True, withStd=True).fit(v).transform(v)
     v = mf.MinMaxScaler(inputCol="f", outputCol="o_minmax").fit(v).transform(v)
     v = mf.MaxAbsScaler(inputCol="f", outputCol="o_maxabs").fit(v).transform(v)
     v = mf.Normalizer(inputCol="f", outputCol="o_normal", p=2.0).transform(v)
     v = mf.ElementwiseProduct(inputCol="f", outputCol="o_product", scalingVec=Vectors.dense([2.0, 3.0])).transform(v)
-    return v.select("c_custkey", *[F.round(vector_to_array(f"o_{n}")[0], 4 if n == "product" else 8).alias(n)
-                                   for n in ("standard", "minmax", "maxabs", "normal", "product")])
+    return v.select("c_custkey", *[F.round(vector_to_array(f"o_{n}")[i], 4 if n == "product" else 8).alias(f"{n}_{part}")
+                                   for i, part in enumerate(("bal", "nat")) for n in ("standard", "minmax", "maxabs", "normal", "product")])
 
 
 _ROBUST = {"bal": "c_acctbal", "nat": "c_nationkey"}
