@@ -2,8 +2,14 @@
 
 Vectors of one label and width start in one cell per tree. A cell that holds too many is split again and again: a random direction,
 drawn from the cell's name, and the median of a bounded sample along it make two halves, and vectors close to the cut go to both.
-A round fits several levels at once and sends all members through them, so a few rounds do for any size. A cell most of whose sampled
-pairs link is not split further (splits would part its links); it is compared in pairs of blocks instead, whatever its size.
+How close is told by the threshold: the halves overlap by ``spill`` standard deviations of what a pair just at the threshold
+differs by along a random direction, so a split parts the same few links whatever the spread of the cell. A round fits several
+levels at once and sends all members through them, so a few rounds do for any size.
+
+A cell whose vectors lie about as close together as linked pairs do is not separated by such splits: along most directions a half
+would hold more than ``useful`` of its members. It is not split further, and neither is one most of whose sampled pairs link; it is
+compared in pairs of blocks instead, whatever its size. A label that is such a cell as a whole is compared once, without trees.
+A useful split parts some 6 % of the links at the threshold at most (an estimate for normal projections), so the deeper the trees of a label can get, the more it has.
 
 All pairs inside a leaf are compared in double precision. A pair that shares several leaves counts only in the one with
 the smallest name, which each leaf can tell from the leaf lists its members carry: so numbers of links are exact
@@ -24,7 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspan.llm.components import components
@@ -35,13 +41,15 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 @dataclass(frozen=True)
 class Forest:
-    """``levels`` are fitted in a round; ``spill`` is the half width of the overlap in standard deviations of a cell's projections."""
+    """``trees`` at least, more for labels of many millions; ``levels`` are fitted in a round; ``spill`` is the width of the overlap in standard
+    deviations of the projected difference of a pair at the threshold; ``useful`` is the largest share of members a half may hold."""
 
     threshold: float = 0.93
     trees: int = 8
     leaf: int = 1024
     levels: int = 6
-    spill: float = 0.12
+    spill: float = 1.0
+    useful: float = 2 / 3
     sample: int = 1024
     group_rows: int = 16_384
 
@@ -64,24 +72,32 @@ def _names(cell: np.ndarray, node: np.ndarray) -> np.ndarray:
 def _fit(forest: Forest):
     """For a sample of one cell: whether it is dense, and (cut, half width) by node; an infinite cut is no split."""
     nodes = 2**forest.levels - 1
+    apart = math.sqrt(max(0.0, 2 - 2 * forest.threshold))  # distance of two unit vectors at the threshold
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         cell, total = int(pdf["cell"].iloc[0]), int(pdf["n"].iloc[0])
         x = _unit(pdf.sort_values("rep")["embedding"])
         some = x[:256]
         linked = ((some @ some.T) >= forest.threshold).sum() - len(some)
-        dense = bool(linked * 2 >= len(some) * (len(some) - 1)) and len(some) > 1
         cut, half = np.full(nodes, np.inf), np.zeros(nodes)
-        p = x @ _directions(cell, nodes, x.shape[1]).T
+        directions = _directions(cell, nodes, x.shape[1])
+        p = x @ directions.T
+        wide = forest.spill * apart / 2 * np.sqrt((directions * directions).mean(1))
+        middle = np.median(p, 0)
+        larger = np.maximum((p <= middle + wide).mean(0), (p >= middle - wide).mean(0))
+        dense = len(some) > 1 and bool(linked * 2 >= len(some) * (len(some) - 1) or np.median(larger) > forest.useful)
         at = {0: np.arange(len(x))}
         for node in range(nodes):
             rows = at.get(node)
             if rows is None or (node and len(rows) * total / len(x) <= forest.leaf * 0.8):
                 continue
             v = p[rows, node]
-            cut[node], half[node] = float(np.median(v)), forest.spill * float(v.std())
-            at[2 * node + 1] = rows[v <= cut[node] + half[node]]
-            at[2 * node + 2] = rows[v >= cut[node] - half[node]]
+            low, high = (v <= np.median(v) + wide[node]), (v >= np.median(v) - wide[node])
+            if node and max(low.mean(), high.mean()) > forest.useful:
+                continue  # the next round looks at it with a full sample
+            cut[node], half[node] = float(np.median(v)), float(wide[node])
+            at[2 * node + 1] = rows[low]
+            at[2 * node + 2] = rows[high]
         return pd.DataFrame({"cell": [cell], "dense": [dense], "cut": [cut.tolist()], "half": [half.tolist()]})
 
     return fit
@@ -112,24 +128,34 @@ def _route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.concat(out)
 
 
+def _trees(n: Column, forest: Forest) -> Column:
+    """So many that a pair at the threshold stays together in one of them with a chance of 0.95, if every split is the worst useful one."""
+    depth = F.greatest(F.log(n / forest.leaf), F.lit(0.0)) / -math.log(forest.useful)
+    return F.greatest(F.lit(forest.trees), F.ceil(3 / F.pow(F.lit(0.94), depth))).cast("int")
+
+
 def _leaves(vectors: DataFrame, forest: Forest) -> DataFrame:
     """cell, rep, dense, n: the leaves of all trees."""
-    trees = F.explode(F.sequence(F.lit(1), F.lit(forest.trees)))
-    cells = vectors.select(F.col("rep"), "label", F.size("embedding").alias("width"), trees.alias("tree"))
-    cells = write_table(cells.select(F.xxhash64("label", "width", "tree").alias("cell"), "rep"), "cells")
-    found = None
+
+    def fitted(large: DataFrame) -> DataFrame:
+        share = F.pmod(F.xxhash64("rep", "cell"), F.lit(1_000_000)) * F.col("n") < F.lit(1_000_000 * forest.sample)
+        sampled = large.where(share).join(vectors.select("rep", "embedding"), "rep").select("cell", "n", "rep", "embedding")
+        return write_table(sampled.groupBy("cell").applyInPandas(_fit(forest), "cell bigint, dense boolean, cut array<double>, half array<double>"), "cell-cuts")
+
+    roots = write_table(vectors.select("rep", F.xxhash64("label", F.size("embedding")).alias("cell")), "roots")
+    roots = roots.join(write_table(roots.groupBy("cell").agg(F.count("*").alias("n")), "root-sizes"), "cell")
+    whole = fitted(roots.where(F.col("n") > forest.leaf)).where("dense").select("cell")
+    found = roots.join(whole, "cell").select("cell", "rep", F.lit(True).alias("dense"), "n")
+    cells = roots.join(whole, "cell", "left_anti").select("cell", "rep", F.explode(F.sequence(F.lit(1), _trees(F.col("n"), forest))).alias("tree"))
+    cells = write_table(cells.select(F.xxhash64("cell", "tree").alias("cell"), "rep"), "cells")
     while True:
         sizes = write_table(cells.groupBy("cell").agg(F.count("*").alias("n")), "cell-sizes")
-        small = cells.join(sizes.where(F.col("n") <= forest.leaf), "cell").select("cell", "rep", F.lit(False).alias("dense"), "n")
-        found = small if found is None else found.unionByName(small)
+        found = found.unionByName(cells.join(sizes.where(F.col("n") <= forest.leaf), "cell").select("cell", "rep", F.lit(False).alias("dense"), "n"))
         if not sizes.where(F.col("n") > forest.leaf).count():
             return found
         large = cells.join(sizes.where(F.col("n") > forest.leaf), "cell")
-        share = F.pmod(F.xxhash64("rep", "cell"), F.lit(1_000_000)) * F.col("n") < F.lit(1_000_000 * forest.sample)
-        sampled = large.where(share).join(vectors.select("rep", "embedding"), "rep").select("cell", "n", "rep", "embedding")
-        cuts = write_table(sampled.groupBy("cell").applyInPandas(_fit(forest), "cell bigint, dense boolean, cut array<double>, half array<double>"), "cell-cuts")
-        dense = large.join(cuts.where("dense"), "cell").select("cell", "rep", F.lit(True).alias("dense"), "n")
-        found = found.unionByName(dense)
+        cuts = fitted(large)
+        found = found.unionByName(large.join(cuts.where("dense"), "cell").select("cell", "rep", F.lit(True).alias("dense"), "n"))
         going = cuts.where("not dense").select("cell", "cut", "half")
         moved = cells.join(going, "cell").join(vectors.select("rep", "embedding"), "rep").select("cell", "rep", "embedding", "cut", "half")
         cells = write_table(moved.mapInPandas(_route, "cell bigint, rep bigint").distinct(), "cells")
