@@ -5,10 +5,11 @@ contains a window contains every shingle of it, so of a window's shingles, order
 one is the necessary prefix: only documents that hold it can match. A shingle found at a word position gives the one
 place where its window could start; places outside the document are dropped by length, the others are compared word by word.
 
-The benchmark is taken in blocks of at most ``block_words`` words. A block's index is broadcast (its size is thereby bounded),
+The benchmark is taken in blocks of at most ``block_words`` words (or one window); a longer item goes in parts that overlap by a window less a word. A block's index is broadcast (its size is thereby bounded),
 and all documents pass by it inside Arrow batches, without a shuffle; further blocks follow in the same job.
 
-Defined cases: null and empty texts have no words; an item without words or without an id is ignored; repeated items and
+Defined cases: null and empty texts have no words; an item without words is ignored; items without an id hit like others and
+are one null in ``items``; repeated items and
 documents count row by row; extra columns of the documents are kept unless they bear the name of a result; an empty benchmark
 hits nothing; an empty table of documents gives no rows.
 """
@@ -48,7 +49,7 @@ def shingle_codes(ids: np.ndarray, k: int) -> np.ndarray:
 class Index:
     """Windows of one block of items. ``rank`` gives the rarity of a shingle; None before it is known."""
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], window: int, shingle: int):
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int, shingle: int):
         self.vocabulary: dict[bytes, int] = {}
         windows: dict[tuple[int, ...], set[int]] = {}
         self.items = [name for name, _ in items]
@@ -130,16 +131,17 @@ class Index:
 
 def _blocks(benchmark: DataFrame, window: int, shingle: int, block_words: int) -> Iterator[Index]:
     """The benchmark streams through the driver; one block of it is held at a time."""
-    items: list[tuple[str, list[bytes]]] = []
-    held = 0
-    for row in benchmark.select(F.col("item_id").cast("string").alias("id"), "text").where("item_id is not null").toLocalIterator():
+    items: list[tuple[str | None, list[bytes]]] = []
+    held, most = 0, max(block_words, window)
+    for row in benchmark.select(F.col("item_id").cast("string").alias("id"), "text").toLocalIterator():
         words = words_of(row["text"])
-        if words:
-            items.append((row["id"], words))
-            held += len(words)
-        if held >= block_words:
-            yield Index(items, window, shingle)
-            items, held = [], 0
+        for first in range(0, max(len(words) - window + 1, min(len(words), 1)), most - window + 1):
+            part = words[first : first + most]
+            if items and held + len(part) > most:
+                yield Index(items, window, shingle)
+                items, held = [], 0
+            items.append((row["id"], part))
+            held += len(part)
     if items:
         yield Index(items, window, shingle)
 
@@ -196,7 +198,8 @@ def find_benchmark(
                     edge = np.flatnonzero(hit[1:] != hit[:-1])
                     n_words.append(len(words))
                     n_hit.append(int(hit.sum()))
-                    items.append(sorted({*names, *(index.items[i] for w in np.unique(which) for i in index.holders[w])}))
+                    found = {*names, *(index.items[i] for w in np.unique(which) for i in index.holders[w])}
+                    items.append(sorted(found, key=lambda name: (name is None, name or "")))
                     spans.append([{"start": int(a), "length": int(b - a)} for a, b in zip(edge[::2], edge[1::2])])
                 yield pdf.assign(n_words=n_words, n_hit=n_hit, items=items, spans=spans)
 
