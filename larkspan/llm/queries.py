@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspan.llm import bestfit_packing, chat_format, decontaminate, embedding_dedup, line_dedup, minhash_dedup, quality, suffix_dedup, toxicity, warc
+from larkspan.llm import (
+    bestfit_packing, chat_format, decontaminate, embedding_dedup, line_dedup, minhash_dedup, phrases, quality, suffix_dedup, token_counts, toxicity, warc, whitening,
+)
 from larkspan.llm.labelled import held_out
 from larkspan.registry import Query, shipped
 from larkspan.session import scratch_path, write_table
@@ -194,3 +196,52 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_embedding_dedup")
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.find_links(table(spark, sf_dir, "embeddings"))
+
+
+@query(
+    "op11_phrases",
+    r"""
+    with d as (
+      select coalesce(lang, 'und') as lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents
+    ), p as (select lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) as piece from d
+    ), w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from p
+    ), g as (
+      select lang, k, array_to_string(w[i:i + k - 1], ' ') as phrase
+      from (select lang, w, k, unnest(range(1, len(w) - k + 2)) as i from w, (values (1), (2), (3), (4)) s(k) where len(w) >= k)
+    ), f as (select lang, k, phrase, count(*) as f from g group by all having count(*) >= 30
+    ), n as (select lang, sum(len(w))::bigint as n from w group by lang
+    ), c as (select *, string_split(phrase, ' ') as w from f where k > 1
+    ), inner_runs as (
+      select lang, array_to_string(w[i:i + m - 1], ' ') as phrase, max(f) as held
+      from (select *, unnest(range(1, k - m + 2)) as i from c, (values (2), (3)) s(m) where m < k) group by 1, 2
+    ), alone as (
+      select c.* from c left join inner_runs using (lang, phrase) where held is null or 100::hugeint * held < 80::hugeint * c.f
+    ), cut as (
+      select a.lang, a.phrase, a.f as a, cut, l.f as l, r.f as r, ((2000000::hugeint * a.f) // (l.f::hugeint + r.f))::bigint as score
+      from (select *, unnest(range(1, k)) as cut from alone) a
+      join f l on l.lang = a.lang and l.phrase = array_to_string(a.w[1:cut], ' ')
+      join f r on r.lang = a.lang and r.phrase = array_to_string(a.w[cut + 1:a.k], ' ')
+    ), low as (
+      select * from cut qualify row_number() over (partition by lang, phrase order by score, cut) = 1
+    )
+    select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score
+    from low join n using (lang)
+    qualify row_number() over (partition by lang order by score desc, a desc, phrase) <= 2000
+    """,
+)
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+@query("op12_token_counts")
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents")
+    counted = token_counts.count_tokens(docs, str(public_tokenizers.path("byte_bpe_50k.json")), scratch_path(spark, "token-counts"))
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
+
+
+@query("op13_whitening")
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.fit_and_whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").cast("bigint"))
