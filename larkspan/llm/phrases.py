@@ -87,9 +87,9 @@ class Admission:
         probes = F.array(F.col("h").bitwiseAND(mask), F.shiftrightunsigned("h", self.bits).bitwiseAND(mask))
         bit = F.expr("shiftleft(1L, cast(at & 63 as int))")
         words = hashes.select(F.explode(probes).alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
-        got = words.toPandas()
+        got = words.toArrow()  # rows of Python objects would be thirty times as large
         out.words[:] = self.words
-        out.words[got["word"].to_numpy(np.int64)] |= got["bits"].to_numpy(np.int64).view(np.uint64)
+        out.words[got.column("word").to_numpy()] |= got.column("bits").to_numpy().view(np.uint64)
         return out
 
 
