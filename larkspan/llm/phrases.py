@@ -4,16 +4,17 @@ Phrases are runs of up to ``longest`` words inside a piece of text. A phrase can
 first word are, so few runs have to be counted:
 
 1. A sample of the rows proposes phrases: those met ``sample_least`` times in it. They become bits of a filter of fixed size.
-2. One pass over all rows counts exactly every word, and every longer run whose two shorter runs are proposed. That is all proposed
-   phrases and their negative border. A collision in the filter only has more runs counted.
-3. A frequent phrase that was not proposed is a failure of the border. Failures are added to the filter, and a further pass counts the
-   runs that are admitted now and were not before, each run in one pass only. Passes end when none brings a failure; they are as many as a phrase has
-   words at most, as each unlocks longer runs only.
+2. One pass over all rows counts the proposed phrases and their negative border: every word, and every longer run whose two shorter runs are
+   proposed. Proposed phrases are counted by their words. The border, mostly runs met once or twice, is counted by hash, in a third of the space.
+3. A border run that is frequent is a failure. Failures are added to the filter, and a further pass counts them by their words, and the runs
+   that they bring to the border, each run in one pass only. Passes end when none brings a failure; each unlocks longer runs only, so there
+   are few. Two runs of one hash make a failure that is none, and a collision in the filter a proposal too many; both are then counted by
+   their words and found rare.
 
 Whether a run is counted depends on the filter alone, and filters only grow, so counts are exact whatever the sample was. The sample moves work, never results.
 
-Text is cut into words in Arrow batches, runs are numbered and counted in numpy by exact keys (hashes only ask the filter), and Spark adds up the counts
-with map-side sums, so a run that a third of all words belong to is one row for each batch. Scores look up the counts of a phrase's parts: a part that
+Text is cut into words in Arrow batches, runs are counted in numpy, and Spark adds up the counts with map-side sums, so a run that a third of all
+words belong to is one row for each batch. Scores look up the counts of a phrase's parts: a part that
 makes up one word in ``HOT`` belongs to a table of ``longest * HOT`` rows at most, which is broadcast, and any other part is joined.
 
 Defined cases: null and empty texts have no words; a null language is ``und``; texts of any length are worked on in parts that overlap by the longest
@@ -25,6 +26,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -32,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larkspan.operators.skew import top_per_group
-from larkspan.session import write_table
+from larkspan.session import setting, write_table
 
 #: Parts of phrases that hold one word in HOT are broadcast.
 HOT = 1000
@@ -40,7 +42,7 @@ _ENDS = b".,;:!?\n\x0b\x0c\r"
 _MARK = b"."
 #: Lower case for A-Z; marks that end a piece become one mark; a tab is a blank.
 _PLAIN = bytes(46 if b in _ENDS else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
-_CHUNK = 4 << 20
+_CHUNK, _ROWS = 4 << 20, 1 << 16
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -63,23 +65,23 @@ class Plan:
 class Admission:
     """Hashes that may be in a set, as bits of a fixed size; what was added is always found."""
 
-    def __init__(self, bits: int):
+    def __init__(self, bits: int, words: np.ndarray | None = None):
         self.bits = bits
-        self.words = np.zeros(1 << (bits - 6), np.uint64)
-
-    def _probes(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        mask = np.uint64((1 << self.bits) - 1)
-        return h & mask, (h >> np.uint64(self.bits)) & mask
+        self.words = np.zeros(1 << (bits - 6), np.uint64) if words is None else words
 
     def has(self, h: np.ndarray) -> np.ndarray:
         out = np.ones(len(h), bool)
-        for at in self._probes(h):
+        for shift in (0, self.bits):
+            at = (h >> np.uint64(shift)) & np.uint64((1 << self.bits) - 1)
             out &= ((self.words[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)).astype(bool)
         return out
 
-    def add(self, h: np.ndarray) -> None:
-        for at in self._probes(h):
-            np.bitwise_or.at(self.words, at >> np.uint64(6), np.uint64(1) << (at & np.uint64(63)))
+    def among(self, h: np.ndarray, asked: np.ndarray) -> np.ndarray:
+        """Those of the ``asked`` positions whose hash is found."""
+        out = np.zeros(len(h), bool)
+        at = np.flatnonzero(asked)
+        out[at] = self.has(h[at])
+        return out
 
     def joined(self, hashes: DataFrame) -> Admission:
         """This filter and the hashes of ``hashes(h)``. Spark makes the bits; the driver receives at most one number for each word of the filter."""
@@ -146,10 +148,9 @@ class Runs:
         mark = self.words.index(_MARK) if _MARK in self.words else -1
         self.word = self.codes != mark
 
-    def levels(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """For 1 to ``longest`` words: the number, which positions begin a run, its hash and its exact key, by position."""
+    def levels(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For 1 to ``longest`` words: the number, which positions begin a run, and its hash, by position."""
         n, whole, h = len(self.codes), self.word, self.hashed
-        key = ids = self.codes.astype(np.int64)
         for k in range(1, self.longest + 1):
             if k > 1:
                 m = n - k + 1
@@ -157,9 +158,18 @@ class Runs:
                     return
                 whole = whole[:m] & self.word[k - 1 :]
                 h = _mixed(h[:m] * _MIX + self.hashed[k - 1 :])
-                ids = pd.factorize(key)[0].astype(np.int64) if k > 2 else ids
-                key = ids[:m] * len(self.words) + self.codes[k - 1 :]  # both numbers are below the tokens of a chunk
-            yield k, whole, h, key
+            yield k, whole, h
+
+    def counted(self, at: np.ndarray, h: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """One position of every distinct run among those at ``at``, and how often it is there; told apart by their words, not by hash."""
+        first, n, which = _distinct(h[at], at)
+        apart = np.zeros(len(at), bool)
+        for j in range(k):
+            apart |= self.codes[at + j] != self.codes[first[which] + j]
+        if apart.any():  # two runs with one hash
+            own, others = self.counted(at[~apart], h, k), self.counted(at[apart], h, k)
+            return np.concatenate([own[0], others[0]]), np.concatenate([own[1], others[1]])
+        return first, n
 
     def text(self, at: np.ndarray, k: int) -> list[str]:
         words = self.words
@@ -174,26 +184,24 @@ def _runs(pdf: pd.DataFrame, longest: int) -> Iterator[tuple[str, Runs]]:
             yield lang, Runs(longest, list(words), codes, starts, seed)
 
 
-def _counted(keys: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One position of every distinct key among ``keys[at]``, and how often it is there."""
-    codes, _ = pd.factorize(keys[at])
-    if not len(codes):
-        return at, codes
-    first = np.zeros(codes.max() + 1, np.int64)
-    first[codes[::-1]] = at[::-1]
-    return first, np.bincount(codes)
+def _distinct(keys: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For every distinct key the first of its entries in ``at`` and its count, and for every entry which key it has."""
+    which, found = pd.factorize(keys)
+    first = np.zeros(len(found), at.dtype)
+    first[which[::-1]] = at[::-1]
+    return first, np.bincount(which, minlength=len(found)), which
 
 
 def propose(rows: DataFrame, plan: Plan) -> DataFrame:
-    """``h`` of the runs of all lengths but the longest that a sample holds ``sample_least`` times."""
+    """``h`` of the runs that a sample holds ``sample_least`` times."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for _, runs in _runs(pdf, plan.longest - 1):
-                for _, whole, h, key in runs.levels():
-                    at = np.flatnonzero(whole[: runs.starts])
-                    at, n = _counted(key, at)
-                    yield pd.DataFrame({"h": h[at].view(np.int64), "n": n})
+            for _, runs in _runs(pdf, plan.longest):
+                for _, whole, h in runs.levels():
+                    own = h[: runs.starts][whole[: runs.starts]]
+                    found, n, _ = _distinct(own, own)
+                    yield pd.DataFrame({"h": found.view(np.int64), "n": n})
 
     sample = rows.where(F.rand(plan.seed) * plan.sample_every < 1)
     found = sample.mapInPandas(count, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
@@ -201,58 +209,54 @@ def propose(rows: DataFrame, plan: Plan) -> DataFrame:
 
 
 def count_admitted(rows: DataFrame, plan: Plan, now: Admission, before: Admission | None) -> DataFrame:
-    """``lang, k, phrase, h, inside, f``: exact counts of the runs that ``now`` admits and ``before`` did not; without ``before`` also of all words, and of all
-    occurrences of words under k = 0. ``inside`` says whether the run itself is in ``now``."""
-    context = rows.sparkSession.sparkContext
-    shared = context.broadcast((now.bits, now.words, before.words if before else None))
+    """``lang, k, phrase, h, f`` of the runs that ``now`` admits. Proposed ones have their language and phrase and are counted by them, those of the border have their
+    hash alone. What was counted under ``before`` is left out; without ``before`` there is a row for each language with k = 0, for all its words."""
+    shared = rows.sparkSession.sparkContext.broadcast((now.bits, now.words, before.words if before else None))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bits, words, old = shared.value
-        new, past = Admission(bits), Admission(bits)
-        new.words, past.words = words, old if old is not None else past.words
+        new, past = Admission(bits, words), Admission(bits, old)
         for pdf in batches:
             for lang, runs in _runs(pdf, plan.longest):
                 inside = outside = None
-                for k, whole, h, key in runs.levels():
+                for k, whole, h in runs.levels():
                     m = len(whole)
-                    admitted = whole.copy()
-                    if k > 1:
-                        admitted &= inside[:m] & inside[1 : m + 1]
-                        if old is not None:
-                            admitted &= ~(outside[:m] & outside[1 : m + 1])
-                    elif old is not None:
-                        admitted[:] = False
-                    inside = whole & new.has(h) if k < plan.longest else None
-                    if old is not None and k < plan.longest:
-                        outside = inside & past.has(h)
-                    at, n = _counted(key, np.flatnonzero(admitted[: runs.starts]))
-                    if k == 1 and old is None:
-                        yield pd.DataFrame({"lang": [lang], "k": [0], "phrase": [""], "h": [0], "inside": [True], "f": [int(n.sum())]})
-                    if len(at):
-                        told = inside[at] if inside is not None else np.ones(len(at), bool)
-                        yield pd.DataFrame({"lang": lang, "k": k, "phrase": runs.text(at, k), "h": h[at].view(np.int64), "inside": told, "f": n})
-
-    schema = "lang string, k int, phrase string, h bigint, inside boolean, f bigint"
-    return rows.mapInPandas(count, schema).groupBy("lang", "k", "phrase", "h", "inside").agg(F.sum("f").alias("f"))
+                    admitted = whole if k == 1 else whole & inside[:m] & inside[1 : m + 1]
+                    inside = new.among(h, admitted)
+                    border = admitted & ~inside
+                    counted = inside
+                    if old is not None:
+                        admitted = whole if k == 1 else whole & outside[:m] & outside[1 : m + 1]
+                        outside = past.among(h, admitted)
+                        border &= ~admitted
+                        counted = inside & ~outside
+                    elif k == 1:
+                        yield pd.DataFrame({"lang": [lang], "k": [0], "phrase": [""], "h": [0], "f": [int(whole[: runs.starts].sum())]})
+                    at, n = runs.counted(np.flatnonzero(counted[: runs.starts]), h, k)
+                    for i in range(0, len(at), _ROWS):
+                        yield pd.DataFrame({"lang": lang, "k": k, "phrase": runs.text(at[i : i + _ROWS], k), "h": 0, "f": n[i : i + _ROWS]})
+                    own = h[: runs.starts][border[: runs.starts]]
+                    found, n, _ = _distinct(own, own)
+                    yield pd.DataFrame({"lang": None, "k": None, "phrase": None, "h": found.view(np.int64), "f": n})
+
+    schema = "lang string, k int, phrase string, h bigint, f bigint"
+    return rows.mapInPandas(count, schema).groupBy("lang", "k", "phrase", "h").agg(F.sum("f").alias("f"))
 
 
 def frequent_phrases(docs: DataFrame, plan: Plan = Plan(), text_column: str = "text", lang_column: str = "lang") -> DataFrame:
     """``lang, k, phrase, f`` of all phrases of 1 to ``longest`` words that occur ``least`` times, and under k = 0 the number of words of each language."""
-    spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(lang_column), F.lit("und")).alias("lang"), F.col(text_column).alias("text")).where("text is not null")
-    before, now = None, Admission(plan.bits).joined(propose(rows, plan))
-    found: list[DataFrame] = []
-    while True:
-        counted = count_admitted(rows, plan, now, before).where((F.col("f") >= plan.least) | (F.col("k") == 0))
-        found.append(write_table(counted, "frequent"))
-        failures = found[-1].where((F.col("k") > 0) & (F.col("k") < plan.longest) & ~F.col("inside")).select("h")
-        if failures.isEmpty():
-            break
-        before, now = now, now.joined(failures)
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out.select("lang", "k", "phrase", "f")
+    with setting(docs.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20)):
+        before, now = None, Admission(plan.bits).joined(propose(rows, plan))
+        found: list[DataFrame] = []
+        while True:
+            counted = count_admitted(rows, plan, now, before).where((F.col("f") >= plan.least) | (F.col("k") == 0))
+            found.append(write_table(counted, "frequent"))
+            failures = found[-1].where("phrase is null").select("h")
+            if failures.isEmpty():
+                break
+            before, now = now, now.joined(failures)
+    return reduce(DataFrame.unionByName, found).where("phrase is not null").select("lang", "k", "phrase", "f")
 
 
 def _looked_up(spark: SparkSession, rows: DataFrame, parts: DataFrame, hot: DataFrame, column: str, out: str) -> DataFrame:
