@@ -3,7 +3,7 @@
 Phrases are runs of up to ``longest`` words inside a piece of text. A phrase can only be frequent if the phrases without its last and without its
 first word are, so few runs have to be counted:
 
-1. A sample of the rows proposes phrases: those met ``sample_least`` times in it. They become bits of a filter of fixed size.
+1. A sample of the rows proposes phrases: those met ``sample_least`` times in it. They become bits of a filter of bounded size.
 2. One pass over all rows counts the proposed phrases and their negative border: every word, and every longer run whose two shorter runs are
    proposed. Proposed phrases are counted by their words. The border, mostly runs met once or twice, is counted by hash, in a third of the space.
 3. A border run that is frequent is a failure. Failures are added to the filter, and a further pass counts them by their words, and the runs
@@ -30,6 +30,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -49,7 +50,8 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 @dataclass(frozen=True)
 class Plan:
     """``least`` occurrences make a phrase of 2 to ``longest`` words a candidate; a candidate goes if a longer one that holds it has ``percent`` of its
-    occurrences; ``keep`` candidates stay for each language. One row in ``sample_every`` is sampled; the filter has two to the power of ``bits`` bits."""
+    occurrences; ``keep`` candidates stay for each language. One row in ``sample_every`` is sampled. The filter has 16
+    bits for each proposal, two to the power of ``bits`` at most (128 MB); with more proposals than that it admits more runs than it must, up to all."""
 
     least: int = 30
     longest: int = 4
@@ -58,7 +60,7 @@ class Plan:
     factor: int = 2_000_000
     sample_every: int = 8
     sample_least: int = 2
-    bits: int = 27
+    bits: int = 30
     seed: int = 11
 
 
@@ -83,6 +85,13 @@ class Admission:
         out[at] = self.has(h[at])
         return out
 
+    def told(self, before: Admission | None) -> tuple:
+        """What a worker needs of this filter and the one before it: the bits, and the words in which the older one differs."""
+        if before is None:
+            return self.bits, self.words, None, None
+        changed = np.flatnonzero(self.words != before.words)
+        return self.bits, self.words, changed, before.words[changed]
+
     def joined(self, hashes: DataFrame) -> Admission:
         """This filter and the hashes of ``hashes(h)``. Spark makes the bits; the driver receives at most one number for each word of the filter."""
         out, mask = Admission(self.bits), (1 << self.bits) - 1
@@ -208,14 +217,15 @@ def propose(rows: DataFrame, plan: Plan) -> DataFrame:
     return found.where(F.col("n") >= plan.sample_least).select("h")
 
 
-def count_admitted(rows: DataFrame, plan: Plan, now: Admission, before: Admission | None) -> DataFrame:
-    """``lang, k, phrase, h, f`` of the runs that ``now`` admits. Proposed ones have their language and phrase and are counted by them, those of the border have their
-    hash alone. What was counted under ``before`` is left out; without ``before`` there is a row for each language with k = 0, for all its words."""
-    shared = rows.sparkSession.sparkContext.broadcast((now.bits, now.words, before.words if before else None))
+def count_admitted(rows: DataFrame, plan: Plan, shared: Broadcast) -> DataFrame:
+    """``lang, k, phrase, h, f`` of the runs that a filter (``Admission.told``) admits. Proposed ones have their language and phrase and are counted by them, those of the border have their
+    hash alone. What was counted under the filter before it is left out; if it is the first, there is a row for each language with k = 0, for all its words."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits, words, old = shared.value
-        new, past = Admission(bits, words), Admission(bits, old)
+        bits, words, changed, was = shared.value
+        new, past, first = Admission(bits, words), Admission(bits, words.copy()), changed is None
+        if not first:
+            past.words[changed] = was
         for pdf in batches:
             for lang, runs in _runs(pdf, plan.longest):
                 inside = outside = None
@@ -225,7 +235,7 @@ def count_admitted(rows: DataFrame, plan: Plan, now: Admission, before: Admissio
                     inside = new.among(h, admitted)
                     border = admitted & ~inside
                     counted = inside
-                    if old is not None:
+                    if not first:
                         admitted = whole if k == 1 else whole & outside[:m] & outside[1 : m + 1]
                         outside = past.among(h, admitted)
                         border &= ~admitted
@@ -247,11 +257,15 @@ def frequent_phrases(docs: DataFrame, plan: Plan = Plan(), text_column: str = "t
     """``lang, k, phrase, f`` of all phrases of 1 to ``longest`` words that occur ``least`` times, and under k = 0 the number of words of each language."""
     rows = docs.select(F.coalesce(F.col(lang_column), F.lit("und")).alias("lang"), F.col(text_column).alias("text")).where("text is not null")
     with setting(docs.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20)):
-        before, now = None, Admission(plan.bits).joined(propose(rows, plan))
+        proposed = write_table(propose(rows, plan), "proposed")
+        bits = min(max(20, (16 * proposed.count()).bit_length()), plan.bits)
+        before, now = None, Admission(bits).joined(proposed)
         found: list[DataFrame] = []
         while True:
-            counted = count_admitted(rows, plan, now, before).where((F.col("f") >= plan.least) | (F.col("k") == 0))
+            shared = docs.sparkSession.sparkContext.broadcast(now.told(before))
+            counted = count_admitted(rows, plan, shared).where((F.col("f") >= plan.least) | (F.col("k") == 0))
             found.append(write_table(counted, "frequent"))
+            shared.destroy()
             failures = found[-1].where("phrase is null").select("h")
             if failures.isEmpty():
                 break
