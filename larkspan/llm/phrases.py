@@ -6,12 +6,14 @@ first word are, so few runs have to be counted:
 1. A sample of the rows proposes phrases: those met ``sample_least`` times in it. They become bits of a filter of bounded size.
 2. One pass over all rows counts the proposed phrases and their negative border: every word, and every longer run whose two shorter runs are
    proposed. Proposed phrases are counted by their words. The border, mostly runs met once or twice, is counted by hash, in a third of the space.
-3. A border run that is frequent is a failure. Failures are added to the filter, and a further pass counts them by their words, and the runs
-   that they bring to the border, each run in one pass only. Passes end when none brings a failure; each unlocks longer runs only, so there
-   are few. Two runs of one hash make a failure that is none, and a collision in the filter a proposal too many; both are then counted by
-   their words and found rare.
+3. A border run that is frequent is a failure. Failures join the filter, and an expansion pass counts them by their words, and the runs that
+   they bring to the border. Whether one of those is frequent shows only at the end of the pass, so the longer runs that it would bring are
+   counted with it, and so on up to the longest: they are few, as what a sample misses is rare. The border is closed by one such
+   pass: the shorter runs of a frequent run are frequent, so each is proposed, a failure, or new to the border, and the run
+   itself is counted in one pass or the other. Two runs of one hash make a failure that is none, and a collision in the filter a proposal too many;
+   both are counted by their words and found rare.
 
-Whether a run is counted depends on the filter alone, and filters only grow, so counts are exact whatever the sample was. The sample moves work, never results.
+Whether a run is counted depends on the filters alone, so counts are exact whatever the sample was. The sample moves work, never results.
 
 Text is cut into words in Arrow batches, runs are counted in numpy, and Spark adds up the counts with map-side sums, so a run that a third of all
 words belong to is one row for each batch. Scores look up the counts of a phrase's parts: a part that
@@ -26,10 +28,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -43,7 +45,8 @@ _ENDS = b".,;:!?\n\x0b\x0c\r"
 _MARK = b"."
 #: Lower case for A-Z; marks that end a piece become one mark; a tab is a blank.
 _PLAIN = bytes(46 if b in _ENDS else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
-_CHUNK, _ROWS = 4 << 20, 1 << 16
+_CHUNK, _ROWS = 2 << 20, 1 << 16
+_COUNTS = "lang string, k int, phrase string, h bigint, f bigint"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -185,7 +188,8 @@ class Runs:
         return [b" ".join([words[c] for c in run]).decode("utf-8") for run in np.stack([self.codes[at + j] for j in range(k)], 1).tolist()]
 
 
-def _runs(pdf: pd.DataFrame, longest: int) -> Iterator[tuple[str, Runs]]:
+def _runs(batch: pa.RecordBatch, longest: int) -> Iterator[tuple[str, Runs]]:
+    pdf = batch.to_pandas()
     for lang, own in pdf.groupby("lang", sort=True):
         seed = pd.util.hash_array(np.array([lang], dtype=object), categorize=False)[0]
         for tokens, starts in _chunks([t.encode("utf-8", "surrogatepass") for t in own["text"]], longest - 1):
@@ -204,73 +208,97 @@ def _distinct(keys: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 def propose(rows: DataFrame, plan: Plan) -> DataFrame:
     """``h`` of the runs that a sample holds ``sample_least`` times."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for _, runs in _runs(pdf, plan.longest):
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, runs in _runs(batch, plan.longest):
                 for _, whole, h in runs.levels():
                     own = h[: runs.starts][whole[: runs.starts]]
                     found, n, _ = _distinct(own, own)
-                    yield pd.DataFrame({"h": found.view(np.int64), "n": n})
+                    yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n, pa.int64())], ["h", "n"])
 
     sample = rows.where(F.rand(plan.seed) * plan.sample_every < 1)
-    found = sample.mapInPandas(count, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
+    found = sample.mapInArrow(count, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
     return found.where(F.col("n") >= plan.sample_least).select("h")
 
 
+def _told(lang: str | None, k: int | None, phrases: list[str] | None, h: np.ndarray, f: np.ndarray) -> pa.RecordBatch:
+    same = lambda value, kind: pa.nulls(len(f), kind) if value is None else pa.array([value] * len(f), kind)
+    columns = [same(lang, pa.string()), same(k, pa.int32()), pa.nulls(len(f), pa.string()) if phrases is None else pa.array(phrases, pa.string())]
+    return pa.RecordBatch.from_arrays([*columns, pa.array(h, pa.int64()), pa.array(f, pa.int64())], ["lang", "k", "phrase", "h", "f"])
+
+
+def _by_words(lang: str, k: int, runs: Runs, h: np.ndarray, counted: np.ndarray) -> Iterator[pa.RecordBatch]:
+    at, n = runs.counted(np.flatnonzero(counted[: runs.starts]), h, k)
+    for i in range(0, len(at), _ROWS):
+        part = at[i : i + _ROWS]
+        yield _told(lang, k, runs.text(part, k), np.zeros(len(part), np.int64), n[i : i + _ROWS])
+
+
 def count_admitted(rows: DataFrame, plan: Plan, shared: Broadcast) -> DataFrame:
-    """``lang, k, phrase, h, f`` of the runs that a filter (``Admission.told``) admits. Proposed ones have their language and phrase and are counted by them, those of the border have their
-    hash alone. What was counted under the filter before it is left out; if it is the first, there is a row for each language with k = 0, for all its words."""
+    """``lang, k, phrase, h, f`` by a filter (``Admission.told``): proposed runs have their language and phrase and are counted by them, those of the border
+    have their hash alone, and a row for each language with k = 0 counts all its words."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, words, _, _ = shared.value
+        proposed = Admission(bits, words)
+        for batch in batches:
+            for lang, runs in _runs(batch, plan.longest):
+                inside = None
+                for k, whole, h in runs.levels():
+                    m = len(whole)
+                    if k == 1:
+                        yield _told(lang, 0, [""], np.zeros(1, np.int64), np.array([whole[: runs.starts].sum()]))
+                    admitted = whole if k == 1 else whole & inside[:m] & inside[1 : m + 1]
+                    inside = proposed.among(h, admitted)
+                    yield from _by_words(lang, k, runs, h, inside)
+                    own = h[: runs.starts][(admitted & ~inside)[: runs.starts]]
+                    found, n, _ = _distinct(own, own)
+                    yield _told(None, None, None, found.view(np.int64), n)
+
+    return rows.mapInArrow(count, _COUNTS).groupBy("lang", "k", "phrase", "h").agg(F.sum("f").alias("f"))
+
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def count_expanded(rows: DataFrame, plan: Plan, shared: Broadcast) -> DataFrame:
+    """``lang, k, phrase, h, f`` of the failures, and of what they bring to the border. Whether a run is frequent that is new to the border is not known yet; the
+    runs that it would bring in turn are counted with it."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, words, changed, was = shared.value
-        new, past, first = Admission(bits, words), Admission(bits, words.copy()), changed is None
-        if not first:
-            past.words[changed] = was
-        for pdf in batches:
-            for lang, runs in _runs(pdf, plan.longest):
+        now, past = Admission(bits, words), Admission(bits, words.copy())
+        past.words[changed] = was
+        for batch in batches:
+            for lang, runs in _runs(batch, plan.longest):
                 inside = outside = None
                 for k, whole, h in runs.levels():
                     m = len(whole)
+                    before = whole if k == 1 else whole & outside[:m] & outside[1 : m + 1]
                     admitted = whole if k == 1 else whole & inside[:m] & inside[1 : m + 1]
-                    inside = new.among(h, admitted)
-                    border = admitted & ~inside
-                    counted = inside
-                    if not first:
-                        admitted = whole if k == 1 else whole & outside[:m] & outside[1 : m + 1]
-                        outside = past.among(h, admitted)
-                        border &= ~admitted
-                        counted = inside & ~outside
-                    elif k == 1:
-                        yield pd.DataFrame({"lang": [lang], "k": [0], "phrase": [""], "h": [0], "f": [int(whole[: runs.starts].sum())]})
-                    at, n = runs.counted(np.flatnonzero(counted[: runs.starts]), h, k)
-                    for i in range(0, len(at), _ROWS):
-                        yield pd.DataFrame({"lang": lang, "k": k, "phrase": runs.text(at[i : i + _ROWS], k), "h": 0, "f": n[i : i + _ROWS]})
-                    own = h[: runs.starts][border[: runs.starts]]
-                    found, n, _ = _distinct(own, own)
-                    yield pd.DataFrame({"lang": None, "k": None, "phrase": None, "h": found.view(np.int64), "f": n})
+                    outside = past.among(h, before)
+                    new = admitted & ~before
+                    failed = now.among(h, before) & ~outside
+                    yield from _by_words(lang, k, runs, h, new | failed)
+                    inside = outside | failed | new
 
-    schema = "lang string, k int, phrase string, h bigint, f bigint"
-    return rows.mapInPandas(count, schema).groupBy("lang", "k", "phrase", "h").agg(F.sum("f").alias("f"))
+    return rows.mapInArrow(count, _COUNTS).groupBy("lang", "k", "phrase", "h").agg(F.sum("f").alias("f"))
 
 
 def frequent_phrases(docs: DataFrame, plan: Plan = Plan(), text_column: str = "text", lang_column: str = "lang") -> DataFrame:
     """``lang, k, phrase, f`` of all phrases of 1 to ``longest`` words that occur ``least`` times, and under k = 0 the number of words of each language."""
     rows = docs.select(F.coalesce(F.col(lang_column), F.lit("und")).alias("lang"), F.col(text_column).alias("text")).where("text is not null")
-    with setting(docs.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20)):
+    spark = docs.sparkSession
+    with setting(spark, "spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20)):
         proposed = write_table(propose(rows, plan), "proposed")
         bits = min(max(20, (16 * proposed.count()).bit_length()), plan.bits)
-        before, now = None, Admission(bits).joined(proposed)
-        found: list[DataFrame] = []
-        while True:
-            shared = docs.sparkSession.sparkContext.broadcast(now.told(before))
-            counted = count_admitted(rows, plan, shared).where((F.col("f") >= plan.least) | (F.col("k") == 0))
-            found.append(write_table(counted, "frequent"))
+        first = Admission(bits).joined(proposed)
+        shared = spark.sparkContext.broadcast(first.told(None))
+        found = write_table(count_admitted(rows, plan, shared).where((F.col("f") >= plan.least) | (F.col("k") == 0)), "frequent")
+        shared.destroy()
+        out, failures = found.where("phrase is not null"), found.where("phrase is null").select("h")
+        if not failures.isEmpty():
+            shared = spark.sparkContext.broadcast(first.joined(failures).told(first))
+            out = out.unionByName(write_table(count_expanded(rows, plan, shared).where(F.col("f") >= plan.least), "expanded"))
             shared.destroy()
-            failures = found[-1].where("phrase is null").select("h")
-            if failures.isEmpty():
-                break
-            before, now = now, now.joined(failures)
-    return reduce(DataFrame.unionByName, found).where("phrase is not null").select("lang", "k", "phrase", "f")
+    return out.select("lang", "k", "phrase", "f")
 
 
 def _looked_up(spark: SparkSession, rows: DataFrame, parts: DataFrame, hot: DataFrame, column: str, out: str) -> DataFrame:
