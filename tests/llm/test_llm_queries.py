@@ -21,7 +21,7 @@ def documents(spark, sf_dir):
 
 def test_all_are_registered():
     assert [k for k in queries.QUERIES if k.startswith("op")] and set(queries.QUERIES) | {"pipeline"} <= set(entry.queries())
-    assert sorted(int(k[2:].split("_")[0]) for k in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in queries.QUERIES) == list(range(1, 14))
 
 
 def test_op1(spark, sf_dir, documents):
