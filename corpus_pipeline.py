@@ -8,7 +8,8 @@
 
 All but the last stage return the columns of documents; a changed text brings its new number of characters in n_chars. A null text
 comes out of the second stage as an empty one. Rows that share a doc_id are one document to the third stage, which keeps
-or drops them together; an empty table stays empty.
+or drops them together; an empty table stays empty. Ties and texts of any length are as in the operators. Columns beyond those of documents stay
+as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,16 +38,24 @@ def stage(fn: Stage) -> Stage:
     return run_stage
 
 
+def with_own_columns(docs: DataFrame, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``work(docs)`` with the columns of ``docs``: those that no stage reads go through under names that no operator uses, so that a column of the
+    user that is called as one of an operator's results keeps its values."""
+    aside = {c: f"__own_{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text", "n_chars")}
+    done = work(docs.withColumnsRenamed(aside))
+    return done.select(*[F.col(aside[c]).alias(c) if c in aside else F.col(c) for c in docs.columns])
+
+
 @stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.train_on(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score_toxicity(docs, model).where("score < 0.5").select(*docs.columns)
+    return with_own_columns(docs, lambda rows: toxicity.score_toxicity(rows, model).where("score < 0.5"))
 
 
 @stage
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = line_dedup.drop_repeated_lines(docs)
-    return kept.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    n_chars = F.when(F.col("n_dropped") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))
+    return with_own_columns(docs, lambda rows: line_dedup.drop_repeated_lines(rows).withColumn("n_chars", n_chars))
 
 
 @stage
@@ -58,8 +67,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 @stage
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate.find_benchmark(docs, table(spark, sf_dir, "benchmark"))
-    return found.where("n_hit = 0").select(*docs.columns)
+    benchmark = table(spark, sf_dir, "benchmark")
+    return with_own_columns(docs, lambda rows: decontaminate.find_benchmark(rows, benchmark).where("n_hit = 0"))
 
 
 @stage
