@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from larkspan.operators.frames import expanding_quantiles, range_frames, rolling_moments, rolling_quantiles
 from larkspan.operators.skew import drop_halo, micros, ntile, null_safe_join, positions, prefix, ranks, with_halo
 from larkspan.registry import query
 from larkspan.sources.tables import table
@@ -40,14 +41,58 @@ def win_running(spark: SparkSession, d: str) -> DataFrame:
        from events window w as (partition by user_id order by ts range between interval 1 day preceding and current row)""",
 )
 def win_range(spark: SparkSession, d: str) -> DataFrame:
-    """Sum over the last 24 hours of each user; blocks of four days with one day copied in."""
-    day = 86_400_000_000
+    """Count and sum over the last 24 hours of each user."""
     ev = _history(spark, d).withColumn("t", micros("ts"))
-    w = Window.partitionBy("user_id", "__block").orderBy("t").rangeBetween(-day, Window.currentRow)
-    out = with_halo(ev, F.col("t"), before=day, after=0, block=4 * day).select(
-        "event_id", "__home", "__block", F.count("*").over(w).alias("n_last_day"),
-        F.round(F.sum("value").over(w), 2).alias("sum_last_day"))
-    return drop_halo(out)
+    out = range_frames(ev, ["user_id"], "t", "value", "event_id", before=86_400_000_000)
+    return out.select("event_id", F.col("n_rows").alias("n_last_day"), F.round("total", 2).alias("sum_last_day"))
+
+
+@query(
+    "win_range_extremes",
+    """select event_id, count(value) over w as n, round(sum(value) over w, 2) as total, min(value) over w as least, max(value) over w as most
+       from events window w as (partition by event_type order by ts range between interval 2 days preceding and interval 6 hours following)""",
+)
+def win_range_extremes(spark: SparkSession, d: str) -> DataFrame:
+    """Count, sum and extremes of an event type from two days before an event to six hours after it: few keys, each of them hot."""
+    ev = table(spark, d, "events").select("event_id", "event_type", "value", micros("ts").alias("t"))
+    out = range_frames(ev, ["event_type"], "t", "value", "event_id", before=2 * 86_400_000_000, after=6 * 3_600_000_000)
+    return out.select("event_id", "n", F.round("total", 2).alias("total"), "least", "most")
+
+
+@query(
+    "rolling_quantile",
+    """select event_id, case when count(value) over w >= 5 then round(quantile_cont(value, 0.5) over w, 6) end as median,
+              case when count(value) over w >= 5 then round(quantile_cont(value, 0.9) over w, 6) end as p90
+       from events window w as (partition by user_id order by ts, event_id rows between 19 preceding and current row)""",
+)
+def rolling_quantile(spark: SparkSession, d: str) -> DataFrame:
+    """Median and 90th percentile of a user's last twenty events, from five values on."""
+    out = rolling_quantiles(_history(spark, d), ["user_id"], ["ts", "event_id"], "value", 20, {"median": 0.5, "p90": 0.9}, 5, BLOCK_ROWS)
+    return out.select("event_id", F.round("median", 6).alias("median"), F.round("p90", 6).alias("p90"))
+
+
+@query(
+    "expanding_quantile",
+    """select event_id, round(quantile_cont(value, 0.25) over w, 6) as q1, round(quantile_cont(value, 0.5) over w, 6) as median,
+              round(quantile_cont(value, 0.95) over w, 6) as p95
+       from events window w as (partition by user_id order by ts, event_id rows unbounded preceding)""",
+)
+def expanding_quantile(spark: SparkSession, d: str) -> DataFrame:
+    """Quantiles of all events of a user so far."""
+    out = expanding_quantiles(_history(spark, d), ["user_id"], ["ts", "event_id"], "value", {"q1": 0.25, "median": 0.5, "p95": 0.95})
+    return out.select("event_id", *[F.round(c, 6).alias(c) for c in ("q1", "median", "p95")])
+
+
+@query(
+    "rolling_moments",
+    """select event_id, case when count(value) over w >= 3 and max(value) over w > min(value) over w then round(skewness(value) over w, 5) end as skew,
+              case when count(value) over w >= 4 and max(value) over w > min(value) over w then round(kurtosis(value) over w, 5) end as kurt
+       from events window w as (partition by user_id order by ts, event_id rows between 19 preceding and current row)""",
+)
+def rolling_shape(spark: SparkSession, d: str) -> DataFrame:
+    """Skewness and excess kurtosis of a user's last twenty events."""
+    out = rolling_moments(_history(spark, d), ["user_id"], ["ts", "event_id"], "value", 20, BLOCK_ROWS)
+    return out.select("event_id", F.round("skew", 5).alias("skew"), F.round("kurt", 5).alias("kurt"))
 
 
 @query(
