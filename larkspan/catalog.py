@@ -25,6 +25,7 @@ MODULES = (
     "plans.runs",
     "plans.generation",
     "plans.training",
+    "plans.networks",
     "plans.graph",
     "plans.features",
     "plans.learning",

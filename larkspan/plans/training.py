@@ -1,9 +1,9 @@
-"""Data-parallel training: gradients are summed by Spark, the optimizer step is a small vector
-on the driver whose state lives as long as the training."""
+"""Data-parallel training: gradients are summed by Spark in one scan a step, the optimizer step is a small vector on the driver whose state lives as
+long as the training. ``networks.train_in_barrier`` gives the same parameters in one job."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspan.plans.generation import N_CLASSES, N_FEATURES, SEED, gen_tabular, hashed, hashed_sql
+from larkspan.plans.networks import HISTORY, train_in_barrier
+from larkspan.plans.optimizer import Adam, Gradient
 from larkspan.plans.scoring import matrix, samples
 from larkspan.registry import query
 from larkspan.session import write_table
@@ -19,23 +21,6 @@ from larkspan.sources.tables import tables
 MAX_DRIVER_PARAMETERS = 4_000_000
 EPOCHS, RATE, STEPS = 4, 0.1, 3
 
-Gradient = Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, float, int]]
-
-
-class Adam:
-    """First and second moments kept from step to step."""
-
-    def __init__(self, size: int, rate: float, b1: float = 0.9, b2: float = 0.999):
-        self.m, self.v, self.t = np.zeros(size), np.zeros(size), 0
-        self.rate, self.b1, self.b2 = rate, b1, b2
-
-    def step(self, theta: np.ndarray, grad: np.ndarray) -> np.ndarray:
-        self.t += 1
-        self.m = self.b1 * self.m + (1 - self.b1) * grad
-        self.v = self.b2 * self.v + (1 - self.b2) * grad**2
-        m, v = self.m / (1 - self.b1**self.t), self.v / (1 - self.b2**self.t)
-        return theta - self.rate * m / (np.sqrt(v) + 1e-8)
-
 
 def summed_gradient(data: DataFrame, theta: np.ndarray, gradient: Gradient, x: str = "x", y: str = "y") -> tuple[np.ndarray, float, int, int]:
     """Gradient, loss, hits and rows over the whole table. Every partition gives one partial vector; vectors are
@@ -126,7 +111,7 @@ def fit(spark: SparkSession, rows: DataFrame, size: int, gradient: Gradient) ->
     theta, history = train(parts.filter("part = 'train'"), size, gradient)
     _, loss, hits, n = summed_gradient(parts.filter("part = 'test'"), theta, gradient)
     out = [(*h, float(loss / n) if n else None, float(hits / n) if n else None, n) for h in history]
-    return spark.createDataFrame(out, "epoch int, loss double, accuracy double, n_train bigint, test_loss double, test_accuracy double, n_test bigint")
+    return spark.createDataFrame(out, HISTORY)
 
 
 def _fit_sql(floor: str) -> str:
@@ -149,6 +134,21 @@ def softmax_history(spark: SparkSession, d: str) -> DataFrame:
     return fit(spark, data, N_CLASSES * (N_FEATURES + 1), softmax_gradient(N_CLASSES))
 
 
+@query("train_softmax_history")
+def train_softmax_history(spark: SparkSession, d: str) -> DataFrame:
+    """Loss and accuracy of the same training in one barrier stage, for each epoch, and those of the rows held out."""
+    data = gen_tabular(spark, d).select("id", F.col("features").alias("x"), F.col("label").alias("y"), part_of("id").alias("part"))
+    gradient = softmax_gradient(N_CLASSES)
+    _, history = train_in_barrier(data, np.zeros(N_CLASSES * (N_FEATURES + 1)), gradient, EPOCHS, RATE, STEPS)
+    return spark.createDataFrame(history, HISTORY)
+
+
+@query("iter_logreg_history")
+def iter_logreg_history(spark: SparkSession, d: str) -> DataFrame:
+    """Loss and accuracy of ``iter_logreg`` for each epoch, and those of the rows held out."""
+    return logistic_history(spark, d)
+
+
 @query("iter_logreg", _fit_sql("accurate"))
 def iter_logreg(spark: SparkSession, d: str) -> DataFrame:
     """Binary logistic regression as an iterative job: two classes against the other three."""
