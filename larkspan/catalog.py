@@ -10,6 +10,7 @@ MODULES = (
     "operators.project",
     "operators.joins",
     "operators.aggregates",
+    "operators.intervals",
     "operators.windows",
     "operators.sorting",
     "operators.sets",
