@@ -20,6 +20,7 @@ MODULES = (
     "functions.scalar_packs",
     "functions.collection_packs",
     "sources.files",
+    "sources.broken",
     "plans.scoring",
     "plans.comparison",
     "plans.metrics",
