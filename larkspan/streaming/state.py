@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,7 +13,7 @@ from larkspan.operators.skew import micros
 from larkspan.registry import query
 from larkspan.session import scratch_path
 from larkspan.sources.tables import SCHEMAS, table
-from larkspan.streaming.runner import WATERMARK, land, land_in_slices, run, source, with_clock
+from larkspan.streaming.runner import SLICES, WATERMARK, land, land_in_slices, run, source, with_clock
 from larkspan.streaming.windows import SESSIONS_SQL, event_stream
 
 GAP_MS = 3 * 3_600_000
@@ -23,6 +22,8 @@ END_EVENT = "purchase"
 
 _PARTS = "user_id bigint, ts timestamp, first bigint, last bigint, n bigint, total double, ended boolean"
 _OUT = "user_id bigint, first bigint, last bigint, n bigint, total double, reason string"
+#: What a user's state holds: a list for each column of a part. Open sessions come first, ``n_open`` of them, then waiting events.
+_KEPT = "first array<bigint>, last array<bigint>, n array<bigint>, total array<double>, ended array<boolean>, n_open int"
 
 
 def _fold(gap_us: int):
@@ -63,18 +64,20 @@ def _keep_sessions(gap_us: int, end_events: bool):
     is past it and nothing earlier can arrive. Without them parts merge at once."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        parts, waiting = json.loads(state.get[0]) if state.exists else ([], [])
+        *lists, n_open = state.get if state.exists else ([], [], [], [], [], 0)
+        kept = [list(p) for p in zip(*lists)]
+        parts, waiting = kept[:n_open], kept[n_open:]
         watermark_us = state.getCurrentWatermarkMs() * 1000
         if not state.hasTimedOut:
             for f in frames:
-                waiting += f[["first", "last", "n", "total", "ended"]].values.tolist()
+                waiting += [list(p) for p in zip(*(f[c].tolist() for c in ("first", "last", "n", "total", "ended")))]
         settled = [p for p in waiting if not end_events or p[0] <= watermark_us]
         waiting = [p for p in waiting if end_events and p[0] > watermark_us]
         open_, closed = [], []
         for s in merge_sessions(parts + settled, gap_us):
             (closed if s[4] or s[1] + gap_us <= watermark_us else open_).append(s)
         if open_ or waiting:
-            state.update((json.dumps([open_, waiting]),))
+            state.update((*(list(c) for c in zip(*open_, *waiting)), len(open_)))
             due = min([s[1] + gap_us for s in open_] + [p[0] for p in waiting])
             state.setTimeoutTimestamp(max(int(due) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
         elif state.exists:
@@ -97,7 +100,7 @@ def stateful_sessions(spark: SparkSession, d: str, end_event: str | None) -> Dat
     if end_event is None:
         parts = parts.mapInPandas(_fold(gap_us), _PARTS)
     out = parts.withWatermark("ts", WATERMARK).groupBy("user_id").applyInPandasWithState(
-        _keep_sessions(gap_us, end_event is not None), _OUT, "kept string", "append", GroupStateTimeout.EventTimeTimeout)
+        _keep_sessions(gap_us, end_event is not None), _OUT, _KEPT, "append", GroupStateTimeout.EventTimeTimeout)
     return run(out, "append").all().filter("user_id >= 0").select(
         "user_id", F.timestamp_micros("first").cast("timestamp_ntz").alias("start"), F.timestamp_micros("last").cast("timestamp_ntz").alias("finish"),
         "n", F.round("total", 2).alias("total"), "reason")
@@ -145,16 +148,33 @@ def stream_dedup_keys(spark: SparkSession, d: str) -> DataFrame:
 
 @query("stream_running_total", "select user_id, count(*) as n, round(sum(value), 2) as total from events group by 1")
 def stream_running_total(spark: SparkSession, d: str) -> DataFrame:
-    """Running totals that start from a table: history is summed in batch, the stream adds on."""
+    """Running totals that start from a table: its sums are the stream's first batch and so its state; what arrives later adds on."""
     ev = table(spark, d, "events")
     start = ev.agg(F.min(F.col("ts").cast("date")).alias("a")).first()["a"]
     old = F.date_diff(F.col("ts").cast("date"), F.lit(start)) < 10
-    history = ev.filter(old).groupBy("user_id").agg(F.count("*").alias("n0"), F.sum("value").alias("s0"))
-    path = land_in_slices(ev.filter(~old), "ts")
-    live = source(spark, path, SCHEMAS["events"]).groupBy("user_id").agg(F.count("*").alias("n1"), F.sum("value").alias("s1"))
-    totals = history.join(run(live, "update").latest("user_id"), "user_id", "full")
-    add = lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))
-    return totals.select("user_id", add("n0", "n1").alias("n"), F.round(add("s0", "s1"), 2).alias("total"))
+    history = ev.filter(old).groupBy("user_id").agg(F.count("*").alias("n"), F.sum("value").alias("s"))
+    live = ev.filter(~old).select("user_id", F.lit(1).cast("bigint").alias("n"), F.col("value").alias("s"), "ts")
+    return continued_totals(history, live, "ts").select("user_id", "n", F.round("s", 2).alias("total"))
+
+
+def continued_totals(history: DataFrame, live: DataFrame, ts: str, slices: int = SLICES) -> DataFrame:
+    """``user_id, n, s``: the sums of ``history`` (one row a user) as the initial state of a stream over ``live``, which has the same columns and a clock.
+
+    The first run of the query reads the history and stops; its checkpoint then holds a state for each user. The second run goes on from there
+    with the live rows, so a user's state is one row, whether old, new or both. Null users are one user; values that are all null stay null.
+    """
+    spark = live.sparkSession
+    path = scratch_path(spark, "totals-in")
+
+    def totals(batches: int) -> DataFrame:
+        return source(spark, path, history.schema, batches).groupBy("user_id").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+
+    land(history, path)
+    sink = run(totals(1), "update")
+    if not live.isEmpty():
+        land_in_slices(live, ts, path, slices)
+        run(totals(slices), "update", sink)
+    return sink.latest("user_id")
 
 
 @query(
