@@ -30,6 +30,7 @@ MODULES = (
     "plans.networks",
     "plans.graph",
     "plans.features",
+    "plans.isotonic",
     "plans.learning",
     "plans.statistics",
     "streaming.windows",
