@@ -31,6 +31,7 @@ MODULES = (
     "plans.graph",
     "plans.features",
     "plans.isotonic",
+    "plans.similarity",
     "plans.learning",
     "plans.statistics",
     "streaming.windows",
