@@ -55,24 +55,24 @@ def prefixes(sets: DataFrame, percent: int, rarity: np.ndarray, own: np.ndarray,
     """The first elements of each class with their places, in the cuts where they meet those of the other side: ``{name}_class, {name}_n, {name}_at, h, cut_{name},
     cut_{other}``. ``own`` and ``other`` are the frequencies of the two sides."""
 
-    columns = ("class", "n", "at", "h", "own", "others")
+    columns = ("n", "at", "h", "own", "others")
 
     def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            out, waiting = [], 0
+            keys, out, waiting = [], [], 0
             for key, h in zip(rows["class"], rows["h"]):
                 h = np.asarray(h, dtype=np.int64)
                 n = len(h)
                 h = h[np.lexsort((h, rarity[h % CELLS]))][: n + 1 - -(-percent * n // 100)]
                 pieces = -(-own[h % CELLS] // MEETING)
-                out.append((np.full(len(h), key, dtype=object), np.full(len(h), n), np.arange(len(h)), h,
-                            int.from_bytes(key[:6], "big") % np.maximum(pieces, 1), np.maximum(-(-other[h % CELLS] // MEETING), 1)))
+                keys += [key] * len(h)  # a list: numpy's byte strings lose zeros at their end
+                out.append((np.full(len(h), n), np.arange(len(h)), h, int.from_bytes(key[:6], "big") % np.maximum(pieces, 1), np.maximum(-(-other[h % CELLS] // MEETING), 1)))
                 waiting += len(h)
                 if waiting >= SENT:
-                    yield pd.DataFrame(dict(zip(columns, map(np.concatenate, zip(*out)))))
-                    out, waiting = [], 0
+                    yield pd.DataFrame({"class": keys} | dict(zip(columns, map(np.concatenate, zip(*out)))))
+                    keys, out, waiting = [], [], 0
             if out:
-                yield pd.DataFrame(dict(zip(columns, map(np.concatenate, zip(*out)))))
+                yield pd.DataFrame({"class": keys} | dict(zip(columns, map(np.concatenate, zip(*out)))))
 
     found = sets.select("class", "h").mapInPandas(first, "class binary, n int, at int, h bigint, own bigint, others bigint")
     return found.select(
