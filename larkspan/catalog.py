@@ -34,6 +34,7 @@ MODULES = (
     "plans.similarity",
     "plans.learning",
     "plans.statistics",
+    "plans.blocks",
     "streaming.windows",
     "streaming.state",
     "streaming.sinks",
