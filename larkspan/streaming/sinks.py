@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import time
 import uuid
+from functools import reduce
 
 import numpy as np
 from pyspark.accumulators import AccumulatorParam
@@ -73,27 +74,40 @@ def stream_table_sink(spark: SparkSession, d: str) -> DataFrame:
 
 
 class _Totals(AccumulatorParam):
-    """Counts and sums by name, added up from all tasks."""
+    """Counts and sums by name, kept by epoch and partition: what comes again takes the place of what was there. A stream only repeats its last epoch,
+    so those before the last two are added up under one key and the number of entries stays that of two epochs."""
 
     def zero(self, value: dict) -> dict:
         return {}
 
     def addInPlace(self, a: dict, b: dict) -> dict:  # noqa: N802
-        for k, (n, total) in b.items():
-            m, before = a.get(k, (0, 0.0))
-            a[k] = (m + n, before + total)
+        a.update(b)
+        newest = max((epoch for epoch, _ in a), default=0)
+        for key in [k for k in a if k != _SETTLED and k[0] < newest - 1]:
+            a[_SETTLED] = _added(a.get(_SETTLED, {}), a.pop(key))
         return a
 
 
+_SETTLED = (-1, -1)
+
+
+def _added(a: dict[str, tuple[int, float]], b: dict[str, tuple[int, float]]) -> dict[str, tuple[int, float]]:
+    out = dict(a)
+    for name, (n, total) in b.items():
+        m, before = out.get(name, (0, 0.0))
+        out[name] = (m + n, before + total)
+    return out
+
+
 class RowTotals:
-    """A per-row sink: opened for each partition of a batch, fed row by row, closed once. What a partition has seen is handed over when
-    it closes without an error."""
+    """A per-row sink: opened for each partition of a batch, fed row by row, closed once. What a partition has seen is handed over under its epoch and
+    number when it closes without an error."""
 
     def __init__(self, totals):
         self.totals = totals
 
     def open(self, partition_id: int, epoch_id: int) -> bool:
-        self.seen: dict[str, tuple[int, float]] = {}
+        self.key, self.seen = (epoch_id, partition_id), {}
         return True
 
     def process(self, row) -> None:
@@ -102,17 +116,24 @@ class RowTotals:
 
     def close(self, error) -> None:
         if error is None:
-            self.totals.add(self.seen)
+            self.totals.add({self.key: self.seen})
+
+
+def feed_rows(stream: DataFrame, totals, checkpoint: str) -> None:
+    """All that has arrived since the checkpoint, row by row into ``totals``."""
+    q = (stream.select("event_type", "value").writeStream.foreach(RowTotals(totals)).outputMode("append")
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    q.awaitTermination()
 
 
 @query("stream_row_sink", _BY_TYPE_SQL)
 def stream_row_sink(spark: SparkSession, d: str) -> DataFrame:
-    """Every row through a writer with open, process and close."""
+    """Every row through a writer with open, process and close. A batch that runs again replaces itself while this application lives and deals
+    files out as before; across applications use a sink that writes by batch, as ``stream_upsert`` does."""
     totals = spark.sparkContext.accumulator({}, _Totals())
-    q = (event_stream(spark, d).select("event_type", "value").writeStream.foreach(RowTotals(totals)).outputMode("append")
-         .option("checkpointLocation", scratch_path(spark, "row-sink-ckpt")).trigger(availableNow=True).start())
-    q.awaitTermination()
-    rows = [(k, n, round(total, 2)) for k, (n, total) in totals.value.items()]
+    feed_rows(event_stream(spark, d), totals, scratch_path(spark, "row-sink-ckpt"))
+    by_type = reduce(_added, totals.value.values(), {})
+    rows = [(k, n, round(total, 2)) for k, (n, total) in by_type.items()]
     return spark.createDataFrame(rows, "event_type string, n bigint, total double")
 
 
