@@ -86,7 +86,8 @@ def interval_join(points: DataFrame, ranges: DataFrame, at: Column, low: Column,
     each = lambda c: F.explode(F.sequence(F.lit(0), n(c) - 1))
     left = met.join(cuts, node, "left").withColumn("__i", deal("__p")).withColumn("__j", each("__r")).select(*node, "__i", "__j", *own)
     right = placed.join(cuts, node, "left").withColumn("__j", deal("__r")).withColumn("__i", each("__p")).select(*node, "__i", "__j", *others)
-    return left.join(right, [*node, "__i", "__j"]).select(*by, *own, *others)
+    # merged, not broadcast: the written copies of a range are much smaller than its rows, so their size says little about the memory they take
+    return left.join(right.hint("merge"), [*node, "__i", "__j"]).select(*by, *own, *others)
 
 
 def overlap_join(left: DataFrame, right: DataFrame, left_bounds: tuple[str, str], right_bounds: tuple[str, str], by: Sequence[str] = (), share: int | None = None) -> DataFrame:

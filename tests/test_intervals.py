@@ -89,3 +89,12 @@ def test_empty_sides_and_clashing_names(spark, by):
         assert got.count() == 0 and got.columns == [*by, "at", "p", "low", "high", "r"]
     with pytest.raises(ValueError, match="p"):
         interval_join(some_points, some_ranges.withColumn("p", F.lit(1)), *bounds)
+def test_copies_are_not_broadcast(spark):
+    """Copies of ranges lie in files far smaller than their rows. Without nodes to cut the join would go by the files' size."""
+    left = spark.createDataFrame(points(), POINTS)
+    right = spark.createDataFrame(ranges(), RANGES)
+    got = interval_join(left, right, F.col("at"), F.col("low"), F.col("high"), ["k"], share=1)
+    rows = got._jdf.queryExecution().executedPlan()
+    assert rows.executeCollect() is not None
+    plan = rows.toString().split("== Initial Plan ==")[0]
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
