@@ -65,15 +65,14 @@ def gen_tabular(spark: SparkSession, d: str) -> DataFrame:
     that mix them, and one label in twenty moved to another class."""
     ids = spread(table(spark, d, "orders").select(F.col("o_orderkey").alias("id")))
     rows = ids.withColumn("true_class", (hashed(F.col("id")) % N_CLASSES).cast("int"))
-    centre = lambda j: normal(F.col("true_class"), j, seed=SEED + 1) * 2
-    informative = F.transform(F.sequence(F.lit(0), F.lit(N_INFORMATIVE - 1)), lambda j: centre(j) + normal(F.col("id"), j))
-    rows = rows.withColumn("inf", informative)
-    mixed = F.transform(
-        F.sequence(F.lit(0), F.lit(N_FEATURES - N_INFORMATIVE - 1)),
-        lambda j: 0.6 * F.element_at("inf", (j + 1).cast("int")) + 0.4 * F.element_at("inf", (F.pmod(j + 3, F.lit(N_INFORMATIVE)) + 1).cast("int")))
+    # one column per feature and constants for the centres: an array made by a lambda is made again at every use of one of its items
+    centre = lambda j: F.element_at(F.array(*[normal(F.lit(c), j, seed=SEED + 1) * 2 for c in range(N_CLASSES)]), F.col("true_class") + 1)
+    rows = rows.withColumns({f"inf_{j}": centre(j) + normal(F.col("id"), j) for j in range(N_INFORMATIVE)})
+    inf = [F.col(f"inf_{j}") for j in range(N_INFORMATIVE)]
+    mixed = [0.6 * inf[j] + 0.4 * inf[(j + 3) % N_INFORMATIVE] for j in range(N_FEATURES - N_INFORMATIVE)]
     moved = ((F.col("true_class") + 1 + hashed(F.col("id"), seed=SEED + 2) % (N_CLASSES - 1)) % N_CLASSES).cast("int")
     return rows.select(
-        "id", F.transform(F.concat("inf", mixed), lambda v: F.round(v, 6)).alias("features"),
+        "id", F.array(*[F.round(v, 6) for v in [*inf, *mixed]]).alias("features"),
         F.when(uniform(F.col("id"), seed=SEED + 3) < FLIPPED, moved).otherwise(F.col("true_class")).alias("label"), "true_class")
 
 
