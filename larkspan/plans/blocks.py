@@ -25,6 +25,10 @@ from larkspan.sources.tables import tables
 BLOCK = 1_024
 #: Blocks of one side that meet at an inner range in one place.
 MEETING = 64
+#: Products of two cells that a task holds at a time.
+PRODUCTS = 1 << 21
+#: A dense product of blocks does so many multiplications in the time that one of two single cells takes.
+DENSE_GAIN = 64
 #: Triangular factors that a task stacks at a time.
 FAN_IN = 16
 
@@ -42,8 +46,8 @@ def blocks(cells: DataFrame) -> DataFrame:
     return write_table(lists.select("bi", "bj", F.col("cell.i").alias("ci"), F.col("cell.j").alias("cj"), F.col("cell.v").alias("cv")), "blocks")
 
 
-def _dense(i: np.ndarray, j: np.ndarray, v: np.ndarray, size: int) -> np.ndarray:
-    out = np.zeros((size, size))
+def _dense(i: np.ndarray, j: np.ndarray, v: np.ndarray, rows: int, columns: int) -> np.ndarray:
+    out = np.zeros((rows, columns))
     out[i, j] = v
     return out
 
@@ -53,6 +57,47 @@ def _cells(bi: int, bj: int, m: np.ndarray, size: int) -> pd.DataFrame:
     return pd.DataFrame({"i": bi * size + i, "j": bj * size + j, "v": m[i, j]})
 
 
+def _sparse_product(pairs: list, size: int) -> pd.DataFrame:
+    """Cells of the products of several pairs of blocks, added up by place: each cell of a left block meets the right block's cells in its inner place."""
+    join = lambda name: np.concatenate([np.asarray(getattr(r, name)) for r in pairs])
+    number = lambda name: np.repeat(np.arange(len(pairs)), [len(getattr(r, name)) for r in pairs])
+    corners: dict[tuple[int, int], int] = {}
+    corner = np.array([corners.setdefault((r.bi, r.bj), len(corners)) for r in pairs])
+    left, right = number("cj"), number("di")
+    inner, met = left * size + join("cj"), right * size + join("di")
+    order = np.argsort(met, kind="stable")
+    met, dj, dv = met[order], join("dj")[order], join("dv")[order]
+    first = np.searchsorted(met, inner)
+    n = np.searchsorted(met, inner, side="right") - first
+    cell = np.repeat(np.arange(len(inner)), n)
+    other = np.arange(len(cell)) - np.repeat(np.cumsum(n) - n, n) + first[cell]
+    place = (corner[left] * size + join("ci"))[cell] * size + dj[other]
+    places, at = np.unique(place, return_inverse=True)
+    v = np.bincount(at, weights=join("cv")[cell] * dv[other], minlength=len(places))
+    places, v = places[v != 0], v[v != 0]
+    of, i, j = places // size // size, places // size % size, places % size
+    bi, bj = np.array(list(corners), dtype=np.int64).reshape(-1, 2).T
+    return pd.DataFrame({"i": bi[of] * size + i, "j": bj[of] * size + j, "v": v})
+
+
+def _products(rows: pd.DataFrame, size: int) -> Iterator[pd.DataFrame]:
+    """Cells of the products of pairs of blocks: dense where that is faster, else cell by cell and many pairs at a time."""
+    held, total = [], 0
+    for r in rows.itertuples():
+        n = int(np.bincount(r.di, minlength=size)[r.cj].sum())
+        height, inner, width = r.ci.max() + 1, max(r.cj.max(), r.di.max()) + 1, r.dj.max() + 1
+        if n > min(PRODUCTS, int(height) * int(inner) * int(width) // DENSE_GAIN):
+            yield _cells(r.bi, r.bj, _dense(r.ci, r.cj, r.cv, height, inner) @ _dense(r.di, r.dj, r.dv, inner, width), size)
+        elif n:
+            if held and total + n > PRODUCTS:
+                yield _sparse_product(held, size)
+                held, total = [], 0
+            held.append(r)
+            total += n
+    if held:
+        yield _sparse_product(held, size)
+
+
 def _cuts(df: DataFrame, inner: str) -> int:
     most = df.groupBy(inner).count().agg(F.max("count")).first()[0] or 0
     return max(1, math.ceil(most / MEETING))
@@ -65,8 +110,7 @@ def multiply(a: DataFrame, b: DataFrame) -> DataFrame:
 
     def multiplied(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            for r in rows.itertuples():
-                yield _cells(r.bi, r.bj, _dense(r.ci, r.cj, r.cv, size) @ _dense(r.di, r.dj, r.dv, size), size)
+            yield from _products(rows, size)
 
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = a.select("bi", F.col("bj").alias("inner"), "ci", "cj", "cv", F.pmod("bi", F.lit(ca)).cast("int").alias("ca"), every(cb).alias("cb"))
@@ -88,7 +132,7 @@ def triangle(narrow: DataFrame, width: int) -> np.ndarray:
     size = BLOCK
 
     def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield _stacked((_dense(r.ci, r.cj, r.cv, size)[:, :width] for rows in batches for r in rows.itertuples()), width)
+        yield _stacked((_dense(r.ci, r.cj, r.cv, size, width) for rows in batches for r in rows.itertuples()), width)
 
     def merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield _stacked((r.reshape(-1, width) for rows in batches for r in rows["r"]), width)
@@ -110,7 +154,7 @@ def times(narrow: DataFrame, m: np.ndarray) -> DataFrame:
     def turned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             for r in rows.itertuples():
-                yield _cells(r.bi, 0, _dense(r.ci, r.cj, r.cv, size)[:, :width] @ m, size)
+                yield _cells(r.bi, 0, _dense(r.ci, r.cj, r.cv, size, width) @ m, size)
 
     return narrow.mapInPandas(turned, CELLS)
 

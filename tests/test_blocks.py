@@ -96,3 +96,27 @@ def test_query_within_its_bounds(spark, sf_dir, duck, monkeypatch):
     for r, want in zip(got, s):
         assert r["singular_value"] <= want * (1 + 1e-9) and want <= r["at_most"] * (1 + 1e-9)
         assert r["singular_value"] >= 0.97 * want
+
+
+def test_few_cells_are_not_multiplied_as_dense_blocks(monkeypatch):
+    """Blocks with one cell in a thousand: no dense product, and the cells of all pairs added up by place; full blocks are multiplied as such."""
+    import pandas as pd
+
+    rng, size, used = np.random.default_rng(3), 256, []
+    kept = blk._dense
+    monkeypatch.setattr(blk, "_dense", lambda *a: used.append(1) or kept(*a))
+
+    def pairs(share):
+        sides = [[np.where(rng.random((size, size)) < share, rng.integers(1, 9, (size, size)), 0).astype(float) for _ in range(2)] for _ in range(6)]
+        rows = [(k % 2, 3, *(x for m in ms for x in (*(c.astype(np.int32) for c in np.nonzero(m)), m[np.nonzero(m)]))) for k, ms in enumerate(sides)]
+        return sides, pd.DataFrame(rows, columns=["bi", "bj", "ci", "cj", "cv", "di", "dj", "dv"])
+
+    for share, dense_ones in ((0.001, 0), (0.7, 12)):
+        used.clear()
+        sides, rows = pairs(share)
+        out = pd.concat(blk._products(rows, size)).groupby(["i", "j"])["v"].sum()
+        want = np.zeros((2 * size, size))
+        for k, (a, b) in enumerate(sides):
+            want[k % 2 * size : (k % 2 + 1) * size] += a @ b
+        assert len(used) == dense_ones and len(out) == np.count_nonzero(want)
+        assert all(want[i, j - 3 * size] == v for (i, j), v in out.items())
