@@ -7,15 +7,16 @@ a reverse pass in numpy over an Arrow batch; Spark adds the gradients up. Its pa
 after every step they exchange their gradient sums by ``allGather``. Every task adds the sums up in the same order and takes the same
 optimizer step, so all hold the same parameters and nothing goes through the driver until the end. A lost executor restarts the
 stage. Spark looks for the answers of an exchange once a second, so a step takes a second at least: this form pays where a scan for each step would
-take longer. Rows of a task stay in its memory, and a message carries the parameters of every task; tables larger than the executors' memory
-train with ``training.train``, a scan for each step, which gives the same parameters.
+take longer. Rows of a task lie in a file on its own disk and are read in parts, so its memory does not grow with them; a message carries the
+parameters of every task. ``training.train``, a scan for each step, gives the same parameters.
 """
 
 from __future__ import annotations
 
 import base64
 import json
-from collections.abc import Iterator
+import tempfile
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,6 +33,33 @@ from larkspan.registry import query
 HISTORY = "epoch int, loss double, accuracy double, n_train bigint, test_loss double, test_accuracy double, n_test bigint"
 
 
+#: Rows of a task that are in memory at a time.
+PART_ROWS = 1 << 15
+
+
+class _Held:
+    """The rows of a task in a temporary file on its own disk, which goes with the task; read again in parts of ``PART_ROWS``."""
+
+    def __init__(self, batches: Iterator[pd.DataFrame], epochs: int):
+        self.file, self.kind = tempfile.TemporaryFile(), None
+        for b in batches:
+            if not len(b):
+                continue
+            x = matrix(b["x"])
+            if self.kind is None:
+                self.kind = np.dtype([("x", x.dtype, x.shape[1:]), ("y", b["y"].dtype), ("teaches", bool), ("batch", np.int32, (epochs,))])
+            rows = np.empty(len(b), self.kind)
+            rows["x"], rows["y"], rows["teaches"] = x, b["y"].to_numpy(), b["teaches"].to_numpy(bool)
+            if epochs:
+                rows["batch"] = matrix(b["batch_of"])
+            self.file.write(rows.tobytes())
+
+    def parts(self) -> Iterator[np.ndarray]:
+        self.file.seek(0)
+        while self.kind is not None and (data := self.file.read(self.kind.itemsize * PART_ROWS)):
+            yield np.frombuffer(data, self.kind)
+
+
 def train_in_barrier(
     data: DataFrame, start: np.ndarray, gradient: Gradient, epochs: int, rate: float, steps: int, tasks: int | None = None
 ) -> tuple[np.ndarray, list[tuple]]:
@@ -39,20 +67,22 @@ def train_in_barrier(
     In every epoch a row falls into one of ``steps`` batches by the hash of seed, epoch and id. Returns the parameters, and for each epoch loss, accuracy
     and number of the rows as their batch met them, then those of the other rows. Without rows to learn from there are no epochs."""
     tasks = tasks or data.sparkSession.sparkContext.defaultParallelism
-    batch_of = F.array(*[(hashed(F.lit(e), F.col("id")) % steps).cast("int") for e in range(1, epochs + 1)])
+    # with one batch an epoch every row falls into it
+    batch_of = F.array(*[(hashed(F.lit(e), F.col("id")) % steps).cast("int") for e in range(1, epochs + 1)] if steps > 1 else []).cast("array<int>")
     rows = data.select("x", "y", (F.col("part") == "train").alias("teaches"), batch_of.alias("batch_of")).repartition(tasks)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         context = BarrierTaskContext.get()
-        held = [(matrix(b["x"]), b["y"].to_numpy(), b["teaches"].to_numpy(bool), matrix(b["batch_of"])) for b in batches if len(b)]
-        x, y, teaches, batch = (np.concatenate(c) for c in zip(*held)) if held else (np.empty((0, 0)), np.empty(0, int), np.empty(0, bool), np.empty((0, epochs)))
+        held = _Held(batches, epochs if steps > 1 else 0)
 
-        def over_all_tasks(theta: np.ndarray, mine: np.ndarray) -> np.ndarray:
+        def over_all_tasks(theta: np.ndarray, chosen: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
             """Gradient, loss, hits and rows, summed over all tasks in the order of their numbers."""
             vec = np.zeros(theta.size + 3)
-            if mine.any():
-                g, loss, hits = gradient(theta, x[mine], y[mine])
-                vec = np.concatenate([g, [loss, hits, mine.sum()]])
+            for part in held.parts():
+                mine = chosen(part)
+                if mine.any():
+                    g, loss, hits = gradient(theta, part["x"][mine], part["y"][mine])
+                    vec += np.concatenate([g, [loss, hits, mine.sum()]])
             told = context.allGather(base64.b64encode(vec.tobytes()).decode("ascii"))
             return np.sum([np.frombuffer(base64.b64decode(t)) for t in told], axis=0)
 
@@ -60,14 +90,14 @@ def train_in_barrier(
         for epoch in range(epochs):
             met = np.zeros(3)
             for step in range(steps):
-                total = over_all_tasks(theta, teaches & (batch[:, epoch] == step))
+                total = over_all_tasks(theta, lambda part: part["teaches"] & (part["batch"][:, epoch] == step) if steps > 1 else part["teaches"])
                 if total[-1]:
                     met += total[-3:]
                     theta = adam.step(theta, total[:-3] / total[-1])
             if not met[2]:
                 break
             history.append((epoch + 1, met[0] / met[2], met[1] / met[2], int(met[2])))
-        loss, hits, n = over_all_tasks(theta, ~teaches)[-3:]
+        loss, hits, n = over_all_tasks(theta, lambda part: ~part["teaches"])[-3:]
         tested = (loss / n, hits / n, int(n)) if n else (None, None, 0)
         if context.partitionId() == 0:
             yield pd.DataFrame({"theta": [theta.tobytes()], "history": [json.dumps([(*h, *tested) for h in history])]})

@@ -94,3 +94,19 @@ def test_learned_layers_beat_a_linear_model(spark, sf_dir, network):
     assert scored.where("prediction = y").count() / scored.count() == pytest.approx(last["test_accuracy"])
     unlearned = networks.score(data, network, network.as_table(spark, network.start())).where("part = 'test' and prediction = y").count()
     assert unlearned / last["n_test"] < 0.8
+
+
+def test_rows_of_a_task_are_held_in_parts(spark, monkeypatch):
+    """However many rows a task has, a gradient sees a part of them at a time, and the parameters are those of the whole."""
+    data, x, y = samples(spark)
+    network = Network(4, (6,), 2)
+    whole, told = networks.train_in_barrier(data, network.start(), network.gradient, 3, 0.05, 1, 1)
+    most = 40
+
+
+    monkeypatch.setattr(networks, "PART_ROWS", most)
+    kept = networks._Held(iter([data.limit(100).selectExpr("x", "y", "part = 'train' as teaches", "array(1) as batch_of").toPandas()]), 1)
+    assert [len(p) for p in kept.parts()] == [40, 40, 20] == [len(p) for p in kept.parts()]
+    assert not list(networks._Held(iter([]), 1).parts())
+    theta, history = networks.train_in_barrier(data, network.start(), network.gradient, 3, 0.05, 1, 1)
+    assert np.abs(theta - whole).max() < 1e-9 and history[-1][3] == told[-1][3]
