@@ -15,12 +15,14 @@ is rows times the bits of the largest group.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from larkspan.operators.skew import PIECE, drop_halo, in_pieces, null_safe_join, positions, prefix, with_halo
 from larkspan.session import write_table
@@ -122,12 +124,78 @@ def range_frames(
     return whole.unionByName(split).withColumnRenamed("id", id_column)
 
 
+#: Rows of a key whose running quantiles one task finds on its own.
+KEY_ROWS = 50_000
+
+
+def _running(held: list[pa.RecordBatch], probs: dict[str, float]) -> Iterator[pa.RecordBatch]:
+    """Whole keys, rows in order. Rows that are equal in the order share the largest of what they find, as in the descent."""
+    t = pa.Table.from_batches(held)
+    nth, rank = (t[c].to_numpy() for c in ("__nth", "__rank"))
+    group = np.cumsum(nth == 1)
+    v = pd.Series(t["__v"].to_numpy())
+    known = v.notna().to_numpy()
+    running = v[known].reset_index(drop=True).groupby(group[known], sort=False).expanding()
+
+    def spread(found: np.ndarray) -> pd.Series:
+        column = np.full(len(v), np.nan)
+        column[known] = found
+        return pd.Series(column).groupby(group, sort=False).ffill()
+
+    out, tied = t.drop_columns(["__nth", "__rank", "__v"]), (nth != rank).any()
+    for name, p in probs.items():
+        if tied:
+            low, high = (spread(running.quantile(p, interpolation=i).to_numpy()) for i in ("lower", "higher"))
+            n = spread(running.count().to_numpy())
+            low, high, n = (x.groupby([group, rank]).transform("max") for x in (low, high, n))
+            at = p * (n - 1)
+            found = low + (high - low) * (at - np.floor(at))
+        else:
+            found = spread(running.quantile(p).to_numpy())
+        out = out.append_column(name, pa.array(found, pa.float64(), from_pandas=True))
+    yield from out.combine_chunks().to_batches()
+
+
 def expanding_quantiles(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, probs: dict[str, float], pieces: int | None = None
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, probs: dict[str, float], pieces: int | None = None, key_rows: int = KEY_ROWS
 ) -> DataFrame:
     """``df`` with one column for each entry of ``probs``: the quantile, with linear interpolation, of the values of a key from its first row along ``order`` up
     to the current one. Null values count neither as rows nor as values, and bring the quantile of the rows before them; ``order`` tells the rows of a
-    key apart."""
+    key apart.
+
+    Keys of at most ``key_rows`` rows move once, and a task holds one key and a batch of rows. Rows of other keys are ranked and descended, and so are keys
+    with a value that is not finite, which pandas takes for a missing one."""
+    v = F.col(value).cast("double")
+    odd = F.coalesce(F.isnan(v) | (F.abs(v) == float("inf")), F.lit(False))
+    sizes = write_table(df.groupBy(*keys).agg(F.count("*").alias("__rows"), F.max(odd).alias("__odd")), "key-sizes")
+    small = (F.col("__rows") <= key_rows) & ~F.col("__odd")
+    n_small, n_large = sizes.agg(F.count(F.when(small, 1)), F.count(F.when(~small, 1))).first()
+    if not (keys and n_small):
+        return _descended(df, keys, order, value, probs, pieces)
+    of = lambda chosen: null_safe_join(df, sizes.where(chosen).select(*keys), keys, "left_semi")
+    along = Window.partitionBy(*keys).orderBy(*order)
+    rows = (of(small) if n_large else df).select("*", v.alias("__v"), F.row_number().over(along).alias("__nth"), F.rank().over(along).alias("__rank"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            begins = np.flatnonzero(b.column("__nth").to_numpy() == 1)
+            if len(begins):
+                held.append(b.slice(0, int(begins[-1])))
+                if any(h.num_rows for h in held):
+                    yield from _running(held, probs)
+                held = []
+                b = b.slice(int(begins[-1]))
+            held.append(b)
+        if any(h.num_rows for h in held):
+            yield from _running(held, probs)
+
+    done = rows.mapInArrow(run, T.StructType([*df.schema.fields, *(T.StructField(n, T.DoubleType()) for n in probs)]))
+    return done.unionByName(_descended(of(~small), keys, order, value, probs, pieces)) if n_large else done
+
+
+def _descended(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, probs: dict[str, float], pieces: int | None) -> DataFrame:
+    """The same for keys of any size, by a descent over the bits of the ranks."""
     told = df.withColumn("__known", F.col(value).isNotNull().cast("int"))
     told = write_table(prefix(told, keys, order, {"__n": ("sum", "__known")}, pieces), "expanding")
     known = told.where("__known = 1").select(*keys, *order, F.col(value).cast("double").alias("__v"), F.col("__n").alias("__pos"))

@@ -68,6 +68,20 @@ def test_expanding_quantiles(spark, pieces):
     assert expanding_quantiles(spark.createDataFrame([], SCHEMA), ["k"], ["t", "id"], "v", probs).count() == 0
 
 
+def test_expanding_quantiles_of_small_keys_move_once(spark):
+    """Small keys, large ones and those with values that are not finite agree with the descent, rows that come twice too; small ones have no descent."""
+    big = [("big", t, float(t * 37 % 101), t) for t in range(60)]
+    data = [(k, t, None if v is None or v != v else v, i) for k, t, v, i in rows(80)] + big + [("odd", 1, float("inf"), 2**60 + 1), ("odd", 2, float("nan"), 2**60 + 3)]
+    df = spark.createDataFrame(data + data[::3] + [("n", 1, None, None)], SCHEMA)
+    probs = {"q1": 0.25, "top": 1.0}
+    ask = lambda key_rows: expanding_quantiles(df, ["k"], ["t", "id"], "v", probs, 5, key_rows)
+    plain = lambda got: sorted((repr(tuple(None if x is None else round(x, 9) if isinstance(x, float) else x for x in r)) for r in got.collect()))
+    assert plain(ask(0)) == plain(ask(40)) == plain(ask(1000))
+    small = expanding_quantiles(spark.createDataFrame(big, SCHEMA), ["k"], ["t", "id"], "v", probs)
+    text = small._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange") == 1 and "rangepartitioning" not in text
+
+
 @pytest.mark.parametrize("block", [3, 10_000])
 def test_rolling_quantiles_and_moments(spark, block):
     import pandas as pd
