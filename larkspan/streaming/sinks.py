@@ -273,9 +273,14 @@ def stream_ab_test(spark: SparkSession, d: str) -> DataFrame:
                                  "n_a bigint, n_b bigint, mean_a double, mean_b double, t_value double, degrees double")
 
 
-def _land_stream(rows: DataFrame) -> DataFrame:
+#: Rows of a landed file, about: a task that writes or keeps one holds some 40 MB of samples.
+FILE_ROWS = 250_000
+
+
+def _land_stream(rows: DataFrame, file_rows: int = FILE_ROWS) -> DataFrame:
+    """Rows dealt out to files of bounded size, which arrive in four batches."""
     path = scratch_path(rows.sparkSession, "samples-in")
-    land(rows.repartition(4), path)
+    land(rows.repartition(4 * max(1, math.ceil(rows.count() / (4 * file_rows)))), path)
     return source(rows.sparkSession, path, rows.schema)
 
 
