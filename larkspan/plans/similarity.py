@@ -64,9 +64,11 @@ def prefixes(sets: DataFrame, percent: int, rarity: np.ndarray, own: np.ndarray,
                 h = np.asarray(h, dtype=np.int64)
                 n = len(h)
                 h = h[np.lexsort((h, rarity[h % CELLS]))][: n + 1 - -(-percent * n // 100)]
+                at = np.flatnonzero(other[h % CELLS])  # an element whose cell is empty on the other side meets nothing; it keeps its place
+                h = h[at]
                 pieces = -(-own[h % CELLS] // MEETING)
                 keys += [key] * len(h)  # a list: numpy's byte strings lose zeros at their end
-                out.append((np.full(len(h), n), np.arange(len(h)), h, int.from_bytes(key[:6], "big") % np.maximum(pieces, 1), np.maximum(-(-other[h % CELLS] // MEETING), 1)))
+                out.append((np.full(len(h), n), at, h, int.from_bytes(key[:6], "big") % np.maximum(pieces, 1), np.maximum(-(-other[h % CELLS] // MEETING), 1)))
                 waiting += len(h)
                 if waiting >= SENT:
                     yield pd.DataFrame({"class": keys} | dict(zip(columns, map(np.concatenate, zip(*out)))))

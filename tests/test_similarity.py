@@ -98,3 +98,13 @@ def test_no_product_in_the_plan(spark):
     df = spark.createDataFrame([(1, ["a", "b"])], SCHEMA)
     plan = sim.similar_sets(df, df, 50)[0]._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_elements_of_one_side_alone_are_not_sent(spark):
+    left = spark.createDataFrame([(1, ["a", "b", "c"])], "id bigint, set array<string>")
+    right = spark.createDataFrame([(i, ["a", "b", "c", f"own{i}", f"also{i}"]) for i in range(50)], "id bigint, set array<string>")
+    (_, ours), (_, theirs) = sim.classes(left), sim.classes(right)
+    a, b = sim.frequencies(ours), sim.frequencies(theirs)
+    sent = sim.prefixes(theirs, 50, a + b, b, a, "right")
+    assert sent.select("h").distinct().count() <= 3 and {r["right_at"] for r in sent.collect()} <= {2, 3, 4}
+    assert sim.similar_sets(left, right, 50)[0].count() == 50
