@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,7 +14,7 @@ from larkspan.operators.skew import micros
 from larkspan.registry import query
 from larkspan.session import scratch_path
 from larkspan.sources.tables import SCHEMAS, table
-from larkspan.streaming.runner import SLICES, WATERMARK, land, land_in_slices, run, source, with_clock
+from larkspan.streaming.runner import MARKER_USER, SLICES, WATERMARK, land, land_in_slices, run, source, with_clock
 from larkspan.streaming.windows import SESSIONS_SQL, event_stream
 
 GAP_MS = 3 * 3_600_000
@@ -24,6 +25,8 @@ _PARTS = "user_id bigint, ts timestamp, first bigint, last bigint, n bigint, tot
 _OUT = "user_id bigint, first bigint, last bigint, n bigint, total double, reason string"
 #: What a user's state holds: a list for each column of a part. Open sessions come first, ``n_open`` of them, then waiting events.
 _KEPT = "first array<bigint>, last array<bigint>, n array<bigint>, total array<double>, ended array<boolean>, n_open int"
+#: Events of a bucket, about: users share a call and a state, which each take far longer to pass to Python and back than a few events.
+BUCKET_ROWS = 25_000
 
 
 def _fold(gap_us: int):
@@ -57,11 +60,21 @@ def merge_sessions(parts: list[list], gap_us: int) -> list[list]:
     return merged
 
 
-def _keep_sessions(gap_us: int, end_events: bool):
-    """State of a user: open sessions, and events the watermark has not passed yet.
+def _settle(parts: list[list], waiting: list[list], watermark_us: int, gap_us: int, end_events: bool) -> tuple[list[list], list[list], list[list]]:
+    """Open sessions, events still waiting, and closed sessions of one user.
 
     With end events the order of events matters, so an event takes part only once the watermark
     is past it and nothing earlier can arrive. Without them parts merge at once."""
+    settled = [p for p in waiting if not end_events or p[0] <= watermark_us]
+    waiting = [p for p in waiting if end_events and p[0] > watermark_us]
+    open_, closed = [], []
+    for s in merge_sessions(parts + settled, gap_us):
+        (closed if s[4] or s[1] + gap_us <= watermark_us else open_).append(s)
+    return open_, waiting, closed
+
+
+def _keep_sessions(gap_us: int, end_events: bool):
+    """State of a user: open sessions, and events the watermark has not passed yet."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         *lists, n_open = state.get if state.exists else ([], [], [], [], [], 0)
@@ -71,11 +84,7 @@ def _keep_sessions(gap_us: int, end_events: bool):
         if not state.hasTimedOut:
             for f in frames:
                 waiting += [list(p) for p in zip(*(f[c].tolist() for c in ("first", "last", "n", "total", "ended")))]
-        settled = [p for p in waiting if not end_events or p[0] <= watermark_us]
-        waiting = [p for p in waiting if end_events and p[0] > watermark_us]
-        open_, closed = [], []
-        for s in merge_sessions(parts + settled, gap_us):
-            (closed if s[4] or s[1] + gap_us <= watermark_us else open_).append(s)
+        open_, waiting, closed = _settle(parts, waiting, watermark_us, gap_us, end_events)
         if open_ or waiting:
             state.update((*(list(c) for c in zip(*open_, *waiting)), len(open_)))
             due = min([s[1] + gap_us for s in open_] + [p[0] for p in waiting])
@@ -90,17 +99,51 @@ def _keep_sessions(gap_us: int, end_events: bool):
     return step
 
 
+def _keep_buckets(gap_us: int, end_events: bool):
+    """The same for all users of a bucket at once: a state has a list of users, too, and is due when the first of them is."""
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        *lists, n_open = state.get if state.exists else ([], [], [], [], [], [], 0)
+        users: dict[int, tuple[list[list], list[list]]] = {}  # open sessions and waiting events of each
+        for i, (user, *p) in enumerate(zip(*lists)):
+            users.setdefault(user, ([], []))[i >= n_open].append(p)
+        watermark_us = state.getCurrentWatermarkMs() * 1000
+        if not state.hasTimedOut:
+            for f in frames:
+                for user, *p in zip(*(f[c].tolist() for c in ("user_id", "first", "last", "n", "total", "ended"))):
+                    users.setdefault(user, ([], []))[1].append(p)
+        open_, waiting, closed = [], [], []
+        for user, (parts, events) in users.items():
+            for kept, found in zip((open_, waiting, closed), _settle(parts, events, watermark_us, gap_us, end_events)):
+                kept += [[user, *p] for p in found]
+        if open_ or waiting:
+            state.update((*(list(c) for c in zip(*open_, *waiting)), len(open_)))
+            due = min([s[2] + gap_us for s in open_] + [p[1] for p in waiting])
+            state.setTimeoutTimestamp(max(int(due) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
+            state.remove()
+        if closed:
+            yield pd.DataFrame({
+                "user_id": [s[0] for s in closed], "first": [int(s[1]) for s in closed], "last": [int(s[2]) for s in closed], "n": [int(s[3]) for s in closed],
+                "total": [float(s[4]) for s in closed], "reason": ["event" if s[5] else "gap" for s in closed]})
+
+    return step
+
+
 def stateful_sessions(spark: SparkSession, d: str, end_event: str | None) -> DataFrame:
     gap_us = GAP_MS * 1000
     ended = F.col("event_type") == end_event if end_event else F.lit(False)
     t = micros("ts")
+    buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(table(spark, d, "events").count() / BUCKET_ROWS))
+    # rows without a user move the clock as others do and are left out with the marker
     parts = event_stream(spark, d, marker=True).select(
-        "user_id", F.col("ts").cast("timestamp").alias("ts"), t.alias("first"), t.alias("last"), F.lit(1).cast("bigint").alias("n"),
+        F.coalesce("user_id", F.lit(MARKER_USER)).alias("user_id"), F.col("ts").cast("timestamp").alias("ts"), t.alias("first"), t.alias("last"), F.lit(1).cast("bigint").alias("n"),
         F.col("value").alias("total"), ended.alias("ended"))
     if end_event is None:
         parts = parts.mapInPandas(_fold(gap_us), _PARTS)
-    out = parts.withWatermark("ts", WATERMARK).groupBy("user_id").applyInPandasWithState(
-        _keep_sessions(gap_us, end_event is not None), _OUT, _KEPT, "append", GroupStateTimeout.EventTimeTimeout)
+    parts = parts.withColumn("bucket", F.pmod(F.xxhash64("user_id"), F.lit(buckets)))
+    out = parts.withWatermark("ts", WATERMARK).groupBy("bucket").applyInPandasWithState(
+        _keep_buckets(gap_us, end_event is not None), _OUT, f"user_id array<bigint>, {_KEPT}", "append", GroupStateTimeout.EventTimeTimeout)
     return run(out, "append").all().filter("user_id >= 0").select(
         "user_id", F.timestamp_micros("first").cast("timestamp_ntz").alias("start"), F.timestamp_micros("last").cast("timestamp_ntz").alias("finish"),
         "n", F.round("total", 2).alias("total"), "reason")

@@ -63,3 +63,34 @@ def test_land_adds_files(spark):
     for i in range(2):
         land(spark.range(3).selectExpr("id", f"{i} as slice"), path)
     assert spark.read.parquet(path).count() == 6
+
+
+def test_users_of_a_bucket_share_a_call(spark, tmp_path, monkeypatch):
+    """Sessions of many users, with ties, end events and rows without a user, from few calls: as many as there are buckets and batches, not users."""
+    from datetime import datetime, timedelta
+
+    start = datetime(2024, 1, 1)
+    rows = [(i, start + timedelta(minutes=37 * i), None if i % 50 == 0 else i % 400, "purchase" if i % 7 == 0 else "view", float(i % 9), "{}") for i in range(1200)]
+    spark.createDataFrame(rows, "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    calls, grouped = spark.sparkContext.accumulator(0), state._keep_buckets
+
+    def counted(gap_us, end_events):
+        step = grouped(gap_us, end_events)
+
+        def one(key, frames, kept):
+            calls.add(1)
+            yield from step(key, frames, kept)
+
+        return one
+
+    monkeypatch.setattr(state, "_keep_buckets", counted)
+    for end_event in (None, "purchase"):
+        want = []
+        for user in range(400):
+            parts = [[int((r[1] - datetime(1970, 1, 1)).total_seconds()) * 10**6] * 2 + [1, r[4], r[3] == end_event] for r in rows if r[2] == user]
+            want += [(user, s[0], s[1], s[2], s[3], "event" if s[4] else "gap") for s in state.merge_sessions(parts, state.GAP_MS * 1000)]
+        calls.value = 0
+        got = state.stateful_sessions(spark, str(tmp_path), end_event).collect()
+        micros = lambda t: int((t - datetime(1970, 1, 1)).total_seconds()) * 10**6
+        assert sorted((r["user_id"], micros(r["start"]), micros(r["finish"]), r["n"], r["total"], r["reason"]) for r in got) == sorted(want)
+        assert 0 < calls.value < 200  # a call for each user and batch would be several hundred
