@@ -3,6 +3,8 @@ long as the training. ``networks.train_in_barrier`` gives the same parameters in
 
 from __future__ import annotations
 
+import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,11 +17,13 @@ from larkspan.plans.networks import HISTORY, train_in_barrier
 from larkspan.plans.optimizer import Adam, Gradient
 from larkspan.plans.scoring import matrix, samples
 from larkspan.registry import query
-from larkspan.session import write_table
+from larkspan.session import TABLE_PREFIX, write_table
 from larkspan.sources.tables import tables
 
 MAX_DRIVER_PARAMETERS = 4_000_000
 EPOCHS, RATE, STEPS = 4, 0.1, 3
+#: Ratings in a bucket, about.
+BUCKET_ROWS = 2_000_000
 
 
 def summed_gradient(data: DataFrame, theta: np.ndarray, gradient: Gradient, x: str = "x", y: str = "y") -> tuple[np.ndarray, float, int, int]:
@@ -221,23 +225,34 @@ def iter_als(spark: SparkSession, d: str) -> DataFrame:
 
 def als_steps(spark: SparkSession, d: str) -> DataFrame:
     """Alternating least squares by hand: factors are tables; each half step joins ratings with
-    the fixed side, sums normal equations per id, and solves them in batches."""
+    the fixed side, sums normal equations per id, and solves them in batches. Ratings lie in buckets by user, so that they never move: what
+    moves are factors and sums, and no sums by user where the factors of the items can be broadcast."""
     rank, reg = 4, 0.1
-    o = table_ratings(spark, d)
-    ratings = write_table(o, "ratings")
+    ratings = by_user(write_table(table_ratings(spark, d), "ratings"))
+    small = ratings.select("item").distinct().count() * rank <= MAX_DRIVER_PARAMETERS
+    sent = lambda factors: F.broadcast(factors) if small else factors
     items = write_table(ratings.select("item").distinct().select(
         "item", F.array(*[(F.pmod(F.xxhash64(F.lit(42), "item", F.lit(j)), F.lit(1000)) / 1000.0 - 0.5) for j in range(rank)]).alias("f")), "items")
     history = []
     for step in range(1, 5):
-        users = write_table(solve(ratings, items, "item", "user", rank, reg), "users")
+        users = write_table(solve(ratings, sent(items), "item", "user", rank, reg), "users")
         items = write_table(solve(ratings, users, "user", "item", rank, reg), "items")
-        fit = ratings.join(users.withColumnRenamed("f", "uf"), "user").join(items, "item")
+        fit = ratings.join(users.withColumnRenamed("f", "uf"), "user").join(sent(items), "item")
         dot = F.aggregate(F.zip_with("uf", "f", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
         rmse, n = fit.agg(F.sqrt(F.avg((dot - F.col("rating")) ** 2)), F.count("*")).first()
         history.append((step, float(rmse), n))
     return spark.createDataFrame(history, "step int, rmse double, n_ratings bigint")
 
 
+def by_user(ratings: DataFrame) -> DataFrame:
+    """The same rows in buckets by ``user``."""
+    spark = ratings.sparkSession
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(ratings.count() / BUCKET_ROWS))
+    kept = f"{TABLE_PREFIX}ratings_{uuid.uuid4().hex}"
+    ratings.repartition(buckets, "user").write.bucketBy(buckets, "user").sortBy("user").format("parquet").saveAsTable(kept)
+    return spark.table(kept)
+
+
 def table_ratings(spark: SparkSession, d: str) -> DataFrame:
     """What a customer bought from a supplier, as one rating per pair: log of the quantity."""
     o, li = tables(spark, d, "orders", "lineitem")
