@@ -4,6 +4,7 @@ result does not depend on partitioning. Row ids come from the base tables."""
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,6 +52,13 @@ def normal_sql(*parts: str | int, seed: int = SEED) -> str:
     return f"(sqrt(-2 * ln({uniform_sql(*parts, 1, seed=seed)})) * cos(2 * pi() * {uniform_sql(*parts, 2, seed=seed)}))"
 
 
+def round_six(v: Column) -> Column:
+    """``F.round(v, 6)`` where that is not near a tie, by a multiplication instead of by decimal text; near one (and beyond a million) that itself. Names ``v``
+    four times, so it is for columns that are made already, not for what a filter may make again."""
+    whole = F.rint(v * 1e6)
+    return F.when((F.abs(v) < 1e6) & (F.abs(v * 1e6 - whole) < 0.499), whole / 1e6 + 0.0).otherwise(F.round(v, 6))
+
+
 @query(
     "gen_tabular",
     f"""with ids as (select o_orderkey as id, ({hashed_sql('o_orderkey')} % {N_CLASSES})::int as true_class from orders),
@@ -60,9 +68,10 @@ def normal_sql(*parts: str | int, seed: int = SEED) -> str:
         [round(v, 6) for v in list_concat(inf, [0.6::double * inf[j + 1] + 0.4::double * inf[(j + 3) % {N_INFORMATIVE} + 1] for j in range({N_FEATURES - N_INFORMATIVE})])] as features
       from i""",
 )
-def gen_tabular(spark: SparkSession, d: str) -> DataFrame:
+def gen_tabular(spark: SparkSession, d: str, rounded: Callable[[Column], Column] = lambda v: F.round(v, 6), width: int = N_FEATURES) -> DataFrame:
     """One labelled sample per order id: ten informative features around a class centre, ten
-    that mix them, and one label in twenty moved to another class."""
+    that mix them, and one label in twenty moved to another class. Samples that are written as they are may be rounded by ``round_six``;
+    who reads the first features only names their ``width``."""
     ids = spread(table(spark, d, "orders").select(F.col("o_orderkey").alias("id")))
     rows = ids.withColumn("true_class", (hashed(F.col("id")) % N_CLASSES).cast("int"))
     # one column per feature and constants for the centres: an array made by a lambda is made again at every use of one of its items
@@ -72,7 +81,7 @@ def gen_tabular(spark: SparkSession, d: str) -> DataFrame:
     mixed = [0.6 * inf[j] + 0.4 * inf[(j + 3) % N_INFORMATIVE] for j in range(N_FEATURES - N_INFORMATIVE)]
     moved = ((F.col("true_class") + 1 + hashed(F.col("id"), seed=SEED + 2) % (N_CLASSES - 1)) % N_CLASSES).cast("int")
     return rows.select(
-        "id", F.array(*[F.round(v, 6) for v in [*inf, *mixed]]).alias("features"),
+        "id", F.array(*[rounded(v) for v in [*inf, *mixed][:width]]).alias("features"),
         F.when(uniform(F.col("id"), seed=SEED + 3) < FLIPPED, moved).otherwise(F.col("true_class")).alias("label"), "true_class")
 
 
