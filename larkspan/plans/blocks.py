@@ -1,7 +1,8 @@
 """Matrices of any width as blocks: products by block, triangular factors by a tree, leading singular values by a random range.
 
-A matrix is a table ``i, j, v`` of cells; those that are absent are zero. Blocks are its cells grouped by row and column range, so a task holds one
-block of each side, whatever the width. A product joins blocks on the inner range; an inner range with many blocks is cut on both sides. The decomposition
+A matrix is a table ``i, j, v`` of cells; those that are absent are zero. Blocks are its cells grouped by row and column range, so a task holds few
+blocks of each side, whatever the width. A product brings the blocks of some neighbouring inner ranges together, once for each side; where they hold too many cells they are cut on
+both sides. What they give is summed by block of the result, as packed cells. The decomposition
 multiplies the matrix with few random columns, several times over, until those columns span its leading directions, and keeps in the driver only triangular
 factors as wide as the number of those columns.
 """
@@ -13,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,8 +25,10 @@ from larkspan.sources.tables import tables
 
 #: Rows and columns of a block: a dense one has 8 MB.
 BLOCK = 1_024
-#: Blocks of one side that meet at an inner range in one place.
+#: Cells of one side that meet in one place, in sixteenths of the rows and columns of so many blocks: a million.
 MEETING = 64
+#: Products of two cells that one place makes, at most about.
+WORK = 1 << 32
 #: Products of two cells that a task holds at a time.
 PRODUCTS = 1 << 21
 #: A dense product of blocks does so many multiplications in the time that one of two single cells takes.
@@ -41,9 +45,34 @@ def blocks(cells: DataFrame) -> DataFrame:
     whole = whole.groupBy("i", "j").agg(F.sum("v").alias("v")).where("v <> 0")
     low = lambda c: F.pmod(c, F.lit(BLOCK)).cast("int").alias(c)
     high = lambda c: F.floor(F.col(c) / BLOCK).cast("bigint").alias(f"b{c}")
-    placed = whole.select(high("i"), high("j"), F.struct(low("i"), low("j"), "v").alias("cell"))
-    lists = placed.groupBy("bi", "bj").agg(F.collect_list("cell").alias("cell"))
-    return write_table(lists.select("bi", "bj", F.col("cell.i").alias("ci"), F.col("cell.j").alias("cj"), F.col("cell.v").alias("cv")), "blocks")
+    placed = whole.select(high("i"), high("j"), low("i").alias("ci"), low("j").alias("cj"), F.col("v").alias("cv"))
+    lists = placed.repartition("bi", "bj").sortWithinPartitions("bi", "bj").mapInArrow(_listed, "bi bigint, bj bigint, ci array<int>, cj array<int>, cv array<double>")
+    return write_table(lists, "blocks")
+
+
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each block, of cells sorted by block."""
+    held: list[pa.RecordBatch] = []
+
+    def done(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        bi, bj, *cells = (np.concatenate([r.column(k).to_numpy(zero_copy_only=False) for r in rows]) for k in range(5))
+        first = np.flatnonzero(np.r_[True, (bi[1:] != bi[:-1]) | (bj[1:] != bj[:-1])])
+        ends = pa.array(np.r_[first, len(bi)].astype(np.int32))
+        return pa.record_batch([pa.array(bi[first]), pa.array(bj[first]), *[pa.ListArray.from_arrays(ends, pa.array(c)) for c in cells]], names=["bi", "bj", "ci", "cj", "cv"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        bi, bj = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(2))
+        last = int(np.flatnonzero((bi != bi[-1]) | (bj != bj[-1]))[-1]) + 1 if bi[0] != bi[-1] or bj[0] != bj[-1] else 0
+        if held and (last or held[-1].column(0)[-1].as_py() != bi[0] or held[-1].column(1)[-1].as_py() != bj[0]):
+            yield done([*held, batch.slice(0, last)])
+            held = []
+        elif last:
+            yield done([batch.slice(0, last)])
+        held.append(batch.slice(last))
+    if held:
+        yield done(held)
 
 
 def _dense(i: np.ndarray, j: np.ndarray, v: np.ndarray, rows: int, columns: int) -> np.ndarray:
@@ -98,25 +127,203 @@ def _products(rows: pd.DataFrame, size: int) -> Iterator[pd.DataFrame]:
         yield _sparse_product(held, size)
 
 
-def _cuts(df: DataFrame, inner: str) -> int:
-    most = df.groupBy(inner).count().agg(F.max("count")).first()[0] or 0
-    return max(1, math.ceil(most / MEETING))
+def _packed(place: np.ndarray, v: np.ndarray, corners: np.ndarray, size: int) -> pa.RecordBatch:
+    """Rows ``bi, bj, at, v`` of cells by rising ``place``: the number of their block in ``corners``, then the place in it. Places and values are packed."""
+    at, block = (place % (size * size)).astype(np.int32), place // (size * size)
+    first = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]) if len(block) else np.zeros(0, dtype=np.int64)
+    ends = np.r_[first, len(at)].astype(np.int32)
+    binary = lambda x: pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends * x.itemsize), pa.py_buffer(np.ascontiguousarray(x))])
+    bi, bj = corners[block[first]].T.copy()
+    return pa.record_batch([pa.array(bi), pa.array(bj), binary(at), binary(v)], names=["bi", "bj", "at", "v"])
+
+
+class _Side:
+    """Blocks of one side of a group: ``b`` their ranges, ``n`` their cells; of each cell the block's number, the outer place, the inner place from ``low`` on and the value."""
+
+    def __init__(self, rows: list[pa.RecordBatch], low: int, size: int):
+        column = lambda c: np.concatenate([r.column(c).to_numpy(zero_copy_only=False) for r in rows])
+        lists = lambda c: np.concatenate([r.column(c).flatten().to_numpy(zero_copy_only=False) for r in rows])
+        self.b, self.range = column("b"), column("inner") - low
+        self.n = np.concatenate([r.column("co").value_lengths().to_numpy(zero_copy_only=False) for r in rows]).astype(np.int64)
+        self.block = np.repeat(np.arange(len(self.b)), self.n)
+        self.outer, self.place, self.v = lists("co"), lists("cn"), lists("cv")
+        self.inner = self.range[self.block] * size + self.place
+
+    def taken(self, blocks: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Block, outer and inner place and value of the cells of some blocks."""
+        cells = slice(None) if blocks.all() else blocks[self.block]
+        return self.b[self.block[cells]], self.outer[cells], self.inner[cells], self.v[cells]
+
+    def named(self, k: int, names: str) -> list:
+        ends = np.cumsum(self.n)
+        cells = slice(ends[k] - self.n[k], ends[k])
+        return [(n, x[cells]) for n, x in zip(names.split(), (self.outer, self.place, self.v))]
+
+
+def _met(left: tuple, right: tuple, size: int) -> Iterator[pa.RecordBatch]:
+    """Packed products of the cells of both sides with the same inner place, added up by place in the result, half of ``PRODUCTS`` at a time."""
+    order = np.argsort(right[2], kind="stable")
+    rb, dj, met, dv = (x[order] for x in right)
+    columns, rb = np.unique(rb, return_inverse=True)
+    order = np.lexsort((left[1], left[0]))
+    lb, ci, inner, cv = (x[order] for x in left)
+    first = np.searchsorted(met, inner)
+    n = np.searchsorted(met, inner, side="right") - first
+    some = n > 0
+    lb, ci, cv, first, n = (x[some] for x in (lb, ci, cv, first, n))
+    ends, start = np.cumsum(n), 0
+    while start < len(n):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start] - n[start]) + PRODUCTS // 2, side="right")))
+        part = slice(start, stop)
+        rows, at = np.unique(lb[part], return_inverse=True)
+        reach = np.repeat(first[part] - (ends[part] - n[part] - (ends[start] - n[start])), n[part]) + np.arange(ends[stop - 1] - ends[start] + n[start])
+        row = (at * len(columns) * size + ci[part]) * size
+        place = np.repeat(row, n[part]) + (rb * (size * size) + dj)[reach]
+        v = np.repeat(cv[part], n[part]) * dv[reach]
+        area = len(rows) * len(columns) * size * size
+        if area <= 4 * len(place):
+            total = np.bincount(place, weights=v, minlength=area)
+            place = np.flatnonzero(total)
+            v = total[place]
+        else:
+            place, to = np.unique(place, return_inverse=True)
+            v = np.bincount(to, weights=v, minlength=len(place))
+            place, v = place[v != 0], v[v != 0]
+        yield _packed(place, v, np.stack([np.repeat(rows, len(columns)), np.tile(columns, len(rows))], axis=1), size)
+        start = stop
+
+
+def _group(sides: tuple[list, list], size: int) -> Iterator[pa.RecordBatch]:
+    """Packed products of the blocks that meet. Blocks with one cell in sixteen or more on both sides may be faster as dense ones, a pair at a time."""
+    if not all(sides):
+        return
+    low = min(int(r.column("inner").to_numpy().min()) for side in sides for r in side)
+    left, right = (_Side(side, low, size) for side in sides)
+    full = [s.n >= size * size // 16 for s in (left, right)]
+    if full[0].any() and full[1].any():
+        for k in np.flatnonzero(full[0]):
+            for m in np.flatnonzero(full[1] & (right.range == left.range[k])):
+                # corners of 0: frames then hold places in the block
+                pair = pd.DataFrame({"bi": [0], "bj": [0], **{c: [x] for c, x in left.named(k, "ci cj cv") + right.named(m, "dj di dv")}})
+                for cells in _products(pair, size):
+                    yield _packed((cells["i"] * size + cells["j"]).to_numpy(), cells["v"].to_numpy(), np.array([[left.b[k], right.b[m]]]), size)
+        lights = [(np.ones_like(full[0]), ~full[1]), (~full[0], full[1])]
+    else:
+        lights = [(np.ones_like(full[0]), np.ones_like(full[1]))]
+    for mine, others in lights:
+        if mine.any() and others.any():
+            yield from _met(left.taken(mine), right.taken(others), size)
+
+
+def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[bool, pa.RecordBatch]]:
+    """Slices of rows with the same keys, in rows sorted by them, and whether the slice begins other keys than the last one."""
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        of = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in keys], axis=1)
+        cuts = np.r_[0, np.flatnonzero((of[1:] != of[:-1]).any(axis=1)) + 1, len(of)]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            yield last is None or tuple(of[a]) != last, batch.slice(a, b - a)
+            last = tuple(of[a])
+
+
+def _groups(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    sides: tuple[list, list] = ([], [])
+    for new, rows in _runs(batches, ["near", "ca", "cb"]):
+        if new:
+            yield from _group(sides, size)
+            sides = ([], [])
+        right = rows.column("right").to_numpy(zero_copy_only=False)
+        for k in (0, 1):
+            if (mine := rows.filter(pa.array(right == bool(k)))).num_rows:
+                sides[k].append(mine)
+    yield from _group(sides, size)
+
+
+def _summed(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Cells of the result from packed ones, block after block. A block of few cells sorts them, another adds them up in place."""
+    whole: np.ndarray | None = None
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    corner, n = (0, 0), 0
+
+    def done() -> Iterator[pa.RecordBatch]:
+        if whole is not None:
+            at = np.flatnonzero(whole)
+            v = whole[at]
+        else:
+            at, to = np.unique(np.concatenate([a for a, _ in held]), return_inverse=True)
+            v = np.bincount(to, weights=np.concatenate([x for _, x in held]), minlength=len(at))
+            at, v = at[v != 0], v[v != 0]
+        at = at.astype(np.int64)
+        yield pa.record_batch([pa.array(corner[0] * size + at // size), pa.array(corner[1] * size + at % size), pa.array(v)], names=["i", "j", "v"])
+
+    for new, rows in _runs(batches, ["bi", "bj"]):
+        if new:
+            if n:
+                yield from done()
+            whole, held, n = None, [], 0
+            corner = (rows.column("bi")[0].as_py(), rows.column("bj")[0].as_py())
+        for a, v in zip(rows.column("at"), rows.column("v")):
+            a, v = np.frombuffer(a.as_buffer(), dtype=np.int32), np.frombuffer(v.as_buffer(), dtype=np.float64)
+            n += len(a)
+            if whole is None and n > size * size // 16:
+                whole = np.zeros(size * size)
+                for at, x in held:
+                    whole[at] += x
+                held = []
+            if whole is None:
+                held.append((a.copy(), v.copy()))
+            else:
+                whole[a] += v  # places of one row differ
+    if n:
+        yield from done()
+
+
+def _places(a: DataFrame, b: DataFrame) -> tuple[int, DataFrame | None]:
+    """How many neighbouring inner ranges meet in a group, so that both sides have some ``MEETING`` cells, and ``near, ca, cb`` of groups to cut: into how many parts on
+    each side."""
+    most = MEETING * 16 * BLOCK
+    many = lambda df, inner, outer, n, m: df.groupBy(F.col(inner).alias("inner")).agg(F.sum(F.size("cv")).alias(n), F.count("*").alias(m))
+    ranges = write_table(many(a, "bj", "bi", "n", "bn").join(many(b, "bi", "bj", "m", "bm"), "inner"), "ranges")
+    count, n, m = ranges.agg(F.count("*"), F.sum("n"), F.sum("m")).first()
+    step = max(1, most * count // max(n, m)) if count else 1
+    cells = lambda x, y, blocks: F.col(x).cast("double") * F.least(F.col(y), F.col(blocks) * BLOCK)
+    near = ranges.groupBy(F.floor(F.col("inner") / step).alias("near")).agg(
+        *[F.sum(c).alias(c) for c in ("n", "m", "bn", "bm")], F.sum(F.least(cells("n", "m", "bm"), cells("m", "n", "bn"))).alias("work"))
+    cut = lambda c, blocks: F.least(F.ceil(F.col(c) / most * F.col("more")), F.col(blocks)).cast("int")
+    more = F.greatest(F.lit(1.0), F.sqrt(F.col("work") / WORK))
+    hot = write_table(near.withColumn("more", more).select("near", cut("n", "bn").alias("ca"), cut("m", "bm").alias("cb")).where("ca > 1 or cb > 1"), "hot")
+    return step, None if hot.isEmpty() else hot
 
 
 def multiply(a: DataFrame, b: DataFrame) -> DataFrame:
     """Cells of the product of two matrices in blocks; cells that are zero are absent."""
-    ca, cb = _cuts(a, "bj"), _cuts(b, "bi")
+    step, hot = _places(a, b)
     size = BLOCK
 
-    def multiplied(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            yield from _products(rows, size)
-
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = a.select("bi", F.col("bj").alias("inner"), "ci", "cj", "cv", F.pmod("bi", F.lit(ca)).cast("int").alias("ca"), every(cb).alias("cb"))
-    right = b.select(F.col("bi").alias("inner"), "bj", *[F.col(f"c{c}").alias(f"d{c}") for c in "ijv"], F.pmod("bj", F.lit(cb)).cast("int").alias("cb"), every(ca).alias("ca"))
-    parts = left.join(right, ["inner", "ca", "cb"]).drop("inner", "ca", "cb").mapInPandas(multiplied, CELLS)
-    return parts.groupBy("i", "j").agg(F.sum("v").alias("v"))
+    def side(df: DataFrame, outer: str, inner: str, right: bool) -> DataFrame:
+        co, cn = ("cj", "ci") if right else ("ci", "cj")
+        rows = df.select(F.floor(F.col(inner) / step).alias("near"), F.col(inner).alias("inner"), F.col(outer).alias("b"), F.col(co).alias("co"), F.col(cn).alias("cn"), "cv")
+        one = F.lit(0)
+        if hot is not None:
+            mine, others = ("cb", "ca") if right else ("ca", "cb")
+            rows = rows.join(F.broadcast(hot), "near", "left").withColumn(mine, F.pmod("b", F.coalesce(mine, F.lit(1))).cast("int"))
+            rows = rows.withColumn(others, F.explode(F.sequence(one, F.coalesce(others, F.lit(1)) - 1)))
+        else:
+            rows = rows.withColumns({"ca": one, "cb": one})
+        return rows.select("near", "ca", "cb", F.lit(right).alias("right"), "inner", "b", "co", "cn", "cv")
+
+    def multiplied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _groups(batches, size)
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _summed(batches, size)
+
+    group, corner = ["near", "ca", "cb"], ["bi", "bj"]
+    both = side(a, "bi", "bj", False).unionByName(side(b, "bj", "bi", True))
+    parts = both.repartition(*group).sortWithinPartitions(*group).mapInArrow(multiplied, "bi bigint, bj bigint, at binary, v binary")
+    return parts.repartition(*corner).sortWithinPartitions(*corner).mapInArrow(summed, CELLS)
 
 
 def _stacked(factors: Iterator[np.ndarray], width: int) -> pd.DataFrame:

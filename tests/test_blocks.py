@@ -120,3 +120,20 @@ def test_few_cells_are_not_multiplied_as_dense_blocks(monkeypatch):
             want[k % 2 * size : (k % 2 + 1) * size] += a @ b
         assert len(used) == dense_ones and len(out) == np.count_nonzero(want)
         assert all(want[i, j - 3 * size] == v for (i, j), v in out.items())
+
+
+@pytest.mark.parametrize("meeting, work", [(64, 1 << 32), (1, 1 << 32), (64, 1_000)])
+def test_sides_meet_once(spark, monkeypatch, meeting, work):
+    """Blocks are not joined pair by pair; groups of too many cells or products are cut, full blocks among few cells are right, cells that cancel are absent."""
+    monkeypatch.setattr(blk, "MEETING", meeting)
+    monkeypatch.setattr(blk, "WORK", work)
+    rng = np.random.default_rng(7)
+    a, b = (np.where(rng.random(s) < 0.1, rng.integers(-3, 4, s), 0) for s in ((90, 50), (50, 70)))
+    a[:40, 16:32], b[16:32, 20:64] = rng.integers(1, 4, (40, 16)), rng.integers(1, 4, (16, 44))
+    a[85], b[:, 66] = 0, 0
+    a[85, :2], b[:2, 66] = 1, (2, -2)
+    got = blk.multiply(blk.blocks(cells(spark, a)), blk.blocks(cells(spark, b)))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "JOIN" not in plan.upper() or (meeting, work) != (64, 1 << 32), plan
+    rows = got.collect()
+    assert len(rows) == np.count_nonzero(a @ b) and all((a @ b)[r["i"], r["j"]] == r["v"] for r in rows)
