@@ -18,7 +18,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspan.plans.statistics import transposed
 from larkspan.registry import query
 from larkspan.session import write_table
 from larkspan.sources.tables import tables
@@ -35,8 +34,11 @@ PRODUCTS = 1 << 21
 DENSE_GAIN = 64
 #: Triangular factors that a task stacks at a time.
 FAN_IN = 16
+#: Numbers of triangular factors that the driver stacks itself.
+DRIVER_NUMBERS = 1 << 16
 
 CELLS = "i bigint, j bigint, v double"
+BLOCKS = "bi bigint, bj bigint, ci array<int>, cj array<int>, cv array<double>"
 
 
 def blocks(cells: DataFrame) -> DataFrame:
@@ -46,10 +48,16 @@ def blocks(cells: DataFrame) -> DataFrame:
     low = lambda c: F.pmod(c, F.lit(BLOCK)).cast("int").alias(c)
     high = lambda c: F.floor(F.col(c) / BLOCK).cast("bigint").alias(f"b{c}")
     placed = whole.select(high("i"), high("j"), low("i").alias("ci"), low("j").alias("cj"), F.col("v").alias("cv"))
-    lists = placed.repartition("bi", "bj").sortWithinPartitions("bi", "bj").mapInArrow(_listed, "bi bigint, bj bigint, ci array<int>, cj array<int>, cv array<double>")
+    lists = placed.repartition("bi", "bj").sortWithinPartitions("bi", "bj").mapInArrow(_listed, BLOCKS)
     return write_table(lists, "blocks")
 
 
+def _block(bi: int, bj: int, ci: np.ndarray, cj: np.ndarray, cv: np.ndarray) -> pa.RecordBatch:
+    ends = pa.array([0, len(cv)], pa.int32())
+    lists = [pa.ListArray.from_arrays(ends, pa.array(c)) for c in (ci.astype(np.int32), cj.astype(np.int32), cv)]
+    return pa.record_batch([pa.array([bi], pa.int64()), pa.array([bj], pa.int64()), *lists], names=["bi", "bj", "ci", "cj", "cv"])
+
+
 def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row for each block, of cells sorted by block."""
     held: list[pa.RecordBatch] = []
@@ -241,27 +249,25 @@ def _groups(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordB
     yield from _group(sides, size)
 
 
-def _summed(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """Cells of the result from packed ones, block after block. A block of few cells sorts them, another adds them up in place."""
+def _summed(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Blocks of the result from packed cells: range of rows and of columns, places and values. A block of few cells sorts them, another adds them up in place."""
     whole: np.ndarray | None = None
     held: list[tuple[np.ndarray, np.ndarray]] = []
     corner, n = (0, 0), 0
 
-    def done() -> Iterator[pa.RecordBatch]:
+    def done() -> tuple[int, int, np.ndarray, np.ndarray]:
         if whole is not None:
-            at = np.flatnonzero(whole)
-            v = whole[at]
+            at, v = np.arange(size * size), whole
         else:
             at, to = np.unique(np.concatenate([a for a, _ in held]), return_inverse=True)
             v = np.bincount(to, weights=np.concatenate([x for _, x in held]), minlength=len(at))
-            at, v = at[v != 0], v[v != 0]
-        at = at.astype(np.int64)
-        yield pa.record_batch([pa.array(corner[0] * size + at // size), pa.array(corner[1] * size + at % size), pa.array(v)], names=["i", "j", "v"])
+        some = np.flatnonzero(v)
+        return *corner, at[some].astype(np.int64), v[some]
 
     for new, rows in _runs(batches, ["bi", "bj"]):
         if new:
             if n:
-                yield from done()
+                yield done()
             whole, held, n = None, [], 0
             corner = (rows.column("bi")[0].as_py(), rows.column("bj")[0].as_py())
         for a, v in zip(rows.column("at"), rows.column("v")):
@@ -277,7 +283,7 @@ def _summed(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordB
             else:
                 whole[a] += v  # places of one row differ
     if n:
-        yield from done()
+        yield done()
 
 
 def _places(a: DataFrame, b: DataFrame) -> tuple[int, DataFrame | None]:
@@ -297,9 +303,9 @@ def _places(a: DataFrame, b: DataFrame) -> tuple[int, DataFrame | None]:
     return step, None if hot.isEmpty() else hot
 
 
-def multiply(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Cells of the product of two matrices in blocks; cells that are zero are absent."""
-    step, hot = _places(a, b)
+def _parts(a: DataFrame, b: DataFrame, places: tuple[int, DataFrame | None]) -> DataFrame:
+    """Packed cells of the product, sorted by block; those of one place in the result are to be added."""
+    step, hot = places
     size = BLOCK
 
     def side(df: DataFrame, outer: str, inner: str, right: bool) -> DataFrame:
@@ -317,13 +323,35 @@ def multiply(a: DataFrame, b: DataFrame) -> DataFrame:
     def multiplied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _groups(batches, size)
 
-    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _summed(batches, size)
-
     group, corner = ["near", "ca", "cb"], ["bi", "bj"]
     both = side(a, "bi", "bj", False).unionByName(side(b, "bj", "bi", True))
     parts = both.repartition(*group).sortWithinPartitions(*group).mapInArrow(multiplied, "bi bigint, bj bigint, at binary, v binary")
-    return parts.repartition(*corner).sortWithinPartitions(*corner).mapInArrow(summed, CELLS)
+    return parts.repartition(*corner).sortWithinPartitions(*corner)
+
+
+def multiply(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Cells of the product of two matrices in blocks; cells that are zero are absent."""
+    size = BLOCK
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bi, bj, at, v in _summed(batches, size):
+            yield pa.record_batch([pa.array(bi * size + at // size), pa.array(bj * size + at % size), pa.array(v)], names=["i", "j", "v"])
+
+    return _parts(a, b, _places(a, b)).mapInArrow(cells, CELLS)
+
+
+def product(a: DataFrame, b: DataFrame, places: tuple[int, DataFrame | None]) -> DataFrame:
+    """The same product in blocks, as ``blocks`` would give it. ``places`` are those of the two or of sides with about as many cells at the same places."""
+    size = BLOCK
+
+    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bi, bj, at, v in _summed(batches, size):
+            if len(at):
+                yield _block(bi, bj, at // size, at % size, v)
+
+    return write_table(_parts(a, b, places).mapInArrow(lists, BLOCKS), "blocks")
+
+
 
 
 def _stacked(factors: Iterator[np.ndarray], width: int) -> pd.DataFrame:
@@ -335,7 +363,7 @@ def _stacked(factors: Iterator[np.ndarray], width: int) -> pd.DataFrame:
 
 def triangle(narrow: DataFrame, width: int) -> np.ndarray:
     """Triangular factor of a matrix in blocks with ``width`` columns at most, the number of a block's. Tasks reduce their rows, then stack each other's factors, ``FAN_IN`` a task,
-    until one is left."""
+    until one is left or few that are small."""
     size = BLOCK
 
     def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -346,37 +374,40 @@ def triangle(narrow: DataFrame, width: int) -> np.ndarray:
 
     parts = write_table(narrow.mapInPandas(first, "r array<double>"), "factors")
     n = parts.count()
-    while n > 1:
+    while n > 1 and not (n <= FAN_IN and n * width * width <= DRIVER_NUMBERS):
         n = math.ceil(n / FAN_IN)
         parts = write_table(parts.repartition(n).mapInPandas(merged, "r array<double>"), "factors")
         n = parts.count()
-    rows = parts.collect()
-    return np.array(rows[0]["r"]).reshape(-1, width) if rows else np.zeros((0, width))
+    (r,) = _stacked((np.array(r["r"]).reshape(-1, width) for r in parts.collect()), width)["r"].tolist() or [np.zeros(0)]
+    return r.reshape(-1, width)
 
 
 def times(narrow: DataFrame, m: np.ndarray) -> DataFrame:
-    """Cells of a matrix in blocks, of one column range, times a small one."""
+    """A matrix in blocks, of one column range, times a small one, in blocks."""
     width, size = len(m), BLOCK
 
-    def turned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def turned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            for r in rows.itertuples():
-                yield _cells(r.bi, 0, _dense(r.ci, r.cj, r.cv, size, width) @ m, size)
+            ci, cj, cv = (rows.column(c) for c in ("ci", "cj", "cv"))
+            for k, bi in enumerate(rows.column("bi").to_pylist()):
+                got = _dense(*(c[k].values.to_numpy(zero_copy_only=False) for c in (ci, cj, cv)), size, width) @ m
+                i, j = np.nonzero(got)
+                if len(i):
+                    yield _block(bi, 0, i, j, got[i, j])
 
-    return narrow.mapInPandas(turned, CELLS)
+    return narrow.mapInArrow(turned, BLOCKS)
 
 
-def orthonormal(cells: DataFrame, width: int) -> tuple[DataFrame, int]:
-    """Blocks with orthonormal columns that span those of ``cells``, and how many there are. Done twice: the second pass takes away what rounding left in the first."""
+def orthonormal(narrow: DataFrame, width: int) -> tuple[DataFrame, int]:
+    """Blocks with orthonormal columns that span those of ``narrow``, and how many there are. Done twice: the second pass takes away what rounding left in the first."""
     for _ in range(2):
-        narrow = blocks(cells)
         _, s, vt = np.linalg.svd(triangle(narrow, width), full_matrices=False)
         kept = int((s > s[0] * 1e-12).sum()) if len(s) and s[0] > 0 else 0
-        cells = times(narrow, vt[:kept].T / s[:kept])
+        narrow = write_table(times(narrow, vt[:kept].T / s[:kept]), "blocks")
         width = kept
         if not kept:
             break
-    return blocks(cells), width
+    return narrow, width
 
 
 def leading(cells: DataFrame, k: int, extra: int = 10, rounds: int = 3, seed: int = 1) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -390,27 +421,28 @@ def leading(cells: DataFrame, k: int, extra: int = 10, rounds: int = 3, seed: in
     if not 1 <= k or width > BLOCK:
         raise ValueError(f"k must be at least 1 and k + extra at most {BLOCK}")
     a = blocks(cells)
-    flat = a.select("bi", "bj", F.explode(F.arrays_zip("ci", "cj", "cv")).alias("c"))
-    down = flat.select((F.col("bi") * BLOCK + F.col("c.ci")).alias("i"), (F.col("bj") * BLOCK + F.col("c.cj")).alias("j"), F.col("c.cv").alias("v"))
-    at = blocks(transposed(down))
-    total = down.agg(F.sum(F.col("v") * F.col("v"))).first()[0] or 0.0
+    at = a.select(F.col("bj").alias("bi"), F.col("bi").alias("bj"), F.col("cj").alias("ci"), F.col("ci").alias("cj"), "cv")
+    total = a.agg(F.sum(F.aggregate("cv", F.lit(0.0), lambda s, v: s + v * v))).first()[0] or 0.0
     signs = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(width - 1).cast("bigint")))
-    start = down.select("j").distinct().select(F.col("j").alias("i"), signs.alias("j"))
+    start = a.select("bj", F.explode(F.array_distinct("cj")).alias("j")).select((F.col("bj") * BLOCK + F.col("j")).alias("i")).distinct().select("i", signs.alias("j"))
     basis = blocks(start.withColumn("v", 1.0 - 2.0 * F.pmod(F.xxhash64("i", "j", F.lit(seed)), F.lit(2))))
-    found, n = orthonormal(multiply(a, basis), width)
+    down = _places(a, basis)
+    found, n = orthonormal(product(a, basis, down), width)
+    across = _places(at, found)
     for _ in range(rounds if n else 0):
-        other, n = orthonormal(multiply(at, found), n)
-        found, n = orthonormal(multiply(a, other), n)
+        other, n = orthonormal(product(at, found, across), n)
+        found, n = orthonormal(product(a, other, down), n)
     vectors = "{} bigint, component int, v double"
     if not n:
         empty = lambda s: spark.createDataFrame([], s)
         return empty("component int, singular_value double, at_most double"), empty(vectors.format("i")), empty(vectors.format("j"))
-    onto = blocks(multiply(at, found))
+    onto = product(at, found, across)
     _, s, vt = np.linalg.svd(triangle(onto, n), full_matrices=False)
     m = min(k, int((s > s[0] * 1e-12).sum()))
     left_out = max(0.0, total - float((s**2).sum()))
     values = spark.createDataFrame([(c + 1, float(x), math.sqrt(x * x + left_out)) for c, x in enumerate(s[:m])], "component int, singular_value double, at_most double")
-    named = lambda cells, c: cells.select(F.col("i").alias(c), (F.col("j") + 1).cast("int").alias("component"), "v")
+    flat = lambda narrow: narrow.select("bi", F.explode(F.arrays_zip("ci", "cj", "cv")).alias("c"))
+    named = lambda narrow, c: flat(narrow).select((F.col("bi") * BLOCK + F.col("c.ci")).alias(c), (F.col("c.cj") + 1).alias("component"), F.col("c.cv").alias("v"))
     return values, named(times(found, vt[:m].T), "i"), named(times(onto, vt[:m].T / s[:m]), "j")
 
 

@@ -137,3 +137,20 @@ def test_sides_meet_once(spark, monkeypatch, meeting, work):
     assert "JOIN" not in plan.upper() or (meeting, work) != (64, 1 << 32), plan
     rows = got.collect()
     assert len(rows) == np.count_nonzero(a @ b) and all((a @ b)[r["i"], r["j"]] == r["v"] for r in rows)
+
+
+def test_narrow_blocks_are_neither_joined_nor_collected(spark, monkeypatch):
+    """A join would let Spark broadcast a narrow matrix, held whole by the driver; factors come to it as few numbers, and rounds plan no cuts of their own."""
+    plans, write, places, cut = [], blk.write_table, blk._places, []
+
+    def watched(df, name):
+        if name == "blocks":
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(blk, "write_table", watched)
+    monkeypatch.setattr(blk, "_places", lambda a, b: cut.append(1) or places(a, b))
+    a = falling(60, 40, 3)
+    values, _, _ = blk.leading(cells(spark, a), 3, extra=4, rounds=2)
+    assert [r["singular_value"] for r in sorted(values.collect())] == pytest.approx(np.linalg.svd(a, compute_uv=False)[:3], rel=1e-4)
+    assert len(plans) > 10 and not any("Join" in p for p in plans) and len(cut) == 2
