@@ -141,6 +141,7 @@ def test_sides_meet_once(spark, monkeypatch, meeting, work):
 
 def test_narrow_blocks_are_neither_joined_nor_collected(spark, monkeypatch):
     """A join would let Spark broadcast a narrow matrix, held whole by the driver; factors come to it as few numbers, and rounds plan no cuts of their own."""
+    monkeypatch.setattr(blk, "MEETING", 64)
     plans, write, places, cut = [], blk.write_table, blk._places, []
 
     def watched(df, name):
